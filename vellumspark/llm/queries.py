@@ -9,8 +9,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellumspark.llm import decontamination, line_dedup, mixing, token_counts
-from vellumspark.llm.common import shared_dir, table
+from vellumspark.llm import decontamination, fingerprints, language_id, line_dedup, mixing, quality, token_counts, toxicity
+from vellumspark.llm.common import held_out, shared_dir, table
+
+
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of a quarter of the ids are never learned from, as for the other classifiers."""
+    docs = table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels").where(~held_out(4, 2))))
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,6 +25,21 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), cache)
 
 
+def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = held_out(4, 2)
+    return language_id.identify(table(spark, sf_dir, "documents"), ~held, held)
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels").where(~held_out(4, 2)))
+    return toxicity.scores(docs.withColumn("held_out", held_out(4, 2)), model, "held_out")
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_lines, n_removed, removed_lines (numbers from 0), kept_chars, kept_sha256 of the text that stays."""
     out = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
@@ -41,7 +62,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = [op2_token_counts, op7_line_dedup, op9_source_mix, op10_decontamination]
+    named = [op1_quality, op2_token_counts, op3_fingerprints, op4_language_id, op6_toxicity, op7_line_dedup, op9_source_mix, op10_decontamination]
     return {f.__name__: f for f in named}
 
 
