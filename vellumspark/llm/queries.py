@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellumspark.llm import decontamination, fingerprints, language_id, line_dedup, mixing, quality, token_counts, toxicity
+from vellumspark.llm import decontamination, fingerprints, language_id, line_dedup, mixing, near_dups, quality, token_counts, toxicity
 from vellumspark.llm.common import held_out, shared_dir, table
 
 
@@ -53,6 +53,10 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dups.classes(table(spark, sf_dir, "documents"))
+
+
 def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -62,7 +66,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = [op1_quality, op2_token_counts, op3_fingerprints, op4_language_id, op6_toxicity, op7_line_dedup, op9_source_mix, op10_decontamination]
+    named = [op1_quality, op2_token_counts, op3_fingerprints, op4_language_id, op6_toxicity, op7_line_dedup, op8_near_dups, op9_source_mix, op10_decontamination]
     return {f.__name__: f for f in named}
 
 
