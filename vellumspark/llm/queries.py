@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellumspark.llm import decontamination, fingerprints, language_id, line_dedup, mixing, near_dups, quality, token_counts, toxicity
+from vellumspark.llm import decontamination, fingerprints, language_id, language_model, line_dedup, mixing, near_dups, quality, token_counts, toxicity
 from vellumspark.llm.common import held_out, shared_dir, table
 
 
@@ -34,6 +34,10 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"), ~held, held)
 
 
+def op5_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score(table(spark, sf_dir, "documents"), held_out(10, 0))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.train(docs, table(spark, sf_dir, "labels").where(~held_out(4, 2)))
@@ -66,7 +70,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = [op1_quality, op2_token_counts, op3_fingerprints, op4_language_id, op6_toxicity, op7_line_dedup, op8_near_dups, op9_source_mix, op10_decontamination]
+    named = [op1_quality, op2_token_counts, op3_fingerprints, op4_language_id, op5_language_model, op6_toxicity, op7_line_dedup, op8_near_dups, op9_source_mix, op10_decontamination]
     return {f.__name__: f for f in named}
 
 
