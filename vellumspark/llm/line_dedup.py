@@ -25,7 +25,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
@@ -195,12 +195,12 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     return joined.withColumn("n_lines", F.size(split)).withColumn("text", text)
 
 
-def left_blank(deduped: DataFrame):
-    """True where every word of the text went with removed lines."""
+def left_blank() -> Column:
+    """True where every word of the text went with removed lines, for the columns that dedup_lines gives."""
     return F.col("removed_lines").isNotNull() & (F.trim(F.coalesce(F.col("text"), F.lit(""))) == "")
 
 
-def digest(text):
+def digest(text: Column) -> Column:
     return F.sha2(F.coalesce(text, F.lit("")), 256)
 
 

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vellumspark.llm.common import WORD, shuffle_partitions
+from vellumspark.llm.common import WORD, shuffle_partitions, written
 
 TILT = 0.5
 
@@ -87,3 +87,15 @@ def mix(docs: DataFrame, most: float = 3.0, carry: tuple[str, ...] = (), words:
     position = F.when(F.col("taken") > 0, due(F.least(F.lit(1.0), F.col("start") / F.greatest(F.col("target"), F.lit(1.0))), F.col("tilt")))
     out = out.withColumn("position", position).select("doc_id", "size", "source_size", "target", "taken", "position", "source", *carry)
     return out.repartitionByRange(parts, "position", "doc_id").sortWithinPartitions("position", "doc_id")
+
+
+def mixed_documents(docs: DataFrame, most: float = 3.0) -> DataFrame:
+    """The columns of docs with size, source_size, target, taken and position of what the mix takes, in its order.
+
+    The mix is planned on ids and sizes; texts are moved once to meet it and once into its order.
+    """
+    named = ("size", "source_size", "target", "taken", "position")
+    plan = mix(docs, most).where("taken > 0").groupBy(F.col("doc_id").alias("__id")).agg(*[F.max(c).alias(c) for c in named])
+    rows = docs.drop(*named).join(written(plan, "mix"), F.col("doc_id").eqNullSafe(F.col("__id"))).drop("__id")
+    parts = shuffle_partitions(docs.sparkSession)
+    return rows.repartitionByRange(parts, "position", "doc_id").sortWithinPartitions("position", "doc_id")

@@ -27,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellumspark.llm.common import hash_words, texts_of, written
@@ -38,6 +38,7 @@ BANDS, ROWS = 14, 4
 BLOCK_BYTES = 8 << 20
 #: A leader's comparisons in one task.
 SPREAD = 256
+_NO_ID = -(1 << 63)
 _P = np.uint64(0x9E3779B97F4A7C15)
 _Q = np.uint64(0xC2B2AE3D27D4EB4F)
 _EMPTY = np.uint64(0x165667B19E3779F9)
@@ -262,6 +263,11 @@ def classes(docs: DataFrame) -> DataFrame:
 
 
 def without_near_dups(docs: DataFrame) -> DataFrame:
-    """The rows of docs, with their columns, without all but the first document of each class."""
-    kept = written(classes(docs).where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("__kept")).distinct(), "kept")
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["__kept"]), "left_semi")
+    """The rows of docs, with their columns, without all but the first document of each class; of repeated rows one stays."""
+    kept = classes(docs).where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select("doc_id").distinct()
+    kept = written(kept.select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("__kept")), "kept")
+    keyed = docs.withColumn("__key", F.coalesce(F.col("doc_id"), F.lit(_NO_ID))).withColumn("__text", F.xxhash64("text"))
+    # The window finds its rows where the join has put them.
+    same = Window.partitionBy("__key", "__text").orderBy("__text")
+    rows = keyed.join(kept, F.col("__key") == F.col("__kept"), "left_semi").withColumn("__n", F.row_number().over(same))
+    return rows.where("__n = 1").select(*docs.columns)
