@@ -7,8 +7,8 @@ words are never removed: headings, bullets and single words repeat in clean text
 
 1. Lines are reduced to hashes; equal lines become one class with its earliest place, summed map-side, so a line that a
    third of the documents hold is one row.
-2. Lines that can have a near partner are found without loss: within one edit, two lines share their first or their
-   last half (cut for the shorter of the two). Only classes whose half is shared by another class go on.
+2. Lines that can have a near partner are found without loss: within one edit, two lines share nearly their first or
+   their last half. Only classes that share such an end with another class go on.
 3. Those emit their deletion variants as hashed keys. Replacing: the line without word i, keyed with i and the length;
    equal keys mean distance 1 at most, so an earlier match exists exactly if the key's earliest place is earlier.
    Inserting: the line without word i equals a whole line; a key holds the earliest whole line and the earliest variant.
@@ -32,6 +32,8 @@ from xxhash import xxh3_64_intdigest
 from vellumspark.llm.common import small_batches, texts_of, written
 
 SHORTEST, FUZZY = 4, 10
+#: So many documents at most are named to every task; beyond that, documents are moved to meet their names.
+SENT = 1_000_000
 _LAST = (1 << 63) - 1
 
 
@@ -47,10 +49,14 @@ def whole(words: list[bytes]) -> int:
     return signed(xxh3_64_intdigest(b" ".join(words)))
 
 
-def halves(words: list[bytes]) -> list[int]:
-    """Keys of the first and last half, cut for this length and for one word less."""
+def ends_of(words: list[bytes]) -> list[int]:
+    """Keys of the first and the last m words, m = 2 * (n // 4); where one word less has another m, of that m too.
+
+    An edit leaves one of both whole, and lines of n and n + 1 words share an m.
+    """
     n = len(words)
-    return [signed(xxh3_64_intdigest(b"%d %d " % (side, t) + b" ".join(part))) for t in (n, n - 1) for side, part in ((0, words[: t // 2]), (1, words[n - (t - t // 2) :]))]
+    sizes = {n // 4 * 2, (n - 1) // 4 * 2}
+    return [signed(xxh3_64_intdigest(b"%d %d " % (side, m) + b" ".join(part))) for m in sorted(sizes) for side, part in ((0, words[:m]), (1, words[n - m :]))]
 
 
 def variants(words: list[bytes]) -> list[tuple[int, int]]:
@@ -76,11 +82,11 @@ def word_distance(a: list[bytes], b: list[bytes], most: int) -> int:
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """doc_id, line, hash, n_words, halves of each line that takes part."""
+    """doc_id, line, hash, ends of each line that takes part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, "text"):
-            ids, numbers, hashes, sizes, keys = [], [], [], [], []
+            ids, numbers, hashes, keys = [], [], [], []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), texts_of(batch.column("text")), strict=True):
                 for number, line in enumerate(text.split(b"\n")):
                     words = words_of(line)
@@ -88,95 +94,81 @@ def _lines(docs: DataFrame) -> DataFrame:
                         ids.append(_LAST if doc_id is None else doc_id)
                         numbers.append(number)
                         hashes.append(whole(words))
-                        sizes.append(len(words))
-                        keys.append(halves(words) if len(words) >= FUZZY else None)
+                        keys.append(ends_of(words) if len(words) >= FUZZY else None)
             if ids:
-                yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(numbers, pa.int32()), pa.array(hashes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "line", "hash", "n_words", "halves"])
+                yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(numbers, pa.int32()), pa.array(hashes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "line", "hash", "ends"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, line int, hash long, ends array<long>")
+
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, line int, hash long, n_words int, halves array<long>")
+def _place() -> Column:
+    """(doc_id, line) as one number in the same order, of which minima are kept in hash aggregates."""
+    return (F.col("doc_id").cast("decimal(38,0)") * F.lit(1 << 31).cast("decimal(38,0)") + F.col("line")).cast("decimal(38,0)")
 
 
 def _variants(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """hash, key, kind, words of the wanted lines (doc_id, lines); kind 0: replacement, 1: variant, 2: whole line."""
+    """doc_id, line, key, kind, words of the wanted lines (doc_id, lines); kind 0: replacement, 1: variant, 2: whole line.
+
+    words is null but for kind 2. Documents are moved only if the list of wanted ones is too long to send to each task.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, "text", 1_000_000):
-            out: tuple[list, ...] = ([], [], [], [])
+            out: tuple[list, ...] = ([], [], [], [], [])
             seen = set()
-            for text, numbers in zip(texts_of(batch.column("text")), batch.column("lines").to_pylist(), strict=True):
+            for doc_id, text, numbers in zip(batch.column("doc_id").to_pylist(), texts_of(batch.column("text")), batch.column("lines").to_pylist(), strict=True):
                 lines = text.split(b"\n")
                 for number in numbers:
-                    words = words_of(lines[number])
-                    own = whole(words)
-                    if own in seen:
+                    if (doc_id, number) in seen or number >= len(lines):
                         continue
-                    seen.add(own)
-                    rows = [(2, own), *((kind, key) for pair in variants(words) for kind, key in enumerate(pair))]
-                    out[0].extend([own] * len(rows))
-                    out[1].extend(k for _, k in rows)
-                    out[2].extend(k for k, _ in rows)
+                    seen.add((doc_id, number))
+                    words = words_of(lines[number])
+                    rows = [(whole(words), 2, b" ".join(words)), *((key, kind, None) for pair in variants(words) for kind, key in enumerate(pair))]
+                    out[0].extend([doc_id] * len(rows))
+                    out[1].extend([number] * len(rows))
+                    for column, values in zip(out[2:], zip(*rows, strict=True), strict=True):
+                        column.extend(values)
             if out[0]:
-                yield pa.record_batch([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int8())], ["hash", "key", "kind"])
-
-    return docs.select("doc_id", "text").join(wanted, "doc_id").select("text", "lines").mapInArrow(run, "hash long, key long, kind byte")
-
-
-def _words(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """hash, words of the wanted lines (doc_id, lines)."""
-    lines = docs.select("doc_id", "text").join(wanted, "doc_id").select(F.explode(F.transform("lines", lambda i: F.get(F.split("text", "\n"), i))).alias("line"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches, "line"):
-            words = [words_of(t) for t in texts_of(batch.column("line"))]
-            yield pa.record_batch([pa.array([whole(w) for w in words], pa.int64()), pa.array([b" ".join(w) for w in words], pa.binary())], ["hash", "words"])
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int32(), pa.int64(), pa.int8(), pa.binary()), strict=True)], ["doc_id", "line", "key", "kind", "words"])
 
-    return lines.mapInArrow(run, "hash long, words binary").groupBy("hash").agg(F.first("words").alias("words"))
+    few = wanted.count() <= SENT
+    texts = docs.select(F.coalesce("doc_id", F.lit(_LAST)).alias("doc_id"), "text").join(F.broadcast(wanted) if few else wanted, "doc_id")
+    return texts.select("doc_id", "text", "lines").mapInArrow(run, "doc_id long, line int, key long, kind byte, words binary")
 
 
 def removed_lines(docs: DataFrame) -> DataFrame:
     """doc_id, lines (ascending line numbers, from 0) of each document that loses lines."""
-    spark = docs.sparkSession
     lines = written(_lines(docs), "lines")
-    place = F.struct("doc_id", "line")
-    classes = written(lines.groupBy("hash").agg(F.min(place).alias("first"), F.first("halves").alias("halves"), F.count(F.lit(1)).alias("copies")), "line-classes")
-    keys = classes.where(F.col("halves").isNotNull()).select("hash", F.explode("halves").alias("half"))
-    shared = keys.groupBy("half").agg(F.min("hash").alias("least"), F.max("hash").alias("most")).where("least <> most").select("half")
-    near = keys.join(shared, "half", "left_semi").select("hash").distinct()
-    near = classes.join(near, "hash", "left_semi")
-    at = written(near.select("hash", "first"), "near-lines")
-    wanted = at.groupBy(F.col("first.doc_id").alias("doc_id")).agg(F.sort_array(F.collect_list("first.line")).alias("lines"))
-    place_of = at.withColumnRenamed("first", "place")
-    emitted = written(_variants(docs, wanted).join(place_of, "hash"), "line-variants")
-    # The earliest whole line, variant and replacement of each key, with the class that it is.
-    best = emitted.groupBy("key").agg(
-        *[F.min(F.when(F.col("kind") == kind, F.struct("place", "hash"))).alias(f"least{kind}") for kind in (0, 1, 2)],
-        F.min("hash").alias("one"),
-        F.max("hash").alias("other"),
-    ).where("one <> other").drop("one", "other")
-    earlier = (
-        emitted.join(best, "key")
-        .withColumn("by", F.when(F.col("kind") == 0, F.col("least0")).when(F.col("kind") == 1, F.col("least2")).otherwise(F.col("least1")))
-        .where(F.col("by").isNotNull() & (F.col("by.place") < F.col("place")))
-        .groupBy("hash")
-        .agg(F.min("by").alias("by"))
-        .select("hash", F.col("by.hash").alias("by"), F.col("by.place").alias("by_place"))
-    )
-    matched = written(earlier, "line-matches")
+    classes = written(lines.groupBy("hash").agg(F.min(_place()).alias("first"), F.count(F.lit(1)).alias("copies")), "line-classes")
+    keys = lines.where(F.col("ends").isNotNull()).select("hash", F.explode("ends").alias("end"))
+    shared = keys.groupBy("end").agg(F.min("hash").alias("least"), F.max("hash").alias("most")).where("least <> most").select("end")
+    near = keys.join(shared, "end", "left_semi").select("hash").distinct()
+    at = written(classes.join(near, "hash").select("hash", "first"), "near-lines")
+    line_of = F.pmod("first", F.lit(1 << 31).cast("decimal(38,0)")).cast("int")
+    doc_of = F.floor((F.col("first") - line_of) / F.lit(1 << 31)).cast("long")
+    wanted = written(at.groupBy(doc_of.alias("doc_id")).agg(F.sort_array(F.collect_list(line_of)).alias("lines")), "wanted")
+    emitted = written(_variants(docs, wanted), "line-variants")
+    placed = emitted.select(_place().alias("place"), "key", "kind")
+    # The earliest whole line, variant and replacement of each key that more than one line has.
+    least = placed.groupBy("key").agg(*[F.min(F.when(F.col("kind") == k, F.col("place"))).alias(f"least{k}") for k in (0, 1, 2)], F.min("place").alias("one"), F.max("place").alias("other"))
+    least = least.where("one <> other").drop("one", "other")
+    by = F.when(F.col("kind") == 0, F.col("least0")).when(F.col("kind") == 1, F.col("least2")).otherwise(F.col("least1"))
+    matched = written(placed.join(least, "key").withColumn("by", by).where("by < place").groupBy("place").agg(F.min("by").alias("by")), "line-matches")
     # Verify on the words themselves.
-    ends = matched.select("hash").union(matched.select(F.col("by").alias("hash"))).distinct()
-    texts = _words(docs, at.join(ends, "hash", "left_semi").groupBy(F.col("first.doc_id").alias("doc_id")).agg(F.sort_array(F.collect_list("first.line")).alias("lines")))
-    texts = written(texts, "line-words")
+    texts = emitted.where("kind = 2").select(_place().alias("place"), "words")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             good = [word_distance(a.split(b" "), b.split(b" "), 1) <= 1 for a, b in zip(batch.column("words").to_pylist(), batch.column("by_words").to_pylist(), strict=True)]
-            yield batch.select(["hash"]).filter(pa.array(good, pa.bool_()))
+            yield batch.select(["place"]).filter(pa.array(good, pa.bool_()))
 
-    paired = matched.join(texts, "hash").join(texts.select(F.col("hash").alias("by"), F.col("words").alias("by_words")), "by")
-    verified = paired.select("hash", "words", "by_words").mapInArrow(verify, "hash long").select("hash", F.lit(True).alias("near"))
+    paired = matched.join(texts, "place").join(texts.select(F.col("place").alias("by"), F.col("words").alias("by_words")), "by")
+    verified = paired.select("place", "words", "by_words").mapInArrow(verify, "place decimal(38,0)")
+    near = at.join(verified.withColumnRenamed("place", "first"), "first").select("hash", F.lit(True).alias("near"))
     # All of a class but its first go; the first goes too if an earlier class matches it.
-    state = classes.join(verified, "hash", "left").where((F.col("copies") > 1) | F.col("near")).select("hash", "first", F.coalesce("near", F.lit(False)).alias("near"))
-    gone = lines.join(state, "hash").where(F.col("near") | (F.struct("doc_id", "line") != F.col("first")))
+    state = classes.join(near, "hash", "left").where((F.col("copies") > 1) | F.col("near")).select("hash", "first", F.coalesce("near", F.lit(False)).alias("near"))
+    state = written(state, "line-states")
+    gone = lines.select("doc_id", "line", "hash").join(state, "hash").where(F.col("near") | (_place() != F.col("first")))
     # Distinct numbers: a repeated row of the same document is the same document.
     return gone.groupBy("doc_id").agg(F.array_sort(F.collect_set("line")).alias("lines"))
 
