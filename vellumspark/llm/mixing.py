@@ -65,6 +65,8 @@ def mix(docs: DataFrame, most: float = 3.0, carry: tuple[str, ...] = (), words:
     parts = shuffle_partitions(docs.sparkSession)
     carry = tuple(c for c in carry if c not in ("doc_id", "source"))
     sized = docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(words)), F.lit(0)).cast("long").alias("size"), *carry)
+    # The texts are read and counted once; what follows reads ids and sizes.
+    sized = written(sized, "sizes")
     targets = source_targets(sized.select("source", "size"), most)
     # Prefix sums within a source, in two levels so that a hot source is dealt over all tasks: hash slices, then rows in a slice.
     keyed = sized.withColumn("rank", F.xxhash64("doc_id")).withColumn("slice", F.floor((F.shiftright("rank", 32) + 2147483648) * (4 * parts) / 4294967296).cast("int"))
