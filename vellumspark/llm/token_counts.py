@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellumspark.llm.common import arrow_map, shared_dir, texts_of
+from vellumspark.llm.common import arrow_map, shared_dir, texts_of, written
 
 CACHE_SCHEMA = "tokenizer string, digest binary, n_tokens long"
 #: A vocabulary file is a fixed input; this bound is checked before it is broadcast.
@@ -111,6 +111,7 @@ def count_tokens(docs: DataFrame, vocabulary: str, cache: str | None = None, lim
         return pa.record_batch([pa.array([tokenizer] * len(counts)), batch.column("digest").cast(pa.binary()), pa.array(counts, pa.int64())], ["tokenizer", "digest", "n_tokens"])
 
     arrow_map(misses, encode, CACHE_SCHEMA).write.mode("append").parquet(cache)
-    counts = read_cache(spark, cache, tokenizer)
+    # As a table of its own, so that both sides of the join are plain exchanges and a hot digest is split at run time.
+    counts = written(read_cache(spark, cache, tokenizer), "counts")
     sizes = keyed.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "digest")
     return sizes.join(counts, "digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
