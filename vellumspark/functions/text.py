@@ -1,0 +1,144 @@
+"""Text functions as column expressions: all of them stay in the JVM."""
+
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+#: Entities that the column form decodes, `&amp;` last so that nothing is decoded twice.
+ENTITIES = {"&nbsp;": " ", "&copy;": "©", "&middot;": "·", "&quot;": '"', "&apos;": "'", "&#39;": "'", "&lt;": "<", "&gt;": ">", "&amp;": "&"}
+#: Script names and their code point ranges.
+SCRIPTS = {
+    "Cyrillic": "0400-04FF",
+    "CJK-Han": "4E00-9FFF",
+    "Japanese-kana": "3040-30FF",
+    "Korean": "AC00-D7A3",
+    "Arabic": "0600-06FF",
+    "Greek": "0370-03FF",
+    "Hebrew": "0590-05FF",
+    "Devanagari": "0900-097F",
+}
+BLANK = "[\\s\\x{00A0}]+"
+WORD = "[a-zA-ZàâäéèêëïîôöùûüçñáíóúãõßÀ-ÿ']+"
+#: A title's volume or book marker.
+VOLUME_MARKER = "(?i)\\b(?:vol(?:ume)?s?|book)s?\\.?,?\\s*(?:no\\.?\\s*)?(?:\\d+|[ivxlcdm]{1,7})\\b"
+ROMAN = "(?i)m{0,3}(?:cm|cd|d?c{0,3})(?:xc|xl|l?x{0,3})(?:ix|iv|v?i{0,3})"
+
+
+def replaced(text: Column, pattern: str, by: str) -> Column:
+    return F.regexp_replace(text, F.lit(pattern), F.lit(by))
+
+
+def decoded(text: Column) -> Column:
+    return reduce(lambda t, e: F.replace(t, F.lit(e[0]), F.lit(e[1])), ENTITIES.items(), text)
+
+
+def without_scripts(html: Column) -> Column:
+    return replaced(html, "(?is)<(script|style)\\b.*?</\\1>", " ")
+
+
+def visible_text(html: Column) -> Column:
+    """Rendered text: scripts and styles go, tags become spaces, entities are decoded, white space is collapsed."""
+    return F.trim(replaced(decoded(replaced(without_scripts(html), "<[^>]+>", " ")), BLANK, " "))
+
+
+def body_visible_text(html: Column) -> Column:
+    found = F.regexp_extract(html, "(?is)<body\\b[^>]*>(.*)</body>", 1)
+    return visible_text(F.when(html.rlike("(?is)<body\\b[^>]*>.*</body>"), found).otherwise(html))
+
+
+def content_clean(html: Column) -> Column:
+    """Text for language signals: as visible_text, but entities stay and ends aren't trimmed."""
+    return replaced(replaced(replaced(html, "(?is)<(script|style)\\b[^>]*>.*?</\\1>", " "), "<[^>]+>", " "), "\\s+", " ")
+
+
+def is_image_carrier(html: Column, body: Column) -> Column:
+    return (body == "") & html.rlike("(?i)<(?:img|image)\\b")
+
+
+def script_counts(text: Column) -> dict[str, Column]:
+    return {name: F.regexp_count(text, F.lit("[" + "-".join(f"\\x{{{x}}}" for x in span.split("-")) + "]")) for name, span in SCRIPTS.items()}
+
+
+def words(text: Column, most: int = 5000) -> Column:
+    return F.slice(F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0)), 1, most)
+
+
+def roman_value(text: Column) -> Column:
+    """Subtractive value of roman digits; null if a character is none or the value is 0."""
+    low = F.lower(text)
+    digits = F.create_map(*[F.lit(x) for pair in {"i": 1, "v": 5, "x": 10, "l": 50, "c": 100, "d": 500, "m": 1000}.items() for x in pair])
+    values = F.transform(F.filter(F.split(low, ""), lambda c: c != ""), lambda c: F.try_element_at(digits, c))
+    signed = F.transform(values, lambda v, i: F.when(F.get(values, i + 1) > v, -v).otherwise(v))
+    total = F.aggregate(signed, F.lit(0), lambda a, v: a + v)
+    return F.when(total != 0, total)
+
+
+def number_value(text: Column, years: bool = True) -> Column:
+    """Page-number value of a text: 1 to 4 digits, or a well-formed roman numeral of 2 to 7 letters under 100.
+
+    years=False: 1500 to 2099 are null.
+    """
+    arabic = F.when(text.rlike("^[0-9]{1,4}$"), text.cast("int"))
+    if not years:
+        arabic = F.when(~arabic.between(1500, 2099), arabic)
+    roman = F.when(F.length(text).between(2, 7) & text.rlike(f"^(?:{ROMAN})$"), roman_value(text))
+    return F.when(text.rlike("^[0-9]{1,4}$"), arabic).otherwise(F.when(roman < 100, roman))
+
+
+def norm_key(text: Column) -> Column:
+    return F.trim(replaced(F.lower(text), "[^a-z0-9]+", " "))
+
+
+def alpha_density(text: Column) -> Column:
+    solid = replaced(text, BLANK, "")
+    return F.when(F.length(solid) == 0, 0.0).otherwise(F.regexp_count(solid, F.lit("\\p{L}")) / F.length(solid))
+
+
+def is_foreign(title: Column, own: Column) -> Column:
+    """A short title that matches none of the book's own normalised names, with or without its volume marker."""
+    text = F.trim(title)
+    norm, bare = norm_key(text), norm_key(replaced(text, VOLUME_MARKER, " "))
+    either = lambda a, b: F.contains(a, b) | F.contains(b, a)
+    matches = lambda o: (F.length(o) >= 4) & (either(norm, o) | ((bare != "") & either(bare, o)))
+    return F.length(text).between(3, 100) & (norm != "") & ~F.exists(own, matches)
+
+
+def marked_foreign_title(title: Column, own: Column) -> Column:
+    """Foreign, with a volume marker that has four letters or more before it."""
+    before = F.regexp_extract(title, "(?s)^(.*?)" + VOLUME_MARKER.replace("(?i)", "(?i:", 1) + ")", 1)
+    return is_foreign(title, own) & title.rlike(VOLUME_MARKER) & (F.regexp_count(before, F.lit("\\p{L}")) >= 4)
+
+
+def severity_bucket(errors: Column) -> Column:
+    return F.when(errors <= 2, errors.cast("string")).when(errors <= 5, "3-5").when(errors <= 20, "6-20").when(errors <= 100, "21-100").otherwise(">100")
+
+
+def oracle_budget(size_bytes: Column, entries: Column) -> Column:
+    """Seconds for one validation: 300, 60 more for each 10 MB begun above 10 MB and 500 entries above 1000; 1800 at most."""
+    started = lambda over, step: F.when(over > 0, F.floor(over / step) + 1).otherwise(0)
+    extra = started(size_bytes - 10 * 1024 * 1024, 10 * 1024 * 1024) + started(entries - 1000, 500)
+    return F.least(F.lit(1800), 300 + 60 * extra).cast("long")
+
+
+def unreadable_reason(error: Column) -> Column:
+    text = F.coalesce(error, F.lit(""))
+    return F.when(text.rlike("encrypted"), "encrypted").when(text.rlike("CRC"), "corrupt_entry").when(text.rlike("EOFError|(?i)truncated"), "truncated").when(text.rlike("not a zip file"), "not_a_zip").otherwise("unreadable")
+
+
+def package_major(version: Column) -> Column:
+    return F.split_part(F.trim(version), F.lit("."), F.lit(1)).try_cast("int")
+
+
+def is_invalid_ncname(name: Column) -> Column:
+    return name.isNull() | ~name.rlike("^[\\p{L}_][\\p{L}\\p{N}_.\\-\\x{00B7}]*$")
+
+
+def host(url: Column) -> Column:
+    return F.regexp_extract(url, "^https?://([^/?#]+)", 1)
+
+
+def url_path(url: Column) -> Column:
+    return F.regexp_extract(url, "^https?://[^/?#]+([^?#]*)", 1)
