@@ -9,10 +9,10 @@ Two texts are linked if their weighted Jaccard similarity is SIMILAR or more; cl
    and delta-coded, to the owner of their hash range, and gets back those in more than one document with their df.
 2. Only a text that owes SIMILAR of its weight to such shared shingles can have a partner; this loses no link, and only
    such texts are sampled: BANDS bands of ROWS samples each. Copies (equal words) are one text from here on.
-3. Texts that share a band are candidates. No group is turned into all its pairs: in each round one leader of each part
-   of a band's group is compared with the members that are not yet in the leader's class, and classes are joined. A group
-   is done when its members that have not led are all of one class; parts get more numerous by the round, until all are.
-   So every candidate pair is either compared or already in one class, however large a group is.
+3. Texts that share a band are candidates. No group is turned into its pairs: first, the leader of a band's group (the
+   text with the most common shingles) is compared with its members, and classes are joined. Groups that still are of
+   several classes are compared in full, in pairs of chunks of CHUNK texts, each a product of matrices in one task, of
+   which only links that join classes come out. So every candidate pair is either compared or already in one class.
 4. A comparison is the exact weighted Jaccard similarity of both shingle sets.
 
 Defined results: texts without words (null, empty, blank) are copies of each other; rows that repeat are copies; a null
@@ -38,6 +38,8 @@ BANDS, ROWS = 14, 4
 BLOCK_BYTES = 8 << 20
 #: A leader's comparisons in one task.
 SPREAD = 256
+#: Texts on either side of a block of comparisons; so many digests at most are named to every task.
+CHUNK, SENT = 256, 1_000_000
 _NO_ID = -(1 << 63)
 _P = np.uint64(0x9E3779B97F4A7C15)
 _Q = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -174,11 +176,11 @@ def sampled_texts(docs: DataFrame) -> DataFrame:
             order = np.argsort(known)
             known, df = known[order], df[order]
         done: set[bytes] = set()
-        out: list[list] = [[], [], [], []]
+        out: list[list] = [[] for _ in range(6)]
         for text in texts_of(block.column("text").combine_chunks()):
             hashes, counts, digest = shingles(text)
             out[0].append(digest)
-            bands = own = weight = None
+            bands = own = weight = mass = centre = None
             if digest not in done and len(known):
                 at = np.minimum(np.searchsorted(known, hashes >> np.uint64(16)), len(known) - 1)
                 common = known[at] == hashes >> np.uint64(16)
@@ -186,19 +188,28 @@ def sampled_texts(docs: DataFrame) -> DataFrame:
                 if w[common].sum() >= SIMILAR * w.sum() * (1 - 1e-6):
                     done.add(digest)
                     bands, own, weight = sampler[0].bands(hashes, w), hashes.tobytes(), w.astype(np.float32).tobytes()
-            for column, x in zip(out[1:], (bands, own, weight), strict=True):
+                    mass = float(w.astype(np.float32).astype(np.float64).sum())
+                    # How common the text's shingles are: the text of which others are edited copies has the most.
+                    centre = float(np.log(np.where(common, df[at], 1)).mean())
+            for column, x in zip(out[1:], (bands, own, weight, mass, centre), strict=True):
                 column.append(x)
-        return pa.table([block.column("doc_id").combine_chunks(), pa.array(out[0], pa.binary()), pa.array(out[1], pa.list_(pa.int64())), pa.array(out[2], pa.binary()), pa.array(out[3], pa.binary())], ["doc_id", "digest", "bands", "hashes", "weights"])
+        return pa.table([block.column("doc_id").combine_chunks(), pa.array(out[0], pa.binary()), pa.array(out[1], pa.list_(pa.int64())), pa.array(out[2], pa.binary()), pa.array(out[3], pa.binary()), pa.array(out[4], pa.float64()), pa.array(out[5], pa.float64())], ["doc_id", "digest", "bands", "hashes", "weights", "total", "centre"])
 
     pieces = dealt.groupBy("block").applyInArrow(send, schema)
     shared = pieces.groupBy("part").applyInArrow(count, schema).select("block", "hashes", "df")
-    return dealt.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(sample, "doc_id long, digest binary, bands array<long>, hashes binary, weights binary")
+    return dealt.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(sample, "doc_id long, digest binary, bands array<long>, hashes binary, weights binary, total double, centre double")
+
+
+def named(rows: DataFrame, digests: DataFrame) -> DataFrame:
+    """The rows whose digest is among `digests` (distinct); these are sent to each task if they are few enough."""
+    return rows.join(F.broadcast(digests) if digests.count() <= SENT else digests, "digest", "left_semi")
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Those pairs (a, b) of digests that are similar; a leader of many pairs is spread over tasks by their number."""
-    hot = pairs.groupBy("a").count().select("a", F.ceil(F.col("count") / SPREAD).cast("int").alias("parts"))
-    hot = written(hot, "leaders")
+    ends = written(pairs.select(F.col("a").alias("digest")).union(pairs.select(F.col("b").alias("digest"))).distinct(), "ends")
+    texts = named(texts, ends)
+    hot = written(pairs.groupBy("a").count().select("a", F.ceil(F.col("count") / SPREAD).cast("int").alias("parts")), "leaders")
     salted = pairs.join(hot, "a").withColumn("salt", F.pmod(F.hash("b"), F.col("parts"))).drop("parts")
     left = texts.join(hot.withColumnRenamed("a", "digest"), "digest").select(F.col("digest").alias("a"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"), F.col("hashes").alias("ha"), F.col("weights").alias("wa"))
     right = texts.select(F.col("digest").alias("b"), F.col("hashes").alias("hb"), F.col("weights").alias("wb"))
@@ -208,53 +219,113 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
         for batch in batches:
             columns = [batch.column(c).to_pylist() for c in ("ha", "wa", "hb", "wb")]
             like = [similarity((ha, wa), (hb, wb)) for ha, wa, hb, wb in zip(*columns, strict=True)]
-            out = pa.record_batch([batch.column("a"), batch.column("b"), pa.array(like, pa.float64())], ["a", "b", "similarity"])
-            yield out.filter(pa.array([x >= SIMILAR - 1e-6 for x in like], pa.bool_()))
+            yield batch.select(["a", "b"]).filter(pa.array([x >= SIMILAR - 1e-6 for x in like], pa.bool_()))
 
-    return both.mapInArrow(compare, "a binary, b binary, similarity double")
+    return both.mapInArrow(compare, "a binary, b binary")
 
 
-def text_classes(texts: DataFrame) -> DataFrame:
-    """node, label for the digests of texts (digest, bands, total, hashes, weights): the connected components."""
-    keyed = texts.select("digest", "total", F.explode("bands").alias("key"))
-    shared = keyed.groupBy("key").agg(F.min("digest").alias("least"), F.max("digest").alias("most")).where("least <> most").select("key")
-    members = written(keyed.join(shared, "key", "left_semi").distinct(), "members")
+def block_links(sets: list[tuple[np.ndarray, np.ndarray]], labels: list, rows: list[int], columns: list[int]) -> list[tuple[int, int]]:
+    """Pairs (row, column) that are similar and join labels that aren't joined yet; all of them are compared.
+
+    Weights are count * idf with one idf for a shingle, so a text is a set of (shingle, rank of the weight among those
+    that the shingle has here) and the shared weight of all pairs is one product of matrices over shingles that two texts
+    share: sum of min = sum over the steps between a shingle's weights of step * both reach it.
+    """
+    everything = np.concatenate([h for h, _ in sets])
+    names, at, n = np.unique(everything, return_inverse=True, return_counts=True)
+    values = np.concatenate([w for _, w in sets])
+    of = np.repeat(np.arange(len(sets)), [len(h) for h, _ in sets])
+    shared = n[at] > 1
+    at, values, of = at[shared], values[shared], of[shared]
+    column = np.cumsum(n > 1) - 1
+    at = column[at]
+    total = np.array([w.sum() for _, w in sets])
+    common = np.zeros((len(rows), len(columns)))
+    place_r, place_c = (np.full(len(sets), -1) for _ in range(2))
+    place_r[rows], place_c[columns] = np.arange(len(rows)), np.arange(len(columns))
+    # The steps of each shingle's weights: mostly one, as a count of 1 is usual.
+    low = np.zeros(int(column[-1]) + 1 if len(column) else 0)
+    left = values.copy()
+    while len(at):
+        step = np.full(len(low), np.inf)
+        np.minimum.at(step, at, left)
+        step[~np.isfinite(step)] = 0
+        for start in range(0, len(low), 4096):
+            inside = (at >= start) & (at < start + 4096)
+            r, c = inside & (place_r[of] >= 0), inside & (place_c[of] >= 0)
+            a, b = np.zeros((len(rows), 4096), np.float32), np.zeros((len(columns), 4096), np.float32)
+            a[place_r[of[r]], at[r] - start] = step[at[r]]
+            b[place_c[of[c]], at[c] - start] = 1
+            common += a @ b.T
+        left = left - step[at]
+        more = left > 1e-6
+        at, left, of = at[more], left[more], of[more]
+    like = common / (total[rows][:, None] + total[columns][None, :] - common)
+    parent: dict = {}
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    out = []
+    for i, j in zip(*np.nonzero(like >= SIMILAR - 1e-4), strict=True):
+        x, y = rows[i], columns[j]
+        if root(labels[x]) != root(labels[y]):
+            # Products of float32 may miss by rounding; what is near the bound is compared exactly.
+            exact = similarity((sets[x][0].tobytes(), sets[x][1].astype(np.float32).tobytes()), (sets[y][0].tobytes(), sets[y][1].astype(np.float32).tobytes()))
+            if exact >= SIMILAR - 1e-6:
+                parent[root(labels[x])] = root(labels[y])
+                out.append((x, y))
+    return out
+
+
+def blocks_compared(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (a, b) among the members (key, digest, label) of each key, all compared, in pairs of chunks of CHUNK texts.
+
+    A member goes once to each pair of its chunk; pairs of texts aren't rows, only new links come out.
+    """
+    chunks = members.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("chunks"))
+    own = members.join(chunks, "key").withColumn("own", F.pmod(F.xxhash64("digest"), F.col("chunks")).cast("int"))
+    dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "digest", "label")
+    filled = dealt.join(named(texts, written(members.select("digest").distinct(), "open")), "digest").select("key", "i", "j", "own", "digest", "label", "hashes", "weights")
+
+    def compare(group: pa.Table) -> pa.Table:
+        digests, labels, own_ = (group.column(c).to_pylist() for c in ("digest", "label", "own"))
+        sets = [(np.frombuffer(h, np.uint64), np.frombuffer(w, np.float32).astype(np.float64)) for h, w in zip(group.column("hashes").to_pylist(), group.column("weights").to_pylist(), strict=True)]
+        i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
+        rows, columns = ([k for k, x in enumerate(own_) if x == side] for side in (i, j))
+        found = block_links(sets, labels, rows, columns) if rows and columns else []
+        return pa.table([pa.array([digests[x] for x, _ in found], pa.binary()), pa.array([digests[y] for _, y in found], pa.binary())], ["a", "b"])
+
+    return filled.groupBy("key", "i", "j").applyInArrow(compare, "a binary, b binary")
+
+
+def text_classes(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """node, label of the digests of members (key, digest, total, centre): connected components of the similar ones."""
     labels = written(members.select(F.col("digest").alias("node"), F.col("digest").alias("label")).distinct(), "labels")
-    led = None
-    parts = 1
-    while True:
-        now = members.join(labels.withColumnRenamed("node", "digest"), "digest")
-        waiting = now if led is None else now.join(led, ["key", "digest"], "left_anti")
-        open_keys = waiting.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key")
-        waiting = written(waiting.join(open_keys, "key", "left_semi"), "waiting")
-        if waiting.isEmpty():
-            return labels
-        leaders = waiting.withColumn("part", F.pmod(F.xxhash64("digest"), F.lit(parts))).groupBy("key", "part").agg(F.min(F.struct("digest", "label", "total")).alias("lead"))
-        leaders = written(leaders.select("key", "lead.digest", "lead.label", "lead.total"), "band-leaders")
-        lead = leaders.select("key", F.col("digest").alias("a"), F.col("label").alias("label_a"), F.col("total").alias("total_a"))
-        # Members that led before were compared with all then; of two leaders one order is enough.
-        pairs = waiting.join(lead, "key").where((F.col("label") != F.col("label_a")) & (F.least("total", "total_a") >= F.greatest("total", "total_a") * (SIMILAR - 1e-6)))
-        pairs = written(pairs.select(F.least("a", "digest").alias("a"), F.greatest("a", "digest").alias("b")).distinct(), "pairs")
-        links = written(verified(pairs, texts), "verified")
-        if not links.isEmpty():
-            labels = relabelled(labels, links)
-        new = leaders.select("key", "digest")
-        led = new if led is None else written(led.union(new), "led")
-        parts *= 8
+    lead = members.groupBy("key").agg(F.max(F.struct("centre", "digest", "total")).alias("lead")).select("key", F.col("lead.digest").alias("a"), F.col("lead.total").alias("total_a"))
+    near = (F.col("digest") != F.col("a")) & (F.least("total", "total_a") >= F.greatest("total", "total_a") * (SIMILAR - 1e-6))
+    pairs = members.join(lead, "key").where(near).select("a", F.col("digest").alias("b")).distinct()
+    labels = relabelled(labels, written(verified(written(pairs, "pairs"), texts), "verified"))
+    now = members.select("key", "digest").join(labels.withColumnRenamed("node", "digest"), "digest")
+    unsettled = now.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count(F.lit(1)).alias("n")).where("x <> y and n > 2").select("key")
+    rest = written(now.join(unsettled, "key", "left_semi"), "unsettled")
+    return labels if rest.isEmpty() else relabelled(labels, written(blocks_compared(rest, texts), "block-links"))
 
 
 def classes(docs: DataFrame) -> DataFrame:
     """doc_id, class_id (the least doc_id of its class), class_size, class_texts (different texts) of each row of docs."""
     rows = written(sampled_texts(docs), "sampled")
-    texts = rows.where(F.col("bands").isNotNull()).groupBy("digest").agg(*[F.first(c).alias(c) for c in ("bands", "hashes", "weights")])
-
-    def totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sums = [float(np.frombuffer(w, np.float32).astype(np.float64).sum()) for w in batch.column("weights").to_pylist()]
-            yield pa.record_batch([*(batch.column(c) for c in ("digest", "bands", "hashes", "weights")), pa.array(sums, pa.float64())], ["digest", "bands", "hashes", "weights", "total"])
-
-    texts = written(texts.mapInArrow(totals, "digest binary, bands array<long>, hashes binary, weights binary, total double"), "texts")
-    labels = text_classes(texts)
+    thin = rows.where(F.col("bands").isNotNull()).groupBy("digest").agg(*[F.first(c).alias(c) for c in ("bands", "total", "centre")])
+    keyed = written(thin.select("digest", "total", "centre", F.explode("bands").alias("key")), "bands")
+    shared = keyed.groupBy("key").agg(F.min("digest").alias("least"), F.max("digest").alias("most")).where("least <> most").select("key")
+    members = written(keyed.join(shared, "key", "left_semi"), "members")
+    partners = written(members.select("digest").distinct(), "partners")
+    texts = named(rows.where(F.col("bands").isNotNull()).select("digest", "hashes", "weights"), partners).groupBy("digest").agg(F.first("hashes").alias("hashes"), F.first("weights").alias("weights"))
+    labels = text_classes(members, written(texts, "texts"))
     each = rows.groupBy("digest").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"))
     each = written(each.join(labels.withColumnRenamed("node", "digest"), "digest", "left").withColumn("label", F.coalesce("label", "digest")), "digests")
     whole = each.groupBy("label").agg(F.min("least").alias("class_id"), F.sum("copies").alias("class_size"), F.count(F.lit(1)).alias("class_texts"))
