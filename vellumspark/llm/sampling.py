@@ -30,4 +30,6 @@ def labelled_sample(labels: DataFrame, label: str, bound: int) -> tuple[DataFram
         kept = rows if kept is None else kept.unionByName(rows)
     if kept is None:
         kept = known.withColumn("rank", hash_unit("doc_id"))
+    # Another hash for the order of training: by the first one, a label of which few rows are kept would come in one lump.
+    kept = kept.withColumn("rank", hash_unit("doc_id", F.lit("order")))
     return kept, {v: min(1.0, bound / n) for v, n in counts.items()}

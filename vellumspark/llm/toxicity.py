@@ -26,7 +26,7 @@ from vellumspark.llm.sampling import labelled_sample
 BITS, STEMS = 22, (4, 6)
 #: At most so many rows of each label are learned from.
 SAMPLE = 8_000
-ALPHA, BETA, L1, L2, EPOCHS = 0.1, 1.0, 1.2, 0.5, 3
+ALPHA, BETA, L1, L2, EPOCHS = 0.3, 1.0, 4.0, 1.0, 4
 THRESHOLD = 0.3
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _ENDS = b".,;:!?\"'()[]{}*#$%&|-_"
