@@ -12,7 +12,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vellumspark.functions import text as X
+from vellumspark.functions.kernels import edits_column, well_formed_column
 from vellumspark.operators import analyzers, blocks, census, gate, repair, toc
+from vellumspark.plans import audit
 from vellumspark.sources.tables import line_blocks, numbered_blocks, page_docs, table, text_docs, word_blocks
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -764,3 +766,32 @@ def catalogue_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = spark.range(1).select(F.explode(F.split(F.lit("1, 5,5,x,7777777,12"), ",")).alias("w")).select(F.trim("w").try_cast("long").alias("c_custkey")).where("c_custkey is not null").distinct()
     books = table(spark, sf_dir, "customer").join(ids, "c_custkey", "left_semi").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     return books.select(F.col("c_custkey").alias("id"), F.concat(F.lower("c_name"), F.lit(".epub")).alias("path"), F.col("n_name").alias("language"))
+
+
+# Kernels that SQL can't express; tests hold them against hand-made cases
+
+@query()
+def html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = audit.block_rows(page_docs(table(spark, sf_dir, "pages")))
+    return rows.select("book_id", "pos", "idx", "tag", F.length("text").alias("chars"), "img_before", "in_quote")
+
+
+@query()
+def unwell_formed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages before and after the core repairs: whether an XML parser takes them."""
+    pages = repair.repaired(table(spark, sf_dir, "pages").withColumn("before", well_formed_column(F.col("html"))))
+    return pages.select("page_id", "before", well_formed_column(F.col("html")).alias("after"))
+
+
+@query()
+def stack_repairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stray closers, duplicate ids and watermark paragraphs on damaged pages."""
+    changes = ((2, "</article>", "</article></section>"), (3, "<li>", '<li id="x">'), (5, "<article>", '<article><p>from <a href="http://oceanofpdf.com">oceanofpdf.com</a></p>'))
+    pages = _pages(spark, sf_dir, *changes).withColumn("e", edits_column(F.col("html"), ("oceanofpdf.com",)))
+    return pages.select("page_id", F.md5("e.html").alias("digest"), "e.stray", "e.ids", "e.marks")
+
+
+@query()
+def audit_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = audit.report(audit.audit(page_docs(table(spark, sf_dir, "pages"))))
+    return found.select("book_id", "status", F.to_json("verdicts").alias("verdicts"))
