@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from vellumspark.functions import text as X
 from vellumspark.functions.kernels import edits_column, well_formed_column
-from vellumspark.operators import analyzers, blocks, census, gate, repair, toc
+from vellumspark.operators import analyzers, blocks, census, gate, package, repair, toc
 from vellumspark.plans import audit
 from vellumspark.sources.tables import line_blocks, numbered_blocks, page_docs, table, text_docs, word_blocks
 
@@ -795,3 +795,55 @@ def stack_repairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def audit_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = audit.report(audit.audit(page_docs(table(spark, sf_dir, "pages"))))
     return found.select("book_id", "status", F.to_json("verdicts").alias("verdicts"))
+
+
+# Packages, continued
+
+flag("downgrade-epub3-tags", ((2, "<article>", '<section id="a>b"><figure class="k"><figcaption>c</figcaption></figure></section><article>'),), "replace(html, '<section id=\"a>b\"><figure class=\"k\"><figcaption>c</figcaption></figure></section>', '<div id=\"a>b\" class=\"section\"><div class=\"k figure\"><p class=\"figcaption\">c</p></div></div>')", f"6 * ({occurrences('<section id=\"a>b\"><figure class=\"k\"><figcaption>c</figcaption></figure></section>')})")
+
+
+@query(
+    "select page_id, md5(case when page_id % 5 = 0 then html when page_id % 2 = 0 then replace(html, '<!DOCTYPE html>', '" + repair.XHTML11 + "') else html end) as digest, case when page_id % 5 <> 0 and page_id % 2 = 0 and html like '%<!DOCTYPE html>%' then 1 else 0 end::bigint as n from pages"
+)
+def flag_fix_doctype(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """EPUB 2 on even pages, EPUB 3 on odd ones; every fifth package has no version and licenses nothing."""
+    pages = table(spark, sf_dir, "pages").withColumn("major", F.when(F.col("page_id") % 5 != 0, F.when(F.col("page_id") % 2 == 0, 2).otherwise(3)))
+    return repair.applied(pages, [repair.Whole(repair.doctype(F.col("major")))]).select("page_id", F.md5("html").alias("digest"), "n")
+
+
+@query("select p_partkey, '<package unique-identifier=\"v\" version=\"' || case when p_size % 3 = 0 then '2.0' when p_size % 3 = 1 then '1.1' else '3.0' end || '\">' as opf, (p_size % 3 = 0)::integer::bigint as n from part")
+def package_version_fix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    size = F.col("p_size") % 3
+    opf = F.concat(F.lit('<package unique-identifier="v" version="'), F.when(size == 0, "1.0").when(size == 1, "1.1").otherwise("3.0"), F.lit('">'))
+    return repair.applied(table(spark, sf_dir, "part").select("p_partkey", opf.alias("opf")), repair.PACKAGE_VERSION, "opf").select("p_partkey", "opf", "n")
+
+
+@query(
+    "with i as (select o_orderkey book_id, 'x' || ['.jpg','.PNG','.woff','.txt'][o_custkey % 4 + 1] path, ['image/png','image/jpeg','text/plain'][o_orderkey % 3 + 1] media_type, ['ffd8ffe0','89504e47','774f4646'][(o_custkey + o_orderkey) % 3 + 1] head from orders) "
+    "select book_id, path, media_type, expected from (select *, case when path like '%.jpg' and head = 'ffd8ffe0' then 'image/jpeg' when path like '%.PNG' and head = '89504e47' then 'image/png' when path like '%.woff' and head = '774f4646' then 'font/woff' end expected from i) where expected <> media_type"
+)
+def media_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pick = lambda names, at: F.get(F.array(*[F.lit(x) for x in names]), at.cast("int"))
+    book, customer = F.col("o_orderkey"), F.col("o_custkey")
+    path = F.concat(F.lit("x"), pick([".jpg", ".PNG", ".woff", ".txt"], customer % 4))
+    rows = table(spark, sf_dir, "orders").select(book.alias("book_id"), path.alias("path"), pick(["image/png", "image/jpeg", "text/plain"], book % 3).alias("media_type"), F.unhex(pick(["ffd8ffe0", "89504e47", "774f4646"], (customer + book) % 3)).alias("head"))
+    return package.wrong_media_types(rows.drop("head"), rows.select("book_id", "path", "head"))
+
+
+@query(
+    "with b as (select c_custkey book_id, unnest([0, 1, 2]) idx from customer), x as (select *, case when idx = 0 then 'a' || (book_id % 3) || '.ttf' when idx = 1 then 'b.ttf#iefix' else 'c' || (book_id % 2) || '.ttf' end url from b) "
+    "select book_id, 'css/s.css' as path, idx::integer as idx, '@font-face { src: url(' || url || ') }' as block from x where idx <> 1 and not (idx = 0 and book_id % 3 = 1) and not (idx = 2 and book_id % 2 = 0) and book_id % 7 <> 0"
+)
+def dead_font_faces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("c_custkey")
+    face = lambda url: F.concat(F.lit("@font-face { src: url("), url, F.lit(") }"))
+    css = F.concat_ws("\n", face(F.concat(F.lit("a"), (key % 3).cast("string"), F.lit(".ttf"))), face(F.lit("b.ttf#iefix")), face(F.concat(F.lit("c"), (key % 2).cast("string"), F.lit(".ttf"))), F.when(key % 7 == 0, "/* note */"))
+    books = table(spark, sf_dir, "customer").select(key.alias("book_id"), F.lit("css/s.css").alias("path"), css.alias("css"))
+    names = books.select("book_id", F.explode(F.array(F.lit("css/a1.ttf"), F.lit("css/c0.ttf"))).alias("path"))
+    return package.dead_font_faces(books, names)
+
+
+@query("select event_type as code, count(*) as messages, count(distinct user_id) as books from events group by all")
+def legacy_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = table(spark, sf_dir, "events").groupBy("user_id").agg(F.array_join(F.collect_list("event_type"), ",").alias("codes"))
+    return package.sweep_codes(lines.select(F.concat(F.col("user_id").cast("string"), F.lit(".epub ||| "), "codes").alias("value")))
