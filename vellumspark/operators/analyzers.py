@@ -110,15 +110,18 @@ def content_sample(docs: DataFrame, cap: int = SAMPLE_CHARS) -> DataFrame:
     return sized.withColumn("before", before).withColumn("last", F.col("pos") == last).where((F.col("before") < cap) | F.col("last"))
 
 
-def language_votes(text: Column) -> Column:
-    """struct(best, nwords, ratio, ratio_en): the share of stopwords among the first 5000 words, by language."""
-    words = X.words(text)
-    n = F.size(words)
-    hits = lambda own: F.size(F.filter(words, lambda w: w.isin(own.split())))
-    ratios = {code: F.when(n > 0, hits(own) / n).otherwise(0.0) for code, own in STOPWORDS.items()}
-    best = F.greatest(*ratios.values())
-    name = F.coalesce(*[F.when(r == best, F.lit(code)) for code, r in ratios.items()])
-    return F.struct(name.alias("best"), n.alias("nwords"), best.alias("ratio"), ratios["en"].alias("ratio_en"))
+def language_votes(docs: DataFrame, text: Column, name: str = "v") -> DataFrame:
+    """docs with struct(best, nwords, ratio, ratio_en): the share of stopwords among the first 5000 words, by language.
+
+    Words, ratios and the best are projections one after the other, so that words are cut once.
+    """
+    docs = docs.withColumn("__w", X.words(text)).withColumn("__n", F.size("__w"))
+    hits = lambda own: F.size(F.filter("__w", lambda w: w.isin(own.split())))
+    docs = docs.withColumns({f"__{code}": F.when(F.col("__n") > 0, hits(own) / F.col("__n")).otherwise(0.0) for code, own in STOPWORDS.items()})
+    docs = docs.withColumn("__best", F.greatest(*[f"__{code}" for code in LANGUAGES]))
+    best = F.coalesce(*[F.when(F.col(f"__{code}") == F.col("__best"), F.lit(code)) for code in LANGUAGES])
+    vote = F.struct(best.alias("best"), F.col("__n").alias("nwords"), F.col("__best").alias("ratio"), F.col("__en").alias("ratio_en"))
+    return docs.withColumn(name, vote).drop("__w", "__n", "__best", *[f"__{code}" for code in LANGUAGES])
 
 
 def content_findings(vote: Column, nonlatin: Column, letters: Column, text: Column) -> Column:

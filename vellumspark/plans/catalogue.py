@@ -179,7 +179,7 @@ VOTES = (
 
 @query(VOTES.format(t="text") + "select doc_id, best, nwords, round(ratio, 6) as ratio, case when best <> 'en' and nwords >= 400 and ratio > 0.06 and ratio > 1.3 * ratio_en then 'LATIN-SCRIPT FOREIGN' else '' end as category from b")
 def language_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").withColumn("v", analyzers.language_votes(F.coalesce("text", F.lit("")))).where("v.nwords > 0")
+    docs = analyzers.language_votes(table(spark, sf_dir, "documents"), F.coalesce("text", F.lit(""))).where("v.nwords > 0")
     found = analyzers.content_findings(F.col("v"), F.lit(0), F.lit(1), F.lit(""))
     return docs.select("doc_id", "v.best", F.col("v.nwords").cast("long").alias("nwords"), F.round("v.ratio", 6).alias("ratio"), found.alias("category"))
 
@@ -740,7 +740,7 @@ def census_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
     "select v.doc_id, case when not foreign_ then 'clean' when coalesce(l.quality, 1) = 0 then 'expected' else 'flag' end as status from v left join labels l using (doc_id)"
 )
 def expected_foreign_suppression(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").withColumn("v", analyzers.language_votes(F.coalesce("text", F.lit("")))).where("v.nwords > 0")
+    docs = analyzers.language_votes(table(spark, sf_dir, "documents"), F.coalesce("text", F.lit(""))).where("v.nwords > 0")
     found = analyzers.content_findings(F.col("v"), F.lit(0), F.lit(1), F.lit("")) != ""
     expected = table(spark, sf_dir, "labels").select("doc_id", "quality")
     status = F.when(~found, "clean").when(F.coalesce("quality", F.lit(1)) == 0, "expected").otherwise("flag")
