@@ -139,7 +139,7 @@ def test_base_scores_and_better_ones(docs, texts):
     assert sum(got[i].score for i in texts if held[i]) > sum(got[i].base_score for i in texts if held[i])
 
 
-def test_automaton_reads_as_backoff_says():
+def test_automaton_reads_as_backoff_says(monkeypatch):
     rng = np.random.default_rng(1)
     words = [rng.integers(0, 6, rng.integers(1, 12)) for _ in range(60)]
     n, end = 8, 7
@@ -175,6 +175,8 @@ def test_automaton_reads_as_backoff_says():
         want = math.log10(p2(s[0], s[1])) + sum(math.log10(p3(*t)) for t in zip(s, s[1:], s[2:]))
         assert value == pytest.approx(want)
     assert sum(p3(end, 1, c) for c in range(n)) == pytest.approx(1)
+    monkeypatch.setattr(language_model, "SEGMENT", 3)
+    assert automaton.read(flat.astype(np.int32), np.cumsum(lengths) - lengths, lengths) == pytest.approx(got)
 
 
 def test_language_model_of_odd_rows(odd, none):
