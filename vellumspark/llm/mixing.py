@@ -69,7 +69,9 @@ def mix(docs: DataFrame, most: float = 3.0, carry: tuple[str, ...] = (), words:
     sized = written(sized, "sizes")
     targets = source_targets(sized.select("source", "size"), most)
     # Prefix sums within a source, in two levels so that a hot source is dealt over all tasks: hash slices, then rows in a slice.
-    keyed = sized.withColumn("rank", F.xxhash64("doc_id")).withColumn("slice", F.floor((F.shiftright("rank", 32) + 2147483648) * (4 * parts) / 4294967296).cast("int"))
+    # The order within a source: 60 bits of a hash that SQL engines have in common.
+    digits = F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, 15)
+    keyed = sized.withColumn("rank", F.conv(digits, 16, 10).cast("long")).withColumn("slice", F.floor(F.col("rank") / float(1 << 60) * (4 * parts)).cast("int"))
     slices = keyed.select("source", "size", "slice").groupBy("source", "slice").agg(F.sum("size").alias("slice_size"))
     # Rows of (source, slice) at most; the window of a source has 4 * shuffle partitions of them.
     earlier = Window.partitionBy("source").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)

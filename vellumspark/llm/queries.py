@@ -62,7 +62,34 @@ def op8_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents"))
+    """Targets and positions to six places, to compare with SQL."""
+    mix = mixing.mix(table(spark, sf_dir, "documents"))
+    return mix.withColumns({"target": F.round("target", 6), "position": F.round("position", 6)})
+
+
+SOURCE_MIX_SQL = """
+with d as (
+  select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::bigint size,
+         ('0x' || substr(md5(coalesce(doc_id::varchar, '')), 1, 15))::bigint rank
+  from documents),
+s as (select source, sum(size)::bigint ss, row_number() over (order by source nulls last) n, count(*) over () k from d group by source),
+w as (select *, (n - 1) % 3 + 1 weight, 3.0::double * ss::double cap, sum(ss) over ()::double total from s),
+f as (select *, (total - coalesce(sum(cap) over (order by cap / weight, n rows between unbounded preceding and 1 preceding), 0))
+                / sum(weight) over (order by cap / weight, n rows between current row and unbounded following) level from w),
+c as (select *, level * weight >= cap capped from f),
+t as (select source, ss, case when capped then cap else weight * first_value(level) over (partition by capped order by cap / weight, n) end target,
+             case when k > 1 then 0.5::double * (1 - 2 * (n - 1) / (k - 1)::double) else 0::double end tilt from c),
+b as (select d.*, t.ss, t.target, t.tilt, round(t.target)::bigint budget,
+             coalesce(sum(size) over (partition by d.source order by rank, doc_id, size rows between unbounded preceding and 1 preceding), 0) st
+      from d join t on d.source is not distinct from t.source),
+m as (select *, least((case when ss > 0 then budget // greatest(ss, 1) else 0 end) * size
+        + greatest(0, least(size, budget - (case when ss > 0 then budget // greatest(ss, 1) else 0 end) * ss - st)), 3 * size)::bigint taken from b),
+u as (select *, least(1.0::double, st::double / greatest(target, 1.0::double)) share from m)
+select doc_id, size, ss as source_size, round(target, 6) as target, taken,
+       round(case when taken > 0 then (case when abs(tilt) < 1e-9 then share
+         else (1 + tilt - sqrt(greatest((1 + tilt) * (1 + tilt) - 4 * tilt * share, 0))) / (2 * tilt) end) end, 6) + 0.0::double as position, source
+from u
+"""
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,4 +102,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_source_mix": SOURCE_MIX_SQL}
