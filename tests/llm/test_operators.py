@@ -127,56 +127,57 @@ def test_languages_of_odd_rows(odd, none):
 # Language model
 
 
-def test_base_scores_and_better_ones(docs, texts):
+def test_scores_are_those_of_counts_in_dictionaries(docs, texts):
     got = {r.doc_id: r for r in language_model.score(docs, held_out(10, 0)).collect()}
     tokens = {i: [w for w in re.split("[\x20\x09-\x0d]+", t.translate(LOWER)) if w] + [None] for i, t in texts.items()}
     held = {i: zlib.crc32(str(i).encode()) % 10 == 0 for i in texts}
-    counts = collections.Counter(w for i, t in tokens.items() if not held[i] for w in t)
-    total, types = sum(counts.values()), len(counts)
+    one, two, three = collections.Counter(), collections.Counter(), collections.Counter()
     for i, t in tokens.items():
-        base = sum(math.log10((counts[w] + 0.1) / (total + 0.1 * (types + 1))) for w in t)
-        assert got[i].base_score == pytest.approx(base) and got[i].n_tokens == len(t) and got[i].n_known == sum(counts[w] > 0 for w in t) and got[i].train_tokens == total
+        if not held[i]:
+            s = [None, *t]
+            one.update(t), two.update(zip(s, s[1:])), three.update(zip(s, s[1:], s[2:]))
+    total, types, (m1, m2) = sum(one.values()), len(one), (language_model.PRIOR[1], language_model.PRIOR[2])
+    p1 = lambda w: (one[w] + 0.1) / (total + 0.1 * (types + 1))
+    p2 = lambda a, w: (two[a, w] + m1 * p1(w)) / (one[a] + m1)
+    p3 = lambda a, b, w: (three[a, b, w] + m2 * p2(b, w)) / (two[a, b] + m2)
+    for i, t in tokens.items():
+        s = [None, *t]
+        want = math.log10(p2(*s[:2])) + sum(math.log10(p3(*x)) for x in zip(s, s[1:], s[2:]))
+        base = sum(math.log10(p1(w)) for w in t)
+        assert got[i].score == pytest.approx(want) and got[i].base_score == pytest.approx(base)
+        assert (got[i].n_tokens, got[i].n_known, got[i].train_tokens, got[i].held_out) == (len(t), sum(one[w] > 0 for w in t), total, held[i])
     assert sum(got[i].score for i in texts if held[i]) > sum(got[i].base_score for i in texts if held[i])
+    assert sum(p3(None, "the", w) for w in one) + 0.1 / (total + 0.1 * (types + 1)) * m1 / (one["the"] + m1) * m2 / (two[None, "the"] + m2) == pytest.approx(1)
+
+
+def test_texts_that_occur_twice_are_told_apart(spark):
+    """A held-out copy of a training text is likelier than other held-out texts, however rare its words."""
+    docs = spark.read.parquet(SF.replace("0.001", "0.01") + "/documents.parquet").where("length(text) > 200")
+    rows = {r.doc_id: r for r in language_model.score(docs, held_out(10, 0)).collect()}
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    known = {texts[i] for i, r in rows.items() if not r.held_out}
+    gain = lambda r: (r.score - r.base_score) / r.n_tokens
+    twice, once = ([gain(r) for i, r in rows.items() if r.held_out and (texts[i] in known) == x] for x in (True, False))
+    assert twice and np.mean([x > np.quantile(once, 0.9) for x in twice]) >= 0.9
 
 
-def test_automaton_reads_as_backoff_says(monkeypatch):
+def test_long_texts_are_read_in_segments(monkeypatch):
     rng = np.random.default_rng(1)
-    words = [rng.integers(0, 6, rng.integers(1, 12)) for _ in range(60)]
-    n, end = 8, 7
-    flat = np.concatenate([np.append(w, end) for w in words])
-    one = np.bincount(flat, minlength=n)
-    two, three = collections.Counter(), collections.Counter()
-    for w in words:
-        s = [end, *w.tolist(), end]
-        two.update(zip(s, s[1:]))
-        three.update(zip(s, s[1:], s[2:]))
-    two, three = ({k: c for k, c in x.items() if c >= 2} for x in (two, three))
-    symbols = language_model.Symbols(np.arange(6, dtype=np.uint64), one[:6], len(flat), len(words), 7)
-    k2 = sorted(a * n + b for a, b in two)
-    k3 = sorted((k2.index(a * n + b) * n + c, three[a, b, c]) for a, b, c in three)
-    automaton = language_model.Automaton(symbols, (np.array(k2, np.uint64), np.array([two[k // n, k % n] for k in k2])), (np.array([k for k, _ in k3], np.uint64), np.array([c for _, c in k3])))
-    p1 = (symbols.counts + 0.1) / (symbols.counts.sum() + 0.1 * n)
-    d = language_model.DISCOUNT
-
-    def p2(a, b):
-        left = 1 - sum((c - d) / one[a] for (x, _), c in two.items() if x == a)
-        return (two[a, b] - d) / one[a] + left * p1[b] if (a, b) in two else left * p1[b]
-
-    def p3(a, b, c):
-        if (a, b) not in two or not any(k[:2] == (a, b) for k in three):
-            return p2(b, c)
-        left = 1 - sum((m - d) / two[a, b] for k, m in three.items() if k[:2] == (a, b))
-        return ((three[a, b, c] - d) / two[a, b] if (a, b, c) in three else 0) + left * p2(b, c)
-
-    lengths = np.array([len(w) + 1 for w in words])
-    got = automaton.read(flat.astype(np.int32), np.cumsum(lengths) - lengths, lengths)
-    for w, value in zip(words, got):
-        s = [end, *w.tolist(), end]
-        want = math.log10(p2(s[0], s[1])) + sum(math.log10(p3(*t)) for t in zip(s, s[1:], s[2:]))
-        assert value == pytest.approx(want)
-    assert sum(p3(end, 1, c) for c in range(n)) == pytest.approx(1)
+    texts = [" ".join(f"w{k}" for k in rng.integers(0, 6, n)).encode() for n in rng.integers(0, 40, 60)]
+    tokens = language_model.Tokens(texts)
+    c1, c2, c3 = tokens.split(tokens.counts(np.arange(60) % 3 > 0))
+    automaton = language_model.Automaton((c1 + 0.1) / (c1.sum() + 0.7), c1, tokens.pairs, c2, tokens.triples, c3)
+    whole = automaton.read(tokens.ids, tokens.starts, tokens.lengths)
     monkeypatch.setattr(language_model, "SEGMENT", 3)
-    assert automaton.read(flat.astype(np.int32), np.cumsum(lengths) - lengths, lengths) == pytest.approx(got)
+    assert automaton.read(tokens.ids, tokens.starts, tokens.lengths) == pytest.approx(whole)
+
+
+def test_what_travels_comes_back():
+    rng = np.random.default_rng(2)
+    for keys in ([0], [5, 6, 1 << 39], [0, (1 << 40) - 1], np.unique(rng.integers(0, 1 << 40, 500)).tolist(), np.arange(1000).tolist()):
+        assert language_model.unpacked_keys(language_model.packed_keys(np.array(keys, np.uint64))).tolist() == keys
+    counts = rng.integers(0, 600, 300)
+    assert language_model.unpacked_counts(language_model.packed_counts(counts), 300).tolist() == counts.tolist()
 
 
 def test_language_model_of_odd_rows(odd, none):

@@ -45,6 +45,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def row_blocks(rows: DataFrame, blocks: int) -> DataFrame:
+    """rows with `block`, dealt evenly by their place in the table: rows that repeat, or share any key, make no block large.
+
+    The place is that within the scan, which a task that is run again finds the same.
+    """
+    return rows.withColumn("block", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(blocks)).cast("int"))
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

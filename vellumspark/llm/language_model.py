@@ -1,19 +1,27 @@
 """Language-model scoring with a weighted backoff automaton (operator 5).
 
-Tokens are the words of a text (A-Z lowered, split at ASCII white space) and one end. Counts of words, pairs and triples
-are taken over all training documents. N-grams of a relative frequency of EPSILON or more become states and arcs, so
-there are at most 1/EPSILON of each order whatever the corpus, which bounds what is broadcast; all other words share one
-rare-word symbol, within which a word is emitted by its own exact count, looked up by a join. Pairs are counted among
-symbols, triples among kept pairs (a triple is no more frequent than its pairs).
-
-Smoothing is interpolated absolute discounting: p(w | h) = (c(hw) - D) / c(h) + b(h) p(w | h without its first word),
-where b(h) is what kept arcs leave over. An arc holds p of a kept n-gram; a failure arc holds b(h) and leads to the
-state of h without its first word. A text is read once from left to right: its state takes the arc of the next token,
-or fails until there is one (the root has one for each symbol), and the log-probabilities add up.
+Tokens are the words of a text (A-Z lowered, split at ASCII white space) and one end. The model has every word, pair and
+triple of all training documents, at any size of the corpus: none is cut by its frequency.
+
+Smoothing is hierarchical Dirichlet: p(w | h) = (c(hw) + M p(w | h')) / (c(h) + M), where h' is h without its first word
+and M = PRIOR[1] or PRIOR[2] by the length of h; words start from p(w) = (c(w) + ADD) / (N + ADD (V + 1)). It sums to 1
+over all words for any h and needs nothing but counts. States are the contexts seen; an arc holds p(w | h) of an n-gram
+seen; a failure arc holds M / (c(h) + M) and leads to the state of h'. A text is read once from left to right: its state
+takes the arc of the next token, or fails until there is one (the root has one for each word), and log-probabilities
+add up.
+
+The automaton of a corpus doesn't fit into a task, so each block of texts is read with that part of it that the block can
+reach, which is exact:
+1. Documents are dealt into blocks of about BLOCK_BYTES by row, so that no key makes a block large.
+2. A block sends its distinct words, pairs and triples, hashed, with their training counts to the owners of their hash
+   ranges. An n-gram of any frequency is one entry of a block, so a hot one is no hot group.
+3. Owners add up and answer with the totals in the order asked, so only counts travel back.
+Keys within a range have 40 bits, and the ranges grow in number with the corpus: a key meets another by chance with a
+probability of about one in 10**6, whatever the size.
 
 Defined results: a null or empty text is its end alone; a null doc_id is a training document; repeated rows each get
 their row, and count as often as they stand; without training documents all words are unknown; an empty table gives an
-empty result; other columns are ignored.
+empty result; other columns are ignored. docs should be a table (or a checkpoint), as its rows are dealt by their place.
 """
 
 from __future__ import annotations
@@ -22,160 +30,147 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vellumspark.llm.common import batches_of, hash_words, shuffle_partitions, small_batches, texts_of, written
+from vellumspark.llm.common import batches_of, hash_words, row_blocks, shuffle_partitions, small_batches, texts_of
 
-EPSILON, DISCOUNT, ADD = 2e-7, 0.75, 0.1
+#: The weight of the shorter context, in tokens, for contexts of one and of two words.
+PRIOR = {1: 300.0, 2: 10.0}
+ADD = 0.1
 BLOCK_BYTES, BATCH = 4 << 20, 1_000
-#: Distinct n-grams that a task holds before it sends what it has.
-HELD = 600_000
 #: Symbols of a text that are read in one go.
 SEGMENT = 512
-PIECES = "part int, keys binary, counts binary"
-TOKENS = "block string, part int, doc_ids array<long>, held array<boolean>, a binary, b binary"
-_P = np.uint64(0x9E3779B97F4A7C15)
-_Q = np.uint64(0xC2B2AE3D27D4EB4F)
+ASKED = "block int, part int, keys binary, counts binary"
+TOTALS = "block int, part int, counts binary"
+SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+_P, _Q, _R = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
+_END = np.uint64(0xD6E8FEB86659FD93)
+_LOCAL = np.uint64(40)
+_MASK = np.uint64((1 << 40) - 1)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(31))) * _Q
-    return x ^ (x >> np.uint64(29))
-
-
-def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(keys, kind="stable")
-    keys, counts = keys[order], counts[order]
-    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
-    return keys[first], np.add.reduceat(counts, first) if len(first) else counts
+    x = (x ^ (x >> np.uint64(29))) * _P
+    return x ^ (x >> np.uint64(32))
 
 
-class Tally:
-    """Counts of 64-bit keys within a task, sent as pieces by hash range."""
-
-    def __init__(self, parts: int):
-        self.parts, self.got, self.size = parts, [], 0
+def found_in(known: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each key is in `known`, ascending, and whether it is there."""
+    if not len(known):
+        return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+    at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+    return at, known[at] == keys
 
-    def add(self, keys: np.ndarray) -> bool:
-        """True if it is time to send."""
-        if len(keys):
-            found = np.unique(keys, return_counts=True)
-            self.got.append((found[0], found[1].astype(np.int64)))
-            self.size += len(found[0])
-            if self.size > HELD:
-                self.merge()
-        return self.size > HELD // 2
 
-    def merge(self) -> None:
-        if len(self.got) > 1:
-            self.got = [summed(np.concatenate([k for k, _ in self.got]), np.concatenate([c for _, c in self.got]))]
-        self.size = len(self.got[0][0]) if self.got else 0
+# What travels
 
-    def send(self) -> Iterator[pa.RecordBatch]:
-        self.merge()
-        if self.size:
-            keys, counts = self.got[0]
-            yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*dealt(keys, counts, self.parts), strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)], ["part", "keys", "counts"])
-        self.got, self.size = [], 0
 
+def packed_keys(keys: np.ndarray) -> bytes:
+    """Ascending 40-bit keys: the first and 32-bit steps where these suffice, else five bytes each."""
+    steps = np.diff(keys)
+    if len(keys) and (not len(steps) or steps.max() < 1 << 32):
+        return b"\1" + keys[:1].tobytes() + steps.astype(np.uint32).tobytes()
+    return b"\0" + (keys & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes() + (keys >> np.uint64(32)).astype(np.uint8).tobytes()
 
-def dealt(keys: np.ndarray, values: np.ndarray, parts: int) -> list[tuple[int, bytes, bytes]]:
-    """(part, keys, values) by the hash range of the keys."""
-    part = ((mixed(keys) >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
-    order = np.argsort(part, kind="stable")
-    part, keys, values = part[order], keys[order], values[order]
-    cuts = np.flatnonzero(np.diff(part)) + 1
-    return [(int(part[a]), keys[a:b].tobytes(), values[a:b].astype(np.uint32).tobytes()) for a, b in zip([0, *cuts], [*cuts, len(keys)], strict=True)] if len(keys) else []
 
+def unpacked_keys(data: bytes) -> np.ndarray:
+    if data[0]:
+        return np.cumsum(np.concatenate([np.frombuffer(data, np.uint64, 1, 1), np.frombuffer(data, np.uint32, -1, 9).astype(np.uint64)]), dtype=np.uint64)
+    n = (len(data) - 1) // 5
+    return np.frombuffer(data, np.uint32, n, 1).astype(np.uint64) | np.frombuffer(data, np.uint8, n, 1 + 4 * n).astype(np.uint64) << np.uint64(32)
 
-def gathered(pieces: DataFrame, least: int) -> DataFrame:
-    """part, keys, counts of the keys that come `least` times or more: pieces of a hash range meet."""
 
-    def add_up(group: pa.Table) -> pa.Table:
-        keys = np.concatenate([np.frombuffer(x, np.uint64) for x in group.column("keys").to_pylist()])
-        counts = np.concatenate([np.frombuffer(x, np.uint32) for x in group.column("counts").to_pylist()]).astype(np.int64)
-        keys, counts = summed(keys, counts)
-        kept = counts >= least
-        return pa.table([pa.array([group.column("part")[0].as_py()], pa.int32()), pa.array([keys[kept].tobytes()], pa.binary()), pa.array([np.minimum(counts[kept], 0xFFFFFFFF).astype(np.uint32).tobytes()], pa.binary())], ["part", "keys", "counts"])
+def packed_counts(counts: np.ndarray) -> bytes:
+    """A byte each; 255 stands for the next of the larger ones, which follow."""
+    return np.minimum(counts, 255).astype(np.uint8).tobytes() + np.minimum(counts[counts >= 255], 0xFFFFFFFF).astype(np.uint32).tobytes()
 
-    return pieces.groupBy("part").applyInArrow(add_up, PIECES)
 
+def unpacked_counts(data: bytes, n: int) -> np.ndarray:
+    out = np.frombuffer(data, np.uint8, n).astype(np.int64)
+    out[out == 255] = np.frombuffer(data[n:], np.uint32)
+    return out
 
-def collected(table: DataFrame, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Keys, ascending, and counts of those with `least` or more: at most 1/EPSILON of them."""
 
-    def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for keys, counts in zip(batch.column("keys").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-                k, c = np.frombuffer(keys, np.uint64), np.frombuffer(counts, np.uint32)
-                if (kept := c >= least).any():
-                    yield pa.record_batch([pa.array([k[kept].tobytes()], pa.binary()), pa.array([c[kept].tobytes()], pa.binary())], ["keys", "counts"])
+def ranges(keys: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(part, start, end) of ascending keys whose upper bits are the part."""
+    part = (keys >> _LOCAL).astype(np.int64)
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(keys)] if len(keys) else []
+    return ((int(part[a]), a, b) for a, b in zip(cuts, cuts[1:]))
 
-    rows = table.select("keys", "counts").mapInArrow(frequent, "keys binary, counts binary").collect()
-    keys = np.concatenate([np.zeros(0, np.uint64), *[np.frombuffer(r[0], np.uint64) for r in rows]])
-    counts = np.concatenate([np.zeros(0, np.uint32), *[np.frombuffer(r[1], np.uint32) for r in rows]]).astype(np.int64)
-    order = np.argsort(keys)
-    return keys[order], counts[order]
 
+# Blocks of texts
 
-def found_in(known: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where each key is in `known`, ascending, and whether it is there."""
-    if not len(known):
-        return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
-    at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
-    return at, known[at] == keys
 
+class Tokens:
+    """Texts as numbers of symbols (the last is the end, which also stands before each text), with their distinct n-grams."""
 
-class Symbols:
-    """Frequent words by number; then the rare-word symbol and the end."""
+    def __init__(self, texts: list[bytes]):
+        words = [hash_words(t) for t in texts]
+        self.lengths = np.array([len(w) + 1 for w in words], np.int64)
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.names, at = np.unique(np.concatenate([*words, np.zeros(0, np.uint64)]), return_inverse=True)
+        self.end = len(self.names)
+        self.size = self.end + 1
+        self.ids = np.full(int(self.lengths.sum()), self.end, np.int64)
+        inner = np.ones(len(self.ids), bool)
+        inner[self.starts + self.lengths - 1] = False
+        self.ids[inner] = at
+        self.pairs, self.pair_at = np.unique(np.concatenate([[self.end], self.ids[:-1]]) * self.size + self.ids, return_inverse=True)
+        #: Where a triple ends: a text's first token has the start alone before it.
+        third = np.ones(len(self.ids), bool)
+        third[self.starts] = False
+        self.third = np.flatnonzero(third)
+        self.triples, self.triple_at = np.unique(self.pair_at[self.third - 1] * self.size + self.ids[self.third], return_inverse=True)
 
-    def __init__(self, words: np.ndarray, counts: np.ndarray, tokens: int, ends: int, types: int):
-        self.words, self.rare, self.end, self.size = words, len(words), len(words) + 1, len(words) + 2
-        self.tokens, self.types = tokens, types
-        self.rare_tokens = tokens - ends - int(counts.sum())
-        self.rare_types = types - (ends > 0) - len(words)
-        self.counts = np.concatenate([counts, [self.rare_tokens, ends]])
+    def keys(self, parts: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ascending keys of all n-grams, and which of them each has: words, the end, pairs, triples."""
+        one = np.append(mixed(self.names + _R), _END)
+        a, b = np.divmod(self.pairs, self.size)
+        two = mixed(one[a] * _Q + mixed(one[b]))
+        ab, c = np.divmod(self.triples, self.size)
+        three = mixed(two[ab] * _P + mixed(one[c] * _R))
+        every = np.concatenate([one, two, three])
+        part = ((every >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+        return np.unique(part << _LOCAL | every & _MASK, return_inverse=True)
 
-    def base(self, counts: np.ndarray) -> np.ndarray:
-        return np.log10((counts + ADD) / (self.tokens + ADD * (self.types + 1)))
+    def counts(self, train: np.ndarray) -> np.ndarray:
+        """How often the words, the end, pairs and triples stand in training texts."""
+        every = np.repeat(train, self.lengths)
+        return np.concatenate([
+            np.bincount(self.ids[every], minlength=self.size),
+            np.bincount(self.pair_at[every], minlength=len(self.pairs)),
+            np.bincount(self.triple_at[every[self.third]], minlength=len(self.triples)),
+        ])
 
-    def emitted(self, counts: np.ndarray) -> np.ndarray:
-        return np.log10((counts + ADD) / (self.rare_tokens + ADD * (self.rare_types + 1)))
+    def split(self, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return counts[: self.size], counts[self.size : self.size + len(self.pairs)], counts[self.size + len(self.pairs) :]
 
 
 class Automaton:
-    """States 0: root, 1 + s: after symbol s, then one for each kept pair that has kept triples."""
-
-    def __init__(self, symbols: Symbols, pairs: tuple[np.ndarray, np.ndarray], triples: tuple[np.ndarray, np.ndarray]):
-        n = symbols.size
-        one = (symbols.counts + ADD) / (symbols.counts.sum() + ADD * n)
-        (k2, c2), (k3, c3) = pairs, triples
-        a, b = (k2 // np.uint64(n)).astype(np.int64), (k2 % np.uint64(n)).astype(np.int64)
-        context = np.maximum(symbols.counts, 1)
-        kept2 = (c2 - DISCOUNT) / context[a]
-        left1 = np.maximum(1 - np.bincount(a, weights=kept2, minlength=n), 1e-6)
-        two = kept2 + left1[a] * one[b]
-        ab, c = (k3 // np.uint64(n)).astype(np.int64), (k3 % np.uint64(n)).astype(np.int64)
-        kept3 = (c3 - DISCOUNT) / np.maximum(c2[ab], 1) if len(k3) else np.zeros(0)
-        left2 = np.maximum(1 - np.bincount(ab, weights=kept3, minlength=len(k2)), 1e-6)
-        bc, _ = found_in(k2, b[ab].astype(np.uint64) * np.uint64(n) + c.astype(np.uint64))
-        three = kept3 + left2[ab] * two[bc] if len(k3) else np.zeros(0)
-        inner = np.unique(ab)
-        state2 = np.full(len(k2), -1)
-        state2[inner] = 1 + n + np.arange(len(inner))
-        after2 = np.where(state2 >= 0, state2, 1 + b)
-        self.symbols = n
-        self.root = np.log10(one)
-        keys = np.concatenate([(1 + a).astype(np.uint64) * np.uint64(n) + b.astype(np.uint64), state2[ab].astype(np.uint64) * np.uint64(n) + c.astype(np.uint64)])
-        order = np.argsort(keys)
-        self.arcs = keys[order]
-        self.log = np.log10(np.concatenate([two, three]))[order]
-        self.to = np.concatenate([after2, after2[bc] if len(k3) else np.zeros(0, np.int64)])[order].astype(np.int32)
-        self.left = np.log10(np.concatenate([[1.0], left1, left2[inner]]))
-        self.fail = np.concatenate([[0], np.zeros(n, np.int64), 1 + b[inner]]).astype(np.int32)
-        self.start = 1 + n - 1
+    """States 0: root, 1 + s: after symbol s, then one for each pair seen in training.
+
+    one: p of each symbol; counts: of symbols; pairs (a * n + b) and triples (number of the pair * n + c) with theirs.
+    """
+
+    def __init__(self, one: np.ndarray, counts: np.ndarray, pairs: np.ndarray, c2: np.ndarray, triples: np.ndarray, c3: np.ndarray):
+        n, (m1, m2) = len(one), (PRIOR[1], PRIOR[2])
+        a, b = np.divmod(pairs, n)
+        seen2, seen3 = c2 > 0, c3 > 0
+        two = (c2 + m1 * one[b]) / (counts[a] + m1)
+        state2 = np.where(seen2, n + np.cumsum(seen2), 1 + b)
+        ab, c = np.divmod(triples[seen3], n)
+        bc = np.searchsorted(pairs, b[ab] * n + c)  # a triple that was seen has pairs that were
+        three = (c3[seen3] + m2 * two[bc]) / (c2[ab] + m2)
+        keys = np.concatenate([(1 + a[seen2]) * n + b[seen2], state2[ab] * n + c])
+        order = np.argsort(keys, kind="stable")
+        self.symbols, self.root, self.arcs = n, np.log10(one), keys[order]
+        self.log = np.log10(np.concatenate([two[seen2], three]))[order]
+        self.to = np.concatenate([state2[seen2], state2[bc]])[order]
+        # A context that was never seen passes on to the shorter one whole.
+        self.left = np.log10(np.concatenate([[1.0], m1 / (counts + m1), m2 / (c2[seen2] + m2)]))
+        self.fail = np.concatenate([np.zeros(1 + n, np.int64), 1 + b[seen2]])
 
     def read(self, ids: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """Log10 probability of each text, symbols ids[start : start + length]: all texts step together, left to right.
@@ -183,20 +178,20 @@ class Automaton:
         A long text is read in segments side by side: the state before a segment is that of its two symbols before it,
         which is all that a state remembers.
         """
-        n, pieces = np.uint64(self.symbols), -(-lengths // SEGMENT)
+        n, pieces = self.symbols, -(-lengths // SEGMENT)
         of = np.repeat(np.arange(len(lengths)), pieces)
         k = np.arange(len(of)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
         begin, size = starts[of] + k * SEGMENT, np.minimum(lengths[of] - k * SEGMENT, SEGMENT)
-        state = np.full(len(of), self.start)
+        state = np.full(len(of), n)  # after the end, which stands before the text
         later = np.flatnonzero(k)
-        last = ids[begin[later] - 1].astype(np.int64)
-        at, hit = found_in(self.arcs, (1 + ids[begin[later] - 2].astype(np.int64)).astype(np.uint64) * n + last.astype(np.uint64))
+        last = ids[begin[later] - 1]
+        at, hit = found_in(self.arcs, (1 + ids[begin[later] - 2]) * n + last)
         state[later] = np.where(hit, self.to[at] if len(self.to) else 0, 1 + last)
         order = np.argsort(-size, kind="stable")
         begin, size, state, total = begin[order], size[order], state[order], np.zeros(len(order))
         active = np.searchsorted(-size, -np.arange(int(size.max(initial=0))), side="left")
         for step, count in enumerate(active):
-            w = ids[begin[:count] + step].astype(np.int64)
+            w = ids[begin[:count] + step]
             now, sums = state[:count], total[:count]
             there = np.arange(count)
             while len(there):
@@ -207,7 +202,7 @@ class Automaton:
                     sums[done] += self.root[w[done]]
                     now[done] = 1 + w[done]
                     there, s = there[~top], s[~top]
-                at, hit = found_in(self.arcs, s.astype(np.uint64) * n + w[there].astype(np.uint64))
+                at, hit = found_in(self.arcs, s * n + w[there])
                 sums[there[hit]] += self.log[at[hit]]
                 now[there[hit]] = self.to[at[hit]]
                 there, s = there[~hit], s[~hit]
@@ -219,151 +214,89 @@ class Automaton:
         return np.bincount(of, weights=back, minlength=len(lengths))
 
 
-def word_counts(docs: DataFrame, parts: int) -> DataFrame:
-    """part, keys (word hashes), counts over the training documents of docs (held, text)."""
+# Jobs
+
+
+def word_totals(training: DataFrame, parts: int) -> tuple[int, int]:
+    """Words and distinct words of the texts: hash ranges of words meet, each of which counts its own."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tally = Tally(parts)
-        for batch in small_batches(batches, "text"):
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_batches(batches, "text", BLOCK_BYTES):
             words = [hash_words(t) for t in texts_of(batch.column("text"))]
-            if words and tally.add(np.concatenate(words)):
-                yield from tally.send()
-        yield from tally.send()
+            keys = np.unique(np.concatenate(words))
+            part = np.minimum((keys >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32), np.uint64(parts - 1))
+            cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(keys)] if len(keys) else []
+            rows = [(int(part[a]), keys[a:b].tobytes(), 0) for a, b in zip(cuts, cuts[1:])]
+            if rows:
+                rows[0] = (*rows[0][:2], sum(map(len, words)))
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.int64()), strict=True)], ["part", "keys", "tokens"])
+
+    def count(group: pa.Table) -> pa.Table:
+        keys = np.concatenate([np.frombuffer(x, np.uint64) for x in group.column("keys").to_pylist()])
+        return pa.table([pa.array([len(np.unique(keys))], pa.int64()), pa.array([sum(group.column("tokens").to_pylist())], pa.int64())], ["types", "tokens"])
 
-    return written(gathered(docs.where("not held").select("text").mapInArrow(count, PIECES), 1), "word-counts")
+    with batches_of(training.sparkSession, BATCH):
+        found = training.select("text").mapInArrow(send, "part int, keys binary, tokens long").groupBy("part").applyInArrow(count, "types long, tokens long").agg(F.sum("tokens"), F.sum("types")).first()
+    return found[0] or 0, found[1] or 0
 
 
-def tokenised(docs: DataFrame, symbols: Symbols, parts: int) -> DataFrame:
-    """Rows of blocks of documents: one (part null) with doc_ids, held, a: symbols, b: lengths; and for each range that
-    rare words of the block have one with a: word hashes, b: which document of the block."""
-    shared = docs.sparkSession.sparkContext.broadcast(symbols)
+def _texts(block: pa.Table) -> list[bytes]:
+    return list(texts_of(block.column("text").combine_chunks()))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, at_block = shared.value, 0
-        for batch in small_batches(batches, "text", BLOCK_BYTES):
-            words = [hash_words(t) for t in texts_of(batch.column("text"))]
-            lengths = np.array([len(w) + 1 for w in words])
-            flat = np.concatenate(words)
-            at, hit = found_in(known.words, flat)
-            ids = np.full(len(flat) + len(words), known.end, np.int32)  # an end behind each text
-            ends = np.cumsum(lengths) - 1
-            inner = np.ones(len(ids), bool)
-            inner[ends] = False
-            ids[inner] = np.where(hit, at, known.rare)
-            of = np.repeat(np.arange(len(words)), lengths - 1)
-            block = f"{TaskContext.get().partitionId()}-{at_block}"
-            at_block += 1
-            del words
-            rows = [(block, None, batch.column("doc_id").to_pylist(), batch.column("held").to_pylist(), ids.tobytes(), lengths.astype(np.int32).tobytes())]
-            rows += [(block, part, None, None, a, b) for part, a, b in dealt(flat[~hit], of[~hit], parts)]
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.binary(), pa.binary()), strict=True)], ["block", "part", "doc_ids", "held", "a", "b"])
-
-    return written(docs.select("doc_id", "held", "text").mapInArrow(run, TOKENS), "tokens")
-
-
-def _sequences(batch: pa.RecordBatch) -> Iterator[tuple[str, list, np.ndarray, np.ndarray, np.ndarray]]:
-    """Blocks one at a time; their symbols are views of the batch, not copies."""
-    a, b = batch.column("a"), batch.column("b")
-    for k in range(batch.num_rows):
-        block, doc_ids, held = (batch.column(c)[k].as_py() for c in ("block", "doc_ids", "held"))
-        yield block, doc_ids, np.array(held, bool), np.frombuffer(a[k].as_buffer(), np.int32), np.frombuffer(b[k].as_buffer(), np.int32).astype(np.int64)
-        pa.default_memory_pool().release_unused()
-
-
-def ngram_counts(blocks: DataFrame, symbols: int, end: int, pairs: np.ndarray | None, least: int, parts: int) -> tuple[np.ndarray, np.ndarray]:
-    """Kept pairs, or with kept pairs given, kept triples (number of the pair * symbols + symbol), with their counts."""
-    shared = blocks.sparkSession.sparkContext.broadcast(pairs)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tally, known = Tally(parts), shared.value
-        for batch in batches:
-            for _, _, held, ids, lengths in _sequences(batch):
-                # Each training text with the end before it, as a start.
-                ends = np.cumsum(lengths) - 1
-                before = np.concatenate([[end], ids[:-1]]).astype(np.uint64)
-                train = np.repeat(~held, lengths)
-                pair = before * np.uint64(symbols) + ids.astype(np.uint64)
-                if known is None:
-                    full = tally.add(pair[train])
-                else:
-                    at, hit = found_in(known, pair)
-                    third = np.zeros(len(ids), bool)
-                    third[1:] = hit[1:] & hit[:-1] & train[1:]
-                    third[ends[:-1] + 1] = False  # a text's first token has the start alone before it
-                    where = np.flatnonzero(third)
-                    full = tally.add(at[where - 1].astype(np.uint64) * np.uint64(symbols) + ids[where].astype(np.uint64))
-                if full:
-                    yield from tally.send()
-        yield from tally.send()
-
-    return collected(gathered(blocks.mapInArrow(count, PIECES), least), least)
-
-
-def score(docs: DataFrame, held) -> DataFrame:
+
+def asked(dealt: DataFrame, parts: int) -> DataFrame:
+    """The n-grams of each block by hash range, with their counts in its training texts."""
+
+    def send(block: pa.Table) -> pa.Table:
+        tokens = Tokens(_texts(block))
+        keys, at = tokens.keys(parts)
+        counts = np.bincount(at, weights=tokens.counts(~block.column("held").to_numpy()), minlength=len(keys)).astype(np.int64)
+        number = block.column("block")[0].as_py()
+        rows = [(number, part, packed_keys(keys[a:b] & _MASK), packed_counts(counts[a:b])) for part, a, b in ranges(keys)]
+        return pa.table([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["block", "part", "keys", "counts"])
+
+    return dealt.groupBy("block").applyInArrow(send, ASKED)
+
+
+def answered(pieces: DataFrame) -> DataFrame:
+    """The same pieces, each with the totals of its keys over all blocks."""
+
+    def add_up(group: pa.Table) -> pa.Table:
+        keys = [unpacked_keys(x) for x in group.column("keys").to_pylist()]
+        counts = np.concatenate([unpacked_counts(x, len(k)) for x, k in zip(group.column("counts").to_pylist(), keys, strict=True)])
+        ends = np.cumsum([len(k) for k in keys])
+        _, at = np.unique(np.concatenate(keys), return_inverse=True)
+        totals = np.bincount(at, weights=counts).astype(np.int64)[at]
+        out = [packed_counts(totals[end - len(k) : end]) for k, end in zip(keys, ends, strict=True)]
+        return pa.table([group.column("block"), group.column("part"), pa.array(out, pa.binary())], ["block", "part", "counts"])
+
+    return pieces.groupBy("part").applyInArrow(add_up, TOTALS)
+
+
+def score(docs: DataFrame, held: Column) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each row of docs."""
     spark = docs.sparkSession
-    parts = 2 * shuffle_partitions(spark)
     rows = docs.select("doc_id", held.alias("held"), F.coalesce("text", F.lit("")).alias("text"))
-    with batches_of(spark, BATCH):
-        counts = word_counts(rows, parts)
-    ends = rows.where("not held").count()
-
-    def totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            each = [np.frombuffer(x, np.uint32) for x in batch.column("counts").to_pylist()]
-            yield pa.record_batch([pa.array([len(x) for x in each], pa.int64()), pa.array([int(x.sum(dtype=np.int64)) for x in each], pa.int64())], ["types", "tokens"])
-
-    whole = counts.select("counts").mapInArrow(totals, "types long, tokens long").agg(F.sum("types"), F.sum("tokens")).first()
-    tokens, types = (whole[1] or 0) + ends, (whole[0] or 0) + (ends > 0)
-    least = max(2, int(np.ceil(EPSILON * tokens)))
-    symbols = Symbols(*collected(counts, least), tokens, ends, types)
-    with batches_of(spark, BATCH):
-        table = tokenised(rows, symbols, parts)
-    blocks = table.where("part is null").drop("part")
-    pairs = ngram_counts(blocks, symbols.size, symbols.end, None, least, parts)
-    triples = ngram_counts(blocks, symbols.size, symbols.end, pairs[0], least, parts)
-    shared = spark.sparkContext.broadcast((symbols, Automaton(symbols, pairs, triples)))
-
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, automaton = shared.value
-        base = known.base(known.counts)
-        for batch in batches:
-            for block, doc_ids, out, ids, lengths in _sequences(batch):
-                starts = np.cumsum(lengths) - lengths
-                common = ids != known.rare
-                sums = np.add.reduceat(np.where(common, base[ids], 0.0), starts)
-                there = np.add.reduceat((common & (known.counts[ids] > 0)).astype(np.int64), starts)
-                logs = automaton.read(ids, starts, lengths)
-                yield pa.record_batch([pa.array([block] * len(doc_ids)), pa.array(np.arange(len(doc_ids)), pa.int32()), pa.array(doc_ids, pa.int64()), pa.array(out), pa.array(lengths, pa.int64()), pa.array(there), pa.array(sums), pa.array(logs)], ["block", "n", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
-
-    def rare(asked: pa.Table, have: pa.Table) -> pa.Table:
-        """The parts of a document's sums that its rare words of this hash range give."""
-        known = shared.value[0]
-        keys, own = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        if have.num_rows:
-            keys, own = np.frombuffer(have.column("keys")[0].as_py(), np.uint64), np.frombuffer(have.column("counts")[0].as_py(), np.uint32).astype(np.int64)
-        out: list[tuple] = []
-        for block, a, b in zip(*(asked.column(c).to_pylist() for c in ("block", "a", "b")), strict=True):
-            at, hit = found_in(keys, np.frombuffer(a, np.uint64))
-            c = np.where(hit, own[at] if len(own) else 0, 0)
-            docs_, of = np.unique(np.frombuffer(b, np.uint32), return_inverse=True)
-            sums = [np.bincount(of, weights=x, minlength=len(docs_)) for x in (c > 0, known.base(c), known.emitted(c))]
-            out.append((block, docs_.astype(np.int32).tolist(), sums[0].astype(np.int64).tolist(), sums[1].tolist(), sums[2].tolist()))
-        return pa.table([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.string(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.float64()), pa.list_(pa.float64())), strict=True)], ["block", "n", "known", "base", "emitted"]) if out else pa.table([pa.array([], t) for t in (pa.string(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.float64()), pa.list_(pa.float64()))], ["block", "n", "known", "base", "emitted"])
-
-    own = blocks.mapInArrow(read, "block string, n int, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
-    asked = table.where("part is not null").select("block", "part", "a", "b")
-    given = asked.groupBy("part").cogroup(counts.groupBy("part")).applyInArrow(rare, "block string, n array<int>, known array<long>, base array<double>, emitted array<double>")
-
-    def together(mine: pa.Table, more: pa.Table) -> pa.Table:
-        order = np.argsort(mine.column("n").to_numpy())
-        sums = [mine.column(c).to_numpy()[order].copy() for c in ("n_known", "base_score", "score")]
-        # In a fixed order, so that reruns add the same numbers in the same order.
-        rows_ = sorted(zip(*(more.column(c).to_pylist() for c in ("n", "known", "base", "emitted")), strict=True))
-        for n, *values in rows_:
-            for total, value in zip(sums, values, strict=True):
-                np.add.at(total, n, value)
-        mine = mine.take(order)
-        return pa.table([*(mine.column(c) for c in ("doc_id", "held_out", "n_tokens")), pa.array(sums[0], pa.int64()), pa.array([tokens] * mine.num_rows, pa.int64()), pa.array(sums[1]), pa.array(sums[2])], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
-
-    return own.groupBy("block").cogroup(given.groupBy("block")).applyInArrow(together, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    size = rows.agg(F.sum(F.octet_length("text").cast("long")), F.count_if(~F.col("held"))).first()
+    ends, blocks = size[1], max(1, shuffle_partitions(spark), -(-(size[0] or 0) // BLOCK_BYTES))
+    words, word_types = word_totals(rows.where(~F.col("held")), blocks)
+    tokens, types = words + ends, word_types + (ends > 0)
+    dealt = row_blocks(rows, blocks)
+
+    def read(key, block: pa.Table, totals: pa.Table) -> pa.Table:
+        texts = Tokens(_texts(block)) if block.num_rows else None
+        if texts is None:
+            return pa.table([pa.array([], t) for t in (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())], names)
+        keys, at = texts.keys(blocks)
+        answers = dict(zip(totals.column("part").to_pylist(), totals.column("counts").to_pylist(), strict=True))
+        counts = np.concatenate([unpacked_counts(answers[part], b - a) for part, a, b in ranges(keys)])[at]
+        c1, c2, c3 = texts.split(counts)
+        one = (c1 + ADD) / (tokens + ADD * (types + 1))
+        base = np.add.reduceat(np.log10(one)[texts.ids], texts.starts)
+        known = np.add.reduceat((c1 > 0).astype(np.int64)[texts.ids], texts.starts)
+        found = Automaton(one, c1, texts.pairs, c2, texts.triples, c3).read(texts.ids, texts.starts, texts.lengths)
+        return pa.table([block.column("doc_id"), block.column("held"), pa.array(texts.lengths), pa.array(known), pa.array([tokens] * block.num_rows, pa.int64()), pa.array(base), pa.array(found)], names)
+
+    names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+    totals = answered(asked(dealt, blocks))
+    return dealt.groupBy("block").cogroup(totals.groupBy("block")).applyInArrow(read, SCORES)
