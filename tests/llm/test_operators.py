@@ -231,7 +231,7 @@ def test_quality_of_texts_held_out(spark):
 
 def test_removed_lines_are_those_of_brute_force(docs, texts):
     lines = [(i, n, line_dedup.words_of(x.encode())) for i, t in sorted(texts.items()) for n, x in enumerate(t.split("\n"))]
-    lines = [x for x in lines if len(x[2]) >= line_dedup.SHORTEST]
+    lines = [x for x in lines if x[2]]
     want = collections.defaultdict(list)
     for k, (i, n, w) in enumerate(lines):
         for _, _, other in lines[:k]:
@@ -245,11 +245,29 @@ def test_removed_lines_are_those_of_brute_force(docs, texts):
 def test_word_edits(spark):
     base = "a b c d e f g h i j k l m".split()
     rows = [base, base[:4] + ["x"] + base[4:], base[1:], base[:6] + ["y"] + base[7:], base[:6] + ["y", "z"] + base[8:], base[::-1], base[:5]]
-    docs = spark.createDataFrame([(k - 2, " ".join(w) + "\nshort one") for k, w in enumerate(rows)], "doc_id long, text string")
+    docs = spark.createDataFrame([(k - 2, " ".join(w) + f"\nshort {k}") for k, w in enumerate(rows)], "doc_id long, text string")
     got = {r.doc_id: r.lines for r in line_dedup.removed_lines(docs).collect()}
     assert got == {-1: [0], 0: [0], 1: [0], 2: [0]} or got == {-1: [0], 0: [0], 1: [0]} | ({2: [0]} if line_dedup.word_distance([x.encode() for x in rows[4]], [x.encode() for x in rows[3]], 1) <= 1 else {})
 
 
+def test_only_repeats_are_lost_by_rows_that_share_an_id(spark):
+    """Rows without an id, or with the same one, are documents of their own if their texts differ."""
+    seen, only = "a line that all of these rows hold", "the only copy of sentence {} in all data"
+    texts = [f"{only.format(k)}\n{seen}\nend {k}" for k in ("one", "two", "three", "four")] + [f"{seen}\n{only.format('five')}"]
+    ids = [None, None, 7, 7, None]
+    docs = spark.createDataFrame([*zip(ids, texts), (7, texts[3])], "doc_id long, text string")
+    got = collections.Counter(r.text for r in line_dedup.dedup_lines(docs).collect())
+    assert sum(t.count(seen) for t in got) == 1 and sum(got.values()) == 6
+    assert all(sum(only.format(k) in t for t in got) == 1 for k in ("one", "two", "three", "four", "five"))
+    assert sum(r.n_lines - len(r.removed_lines or ()) for r in line_dedup.dedup_lines(docs).collect()) == sum(t.count("\n") + 1 for t in got.elements())
+
+
+def test_shortest_leaves_short_lines_alone(spark):
+    docs = spark.createDataFrame([(1, "Menu\na b c"), (2, "menu\nA b  c\nx"), (3, "x")], "doc_id long, text string")
+    got = lambda **k: {r.doc_id: r.lines for r in line_dedup.removed_lines(docs, **k).collect()}
+    assert got() == {2: [0, 1], 3: [0]} and got(shortest=2) == {2: [1]} and got(shortest=4) == {}
+
+
 def test_line_dedup_of_odd_rows(odd, none):
     got = line_dedup.dedup_lines(odd).collect()
     assert len(got) == 10
