@@ -43,11 +43,25 @@ def test_duplicate_ids():
     assert n == 2 and fixed == '<a id="x"><b id="x_3"><c id="x_2"><!-- <d id="x"> --><e id="x_4">' and kernels.fix_duplicate_ids(fixed)[1] == 0
 
 
-def test_watermarks():
-    mark = '<p>get it at <b>oceanofpdf.com</b></p>'
-    assert kernels.strip_watermarks(f"<div>x</div>{mark}<p>y</p>", ("oceanofpdf.com",)) == ("<div>x</div><p>y</p>", 1, 0)
-    long = f"<p>{'story ' * 40}oceanofpdf.com</p>"
-    assert kernels.strip_watermarks(long, ("oceanofpdf.com",)) == (long, 0, 1)
+AMBER = "http://www.processtext.com/abclit.html"
+
+
+@pytest.mark.parametrize(
+    ("text", "want", "removed", "refused"),
+    [
+        ('<div>x</div><p><b><a href="http://oceanofpdf.com">OceanofPDF.com</a></b></p><p>y</p>', "<div>x</div><p>y</p>", 1, 0),
+        ("<p>She said oceanofpdf.com was where he found it, and wept.</p>", None, 0, 0),
+        (f'<b>Generated by ABC Amber LIT Conv<a href="{AMBER}">erter, {AMBER}</a></b>x', "x", 1, 0),
+        (f'<div type="FOOTER"><p><span>ABC Amber LIT Converter {AMBER}</span></p></div>', "", 1, 0),
+        ('<p>Read on <a href="http://oceanofpdf.com">OceanofPDF.com</a> today</p>', "<p>Read on  today</p>", 1, 0),
+        ('<p><a href="http://oceanofpdf.com">OceanofPDF.com<p>real prose <a href="x">y</a></p>', None, 0, 1),
+        ('<p><a href="http://oceanofpdf.com"><i>a very long story</i> of things</a></p>', None, 0, 1),
+        ("<p>OceanofPDF.com&nbsp; oceanofpdf.com</p>", "", 1, 0),
+        ("<p>oceanofpdf.com<img src='x'/></p>", None, 0, 0),
+    ],
+)
+def test_watermarks(text, want, removed, refused):
+    assert kernels.strip_watermarks(text) == (text if want is None else want, removed, refused)
 
 
 def repaired(spark, name, text):

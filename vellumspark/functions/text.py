@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -136,6 +137,22 @@ def is_invalid_ncname(name: Column) -> Column:
     return name.isNull() | ~name.rlike("^[\\p{L}_][\\p{L}\\p{N}_.\\-\\x{00B7}]*$")
 
 
+#: What an XML name may hold besides its first character.
+NAME_CHAR = re.compile("[\\w.\\-\u00b7\u00c0-\u00d6\u00d8-\u00f6\u02ff-\u037d\u037f-\u1fff\u200c\u200d\u203f-\u2040\u2c00-\u2fef\u3001-\ud7ff\uf900-\ufdcf\ufdf0-\ufffd]")
+
+
+def percent_decoded(text: str) -> str:
+    """Runs of %XX as UTF-8; a run that isn't UTF-8 stays as it is."""
+
+    def run(m: re.Match) -> str:
+        try:
+            return bytes.fromhex(m[0].replace("%", "")).decode()
+        except UnicodeDecodeError:
+            return m[0]
+
+    return re.sub("(?:%[0-9A-Fa-f]{2})+", run, text)
+
+
 def host(url: Column) -> Column:
     return F.regexp_extract(url, "^https?://([^/?#]+)", 1)
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vellumspark.functions import text as X
-from vellumspark.functions.kernels import edits_column, well_formed_column
+from vellumspark.functions.kernels import WATERMARKS, edits_column, well_formed_column
 from vellumspark.operators import analyzers, blocks, census, gate, package, repair, toc
 from vellumspark.plans import audit
 from vellumspark.sources.tables import line_blocks, numbered_blocks, page_docs, table, text_docs, word_blocks
@@ -783,12 +783,19 @@ def unwell_formed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.select("page_id", "before", well_formed_column(F.col("html")).alias("after"))
 
 
-@query()
+#: The n-th list item takes the id that the n-th of equal ones gets; everything else that was put in goes again.
+STACKED = "array_to_string(list_transform(range(1, len(string_split(html, '<li>'))), lambda k: '<li id=\"x' || case when k = 1 then '' else '_' || k end || '\">' || string_split(html, '<li>')[k + 1]), '')"
+
+
+@query(
+    f"select page_id, md5(case when page_id % 3 = 0 and html like '%<li>%' then string_split(html, '<li>')[1] || {STACKED} else html end) as digest, (page_id % 2 = 0)::integer::bigint * ({occurrences('</article>')}) as stray, "
+    f"(page_id % 3 = 0)::integer::bigint * greatest(0, {occurrences('<li>')} - 1) as ids, (page_id % 5 = 0)::integer::bigint * ({occurrences('<article>')}) as marks, 0::bigint as refused from pages"
+)
 def stack_repairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stray closers, duplicate ids and watermark paragraphs on damaged pages."""
-    changes = ((2, "</article>", "</article></section>"), (3, "<li>", '<li id="x">'), (5, "<article>", '<article><p>from <a href="http://oceanofpdf.com">oceanofpdf.com</a></p>'))
-    pages = _pages(spark, sf_dir, *changes).withColumn("e", edits_column(F.col("html"), ("oceanofpdf.com",)))
-    return pages.select("page_id", F.md5("e.html").alias("digest"), "e.stray", "e.ids", "e.marks")
+    changes = ((2, "</article>", "</article></section>"), (3, "<li>", '<li id="x">'), (5, "<article>", '<article><p><a href="http://oceanofpdf.com">oceanofpdf.com</a></p>'))
+    pages = _pages(spark, sf_dir, *changes).withColumn("e", edits_column(F.col("html"), WATERMARKS))
+    return pages.select("page_id", F.md5("e.html").alias("digest"), "e.stray", "e.ids", "e.marks", "e.refused")
 
 
 @query()
