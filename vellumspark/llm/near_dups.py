@@ -1,12 +1,15 @@
 """Near-duplicate documents by improved consistent weighted sampling over TF-IDF shingles (operator 8).
 
-A text is a weighted set of its shingles of SHINGLE words (A-Z lowered, split at ASCII white space; a shorter text is
-one shingle): weight = count * (1 + DAMP * ln((N + 1) / (df + 1)) / ln(N + 1)), where df counts all N documents. The
-inverse document frequency is damped so that a group of thousands of near copies isn't dissolved by its own frequency.
+A text is a weighted set of its shingles of SHINGLE words (A-Z lowered, split at ASCII white space and punctuation; a
+shorter text is one shingle): weight = count * idf, idf = 1 + ln((N + 1) / (df + 1)) / ln(N + 1), where df counts all N
+documents. So a shingle that one document has weighs about twice as much as one that all have. The idf is scaled by its
+largest value since unscaled it would dissolve a group of thousands of near copies by the group's own frequency: what
+they share would weigh a tenth of what an edit puts in.
 Two texts are linked if their weighted Jaccard similarity is SIMILAR or more; classes are connected components.
 
-1. Documents are dealt into blocks of about BLOCK_BYTES of text. Each block sends its distinct shingle hashes, sorted
-   and delta-coded, to the owner of their hash range, and gets back those in more than one document with their df.
+1. Documents are dealt by row into blocks of about BLOCK_BYTES of text, so that no key makes a block large. Each block
+   sends its distinct shingle hashes, sorted and delta-coded, to the owner of their hash range, and gets back those in
+   more than one document with their df.
 2. Only a text that owes SIMILAR of its weight to such shared shingles can have a partner; this loses no link, and only
    such texts are sampled: BANDS bands of ROWS samples each. Copies (equal words) are one text from here on.
 3. Texts that share a band are candidates. No group is turned into its pairs: first, the leader of a band's group (the
@@ -15,9 +18,10 @@ Two texts are linked if their weighted Jaccard similarity is SIMILAR or more; cl
    which only links that join classes come out. So every candidate pair is either compared or already in one class.
 4. A comparison is the exact weighted Jaccard similarity of both shingle sets.
 
-Defined results: texts without words (null, empty, blank) are copies of each other; rows that repeat are copies; a null
-doc_id is never a class id unless the class has no other; an empty table gives an empty result; other columns are
-ignored.
+Defined results: texts without words (null, empty, blank) are copies of each other; rows that repeat are copies; a class
+is named after its first row in the order of doc_id (null last), then of a hash of the text, so a null doc_id is never a
+class id unless the class has no other; an empty table gives an empty result; other columns are ignored. docs should be
+a table (or a checkpoint), as its rows are dealt by their place.
 """
 
 from __future__ import annotations
@@ -30,17 +34,18 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vellumspark.llm.common import hash_words, texts_of, written
+from vellumspark.llm.common import row_blocks, shuffle_partitions, texts_of, written
 from vellumspark.llm.components import relabelled
 
-SHINGLE, SIMILAR, DAMP = 5, 0.8, 0.25
+SHINGLE, SIMILAR = 5, 0.8
 BANDS, ROWS = 14, 4
 BLOCK_BYTES = 8 << 20
 #: A leader's comparisons in one task.
 SPREAD = 256
 #: Texts on either side of a block of comparisons; so many digests at most are named to every task.
 CHUNK, SENT = 256, 1_000_000
-_NO_ID = -(1 << 63)
+#: A-Z are lowered and ASCII punctuation is white space, so that a moved comma or a new sentence changes no word.
+_WORDS = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 _P = np.uint64(0x9E3779B97F4A7C15)
 _Q = np.uint64(0xC2B2AE3D27D4EB4F)
 _EMPTY = np.uint64(0x165667B19E3779F9)
@@ -54,7 +59,8 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 def shingles(text: bytes, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, bytes]:
     """The text's distinct shingle hashes, ascending, their counts, and a digest of its words."""
-    h = hash_words(text)
+    words = text.translate(_WORDS).split()
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
     digest = xxhash.xxh3_128_digest(h.tobytes())
     n = len(h)
     if not n:
@@ -80,7 +86,7 @@ def unpacked(data: bytes) -> np.ndarray:
 
 
 def weights(counts: np.ndarray, df: np.ndarray, total: int) -> np.ndarray:
-    return counts * (1 + DAMP * np.log((total + 1) / (df + 1)) / max(np.log(total + 1), 1e-9))
+    return counts * (1 + np.log((total + 1) / (df + 1)) / max(np.log(total + 1), 1e-9))
 
 
 class Sampler:
@@ -135,11 +141,11 @@ def similarity(a: tuple[bytes, bytes], b: tuple[bytes, bytes]) -> float:
 
 
 def sampled_texts(docs: DataFrame) -> DataFrame:
-    """doc_id, digest of each row, and for a text that can have a partner bands, hashes, weights (once in each block)."""
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    """doc_id, text_hash, digest of each row, and for a text that can have a partner bands, hashes, weights (once in each block)."""
+    rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.coalesce("text", F.lit("")).alias("text"))
     size = rows.agg(F.count(F.lit(1)), F.sum(F.octet_length("text").cast("long"))).first()
-    total, blocks = size[0], max(1, -(-(size[1] or 0) // BLOCK_BYTES))
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int"))
+    total, blocks = size[0], max(shuffle_partitions(docs.sparkSession), -(-(size[1] or 0) // BLOCK_BYTES))
+    dealt = row_blocks(rows, blocks)
     schema = "part int, block int, hashes binary, df binary"
 
     def send(block: pa.Table) -> pa.Table:
@@ -193,11 +199,11 @@ def sampled_texts(docs: DataFrame) -> DataFrame:
                     centre = float(np.log(np.where(common, df[at], 1)).mean())
             for column, x in zip(out[1:], (bands, own, weight, mass, centre), strict=True):
                 column.append(x)
-        return pa.table([block.column("doc_id").combine_chunks(), pa.array(out[0], pa.binary()), pa.array(out[1], pa.list_(pa.int64())), pa.array(out[2], pa.binary()), pa.array(out[3], pa.binary()), pa.array(out[4], pa.float64()), pa.array(out[5], pa.float64())], ["doc_id", "digest", "bands", "hashes", "weights", "total", "centre"])
+        return pa.table([block.column("doc_id").combine_chunks(), block.column("text_hash").combine_chunks(), pa.array(out[0], pa.binary()), pa.array(out[1], pa.list_(pa.int64())), pa.array(out[2], pa.binary()), pa.array(out[3], pa.binary()), pa.array(out[4], pa.float64()), pa.array(out[5], pa.float64())], ["doc_id", "text_hash", "digest", "bands", "hashes", "weights", "total", "centre"])
 
     pieces = dealt.groupBy("block").applyInArrow(send, schema)
     shared = pieces.groupBy("part").applyInArrow(count, schema).select("block", "hashes", "df")
-    return dealt.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(sample, "doc_id long, digest binary, bands array<long>, hashes binary, weights binary, total double, centre double")
+    return dealt.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(sample, "doc_id long, text_hash long, digest binary, bands array<long>, hashes binary, weights binary, total double, centre double")
 
 
 def named(rows: DataFrame, digests: DataFrame) -> DataFrame:
@@ -316,8 +322,8 @@ def text_classes(members: DataFrame, texts: DataFrame) -> DataFrame:
     return labels if rest.isEmpty() else relabelled(labels, written(blocks_compared(rest, texts), "block-links"))
 
 
-def classes(docs: DataFrame) -> DataFrame:
-    """doc_id, class_id (the least doc_id of its class), class_size, class_texts (different texts) of each row of docs."""
+def _class_rows(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """doc_id, digest of each row, and for each digest first (the first row of its class: doc_id, text_hash), class_size, class_texts."""
     rows = written(sampled_texts(docs), "sampled")
     thin = rows.where(F.col("bands").isNotNull()).groupBy("digest").agg(*[F.first(c).alias(c) for c in ("bands", "total", "centre")])
     keyed = written(thin.select("digest", "total", "centre", F.explode("bands").alias("key")), "bands")
@@ -326,19 +332,28 @@ def classes(docs: DataFrame) -> DataFrame:
     partners = written(members.select("digest").distinct(), "partners")
     texts = named(rows.where(F.col("bands").isNotNull()).select("digest", "hashes", "weights"), partners).groupBy("digest").agg(F.first("hashes").alias("hashes"), F.first("weights").alias("weights"))
     labels = text_classes(members, written(texts, "texts"))
-    each = rows.groupBy("digest").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"))
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
+    each = rows.groupBy("digest").agg(F.min(place).alias("least"), F.count(F.lit(1)).alias("copies"))
     each = written(each.join(labels.withColumnRenamed("node", "digest"), "digest", "left").withColumn("label", F.coalesce("label", "digest")), "digests")
-    whole = each.groupBy("label").agg(F.min("least").alias("class_id"), F.sum("copies").alias("class_size"), F.count(F.lit(1)).alias("class_texts"))
-    of = written(each.join(whole, "label").select("digest", "class_id", "class_size", "class_texts"), "classes")
-    return rows.select("doc_id", "digest").join(of, "digest").select("doc_id", "class_id", "class_size", "class_texts")
+    whole = each.groupBy("label").agg(F.min("least").alias("first"), F.sum("copies").alias("class_size"), F.count(F.lit(1)).alias("class_texts"))
+    return rows.select("doc_id", "digest"), written(each.join(whole, "label").select("digest", "first", "class_size", "class_texts"), "classes")
+
+
+def classes(docs: DataFrame) -> DataFrame:
+    """doc_id, class_id (the least doc_id of its class), class_size, class_texts (different texts) of each row of docs."""
+    rows, of = _class_rows(docs)
+    return rows.join(of, "digest").select("doc_id", F.col("first.doc_id").alias("class_id"), "class_size", "class_texts")
 
 
 def without_near_dups(docs: DataFrame) -> DataFrame:
-    """The rows of docs, with their columns, without all but the first document of each class; of repeated rows one stays."""
-    kept = classes(docs).where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select("doc_id").distinct()
-    kept = written(kept.select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("__kept")), "kept")
-    keyed = docs.withColumn("__key", F.coalesce(F.col("doc_id"), F.lit(_NO_ID))).withColumn("__text", F.xxhash64("text"))
-    # The window finds its rows where the join has put them.
-    same = Window.partitionBy("__key", "__text").orderBy("__text")
-    rows = keyed.join(kept, F.col("__key") == F.col("__kept"), "left_semi").withColumn("__n", F.row_number().over(same))
+    """The rows of docs, with their columns, without all but the first row of each class; of repeated rows one stays.
+
+    A row is known by its id and its text, so that rows that share an id or have none aren't taken for each other.
+    """
+    _, of = _class_rows(docs)
+    kept = written(of.select(F.col("first.doc_id").alias("__id"), F.col("first.text_hash").alias("__kept")).distinct(), "kept")
+    keyed = docs.withColumn("__text", F.xxhash64("text"))
+    # The window finds its rows where the join has put them, and keeps one of a row's repeats before they move.
+    same = Window.partitionBy("doc_id", "__text").orderBy("__text")
+    rows = keyed.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__kept")), "left_semi").withColumn("__n", F.row_number().over(same))
     return rows.where("__n = 1").select(*docs.columns)
