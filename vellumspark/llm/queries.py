@@ -14,9 +14,10 @@ from vellumspark.llm.common import held_out, shared_dir, table
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labels of a quarter of the ids are never learned from, as for the other classifiers."""
+    """Labels of a quarter of the ids (held_out) are never learned from, as for the other classifiers."""
     docs = table(spark, sf_dir, "documents")
-    return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels").where(~held_out(4, 2))))
+    out = quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels").where(~held_out(4, 2))))
+    return out.withColumn("held_out", held_out(4, 2))
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,33 +63,36 @@ def op8_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Targets and positions to six places, to compare with SQL."""
+    """Targets and the positions of the first and the last copy to six places, to compare with SQL."""
     mix = mixing.mix(table(spark, sf_dir, "documents"))
-    return mix.withColumns({"target": F.round("target", 6), "position": F.round("position", 6)})
+    last = F.when(F.size("positions") > 0, F.element_at("positions", -1))
+    return mix.withColumns({"target": F.round("target", 6), "position": F.round("position", 6), "last_position": F.round(last, 6)}).drop("positions")
 
 
 SOURCE_MIX_SQL = """
-with d as (
-  select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::bigint size,
-         ('0x' || substr(md5(coalesce(doc_id::varchar, '')), 1, 15))::bigint rank
-  from documents),
-s as (select source, sum(size)::bigint ss, row_number() over (order by source nulls last) n, count(*) over () k from d group by source),
+with r as (
+  select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::bigint size, md5(coalesce(text, '')) k from documents),
+d as (select doc_id, source, k, max(size) size, count(*) m, ('0x' || substr(md5(coalesce(doc_id::varchar, '') || ' ' || k), 1, 15))::bigint rank from r group by doc_id, source, k),
+s as (select source, sum(size * m)::bigint ss, row_number() over (order by source nulls last) n, count(*) over () k from d group by source),
 w as (select *, (n - 1) % 3 + 1 weight, 3.0::double * ss::double cap, sum(ss) over ()::double total from s),
 f as (select *, (total - coalesce(sum(cap) over (order by cap / weight, n rows between unbounded preceding and 1 preceding), 0))
                 / sum(weight) over (order by cap / weight, n rows between current row and unbounded following) level from w),
 c as (select *, level * weight >= cap capped from f),
-t as (select source, ss, case when capped then cap else weight * first_value(level) over (partition by capped order by cap / weight, n) end target,
+g as (select source, ss, case when capped then cap else weight * first_value(level) over (partition by capped order by cap / weight, n) end target,
              case when k > 1 then 0.5::double * (1 - 2 * (n - 1) / (k - 1)::double) else 0::double end tilt from c),
-b as (select d.*, t.ss, t.target, t.tilt, round(t.target)::bigint budget,
-             coalesce(sum(size) over (partition by d.source order by rank, doc_id, size rows between unbounded preceding and 1 preceding), 0) st
+t as (select source, ss, target, round(tilt - round(coalesce(sum(target * tilt) over () / sum(target) over (), 0), 9), 9) tilt from g),
+b as (select d.*, t.ss, t.target, t.tilt, round(t.target)::bigint budget, case when ss > 0 then round(t.target)::bigint // ss else 0 end rounds,
+             coalesce(sum(size * m) over (partition by d.source order by rank, doc_id, d.k rows between unbounded preceding and 1 preceding), 0)::bigint st
       from d join t on d.source is not distinct from t.source),
-m as (select *, least((case when ss > 0 then budget // greatest(ss, 1) else 0 end) * size
-        + greatest(0, least(size, budget - (case when ss > 0 then budget // greatest(ss, 1) else 0 end) * ss - st)), 3 * size)::bigint taken from b),
-u as (select *, least(1.0::double, st::double / greatest(target, 1.0::double)) share from m)
+e as (select *, greatest(0, least(size * m, budget - rounds * ss - st))::bigint // m rest from b),
+m as (select *, least(rounds * size + rest, 3 * size)::bigint taken, rounds + (rest > 0)::int copies from e),
+u as (select *, least(1.0::double, st::double / greatest(target, 1.0::double)) first_, least(1.0::double, (st + (copies - 1) * ss)::double / greatest(target, 1.0::double)) last_ from m)
 select doc_id, size, ss as source_size, round(target, 6) as target, taken,
-       round(case when taken > 0 then (case when abs(tilt) < 1e-9 then share
-         else (1 + tilt - sqrt(greatest((1 + tilt) * (1 + tilt) - 4 * tilt * share, 0))) / (2 * tilt) end) end, 6) + 0.0::double as position, source
-from u
+       round(case when taken > 0 then (case when abs(tilt) < 1e-9 then first_
+         else (1 + tilt - sqrt(greatest((1 + tilt) * (1 + tilt) - 4 * tilt * first_, 0))) / (2 * tilt) end) end, 6) + 0.0::double as position,
+       round(case when taken > 0 then (case when abs(tilt) < 1e-9 then last_
+         else (1 + tilt - sqrt(greatest((1 + tilt) * (1 + tilt) - 4 * tilt * last_, 0))) / (2 * tilt) end) end, 6) + 0.0::double as last_position, source
+from u, lateral (select unnest(range(m)))
 """
 
 
