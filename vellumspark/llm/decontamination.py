@@ -1,11 +1,13 @@
 """Benchmark decontamination by pigeonhole edit matching (operator 10).
 
-Texts are compared lower-cased, with each run of characters other than letters and digits as one space. An item of n
-characters has an error budget of k = floor(rate * n) edits and is split into k + 1 pieces: a text within k edits of it
-holds at least one piece exactly. All pieces of all items are looked up in one Aho-Corasick pass; a hit is verified up a
-binary tree over the pieces, in which a node of j pieces has a budget of j - 1 edits (if a node is matched within its
-budget, so is a child within its own), with Myers' bit-parallel distance; the root is the whole item with budget k.
-So no match within the budget is lost, and chance hits end at a short pattern.
+Texts are compared lower-cased, with each run of characters other than letters and digits as one space, and one space at
+either end, of texts and of items. An item of n characters without these has an error budget of k = floor(rate * n) edits
+and is split into k + 1 pieces: a text within k edits of it holds at least one piece exactly. All pieces of all items are
+looked up in one Aho-Corasick pass; a hit is verified up a binary tree over the pieces, in which a node of j pieces has a
+budget of j - 1 edits (if a node is matched within its budget, so is a child within its own), with Myers' bit-parallel
+distance; the root is the whole item with budget k. So no match within the budget is lost, and chance hits end at a
+short pattern. The spaces at the ends make an item match at word boundaries; an item too short for an edit matches only
+as whole words. An item of one common word marks each text that has the word: that is what the benchmark asks for.
 
 Defined results: a null or empty text matches nothing, a null or empty item (after normalising) is never matched; equal
 items each match; repeated rows each give their matches; an empty table on either side gives an empty result; other
@@ -15,6 +17,7 @@ columns are ignored, and filtering keeps the columns of the input as they are.
 from __future__ import annotations
 
 import re
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -26,14 +29,24 @@ from pyspark.sql import functions as F
 from vellumspark.llm.common import small_batches, texts_of
 
 ERROR_RATE = 0.1
-MATCH_SCHEMA = "doc_id long, item_id long, distance int, start long, end long, contaminated boolean"
-#: Items are broadcast in blocks of about this many bytes of text; a larger benchmark takes more passes over the documents.
-BLOCK_BYTES = 8 << 20
+MATCH_SCHEMA = "doc_id long, item_id long, distance int, start long, end long"
+#: Items are broadcast in blocks of about this many bytes of text, which take about 60 times as much as an automaton; a
+#: larger benchmark takes more passes over the documents.
+BLOCK_BYTES = 2 << 20
+#: The matcher of the block that this worker has read last.
+_matcher: dict[str, Matcher] = {}
 _NOT_WORD = re.compile(r"[\W_]+")
 
 
 def normalised(text: str) -> str:
-    return _NOT_WORD.sub(" ", text.lower()).strip()
+    """Words with one space around each, or nothing."""
+    words = _NOT_WORD.sub(" ", text.lower()).strip()
+    return f" {words} " if words else ""
+
+
+def budget_of(item: str, rate: float) -> int:
+    """Edits that a normalised item may take; its outer spaces don't count."""
+    return int(rate * (len(item) - 2))
 
 
 class Pattern:
@@ -45,8 +58,9 @@ class Pattern:
         for i, c in enumerate(text):
             self.peq[c] = self.peq.get(c, 0) | 1 << i
 
-    def search(self, text: str, budget: int) -> tuple[int, int]:
-        """The least distance of the pattern to any part of the text, and where such a part ends; stops at 0."""
+    def search(self, text: str, stop: int = 0, anchored: bool = False) -> tuple[int, int]:
+        """The least distance of the pattern to any part of the text (anchored: that starts with the text), and where the
+        first such part ends; looks no further once the distance is `stop`."""
         mask, high, peq = (1 << self.size) - 1, 1 << (self.size - 1), self.peq
         pv, mv, score, best, end = mask, 0, self.size, self.size, 0
         for i, c in enumerate(text):
@@ -61,9 +75,9 @@ class Pattern:
                 score -= 1
                 if score < best:
                     best, end = score, i + 1
-                    if not best:
+                    if best <= stop:
                         break
-            ph = (ph << 1) & mask
+            ph = (ph << 1 | anchored) & mask
             pv = ((mh << 1) & mask) | (mask & ~(xv | ph))
             mv = ph & xv
         return best, end
@@ -81,7 +95,7 @@ class Node:
     def found(self, text: str, low: int, high: int) -> tuple[int, int]:
         if self.pattern is None:
             self.pattern = Pattern(self.text)
-        return self.pattern.search(text[low:high], self.budget)
+        return self.pattern.search(text[low:high])
 
 
 class Matcher:
@@ -94,7 +108,7 @@ class Matcher:
             text = normalised(raw or "")
             if not text:
                 continue
-            budget = int(rate * len(text))
+            budget = budget_of(text, rate)
             root = Node(text, 0, len(text), budget, None)
             at = len(self.roots)
             self.roots.append((item_id, root))
@@ -115,12 +129,16 @@ class Matcher:
             self.automaton.make_automaton()
 
     def matches(self, raw: str) -> list[tuple[int, int, int, int]]:
-        """(item_id, distance, start, end) of the best match of each item within its budget; offsets in the normalised text."""
+        """(item_id, distance, start, end) of the best match of each item within its budget; offsets in the normalised text.
+
+        A match ends where it first is that near, and starts as late as it can for that end."""
         if not self.roots or not raw:
             return []
         text = normalised(raw)
+        if not text:
+            return []
         passed: dict[tuple[int, int], int] = {}  # (node, diagonal) that was tried: its result is not needed again
-        best: dict[int, tuple[int, int, int]] = {}
+        best: dict[int, tuple[int, int]] = {}
         for last, (size, nodes) in self.automaton.iter(text):
             for at, leaf in nodes:
                 if best.get(at, (1,))[0] == 0:
@@ -129,7 +147,7 @@ class Matcher:
                 origin = last + 1 - size - leaf.start
                 node, distance, end = leaf.above, 0, last + 1
                 if node is None:
-                    best[at] = (0, origin, last + 1)
+                    best[at] = (0, last + 1)
                     continue
                 while node is not None:
                     key = (id(node), origin)
@@ -143,8 +161,24 @@ class Matcher:
                     end, node = low + end, node.above
                 else:
                     if at not in best or distance < best[at][0]:
-                        best[at] = (distance, max(0, origin), end)
-        return [(self.roots[at][0], *found) for at, found in sorted(best.items())]
+                        best[at] = (distance, end)
+        return [(self.roots[at][0], distance, self.begin(at, text, distance, end), end) for at, (distance, end) in sorted(best.items())]
+
+    def begin(self, at: int, text: str, distance: int, end: int) -> int:
+        """Where the part of the text that ends there and is so near to the item begins: a search from the end backwards."""
+        item = self.roots[at][1].text
+        if not distance:
+            return end - len(item)
+        _, size = Pattern(item[::-1]).search(text[max(0, end - len(item) - distance) : end][::-1], distance, True)
+        return end - size
+
+
+def matcher_of(key: str, items: list[tuple[int, str]], rate: float) -> Matcher:
+    """Built once for a worker and block of items; only the last is held."""
+    if key not in _matcher:
+        _matcher.clear()
+        _matcher[key] = Matcher(items, rate)
+    return _matcher[key]
 
 
 def item_blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
@@ -158,18 +192,18 @@ def item_blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
 
 
 def find_matches(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE) -> DataFrame:
-    """doc_id, item_id, distance, start, end, contaminated of each document and item that it holds within the budget."""
+    """doc_id, item_id, distance, start, end of each document and item that it holds within the budget."""
     spark = docs.sparkSession
     out = None
     for items in item_blocks(benchmark):
-        shared = spark.sparkContext.broadcast(items)
+        shared, key = spark.sparkContext.broadcast(items), uuid.uuid4().hex
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            matcher = Matcher(shared.value, rate)
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, key=key) -> Iterator[pa.RecordBatch]:
+            matcher = matcher_of(key, shared.value, rate)
             for batch in small_batches(batches, "text"):
-                rows = [(doc_id, *m, True) for doc_id, text in zip(batch.column("doc_id").to_pylist(), texts_of(batch.column("text")), strict=True) for m in matcher.matches(text.decode())]
+                rows = [(doc_id, *m) for doc_id, text in zip(batch.column("doc_id").to_pylist(), texts_of(batch.column("text")), strict=True) for m in matcher.matches(text.decode())]
                 if rows:
-                    yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.bool_()), strict=True)], ["doc_id", "item_id", "distance", "start", "end", "contaminated"])
+                    yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "item_id", "distance", "start", "end"])
 
         found = docs.select("doc_id", "text").mapInArrow(run, MATCH_SCHEMA)
         out = found if out is None else out.unionByName(found)
@@ -180,10 +214,10 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RA
     """The rows of docs, with their columns, that hold no item; documents pass through and are not shuffled."""
     spark, kept = docs.sparkSession, docs
     for items in item_blocks(benchmark):
-        shared = spark.sparkContext.broadcast(items)
+        shared, key = spark.sparkContext.broadcast(items), uuid.uuid4().hex
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            matcher = Matcher(shared.value, rate)
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, key=key) -> Iterator[pa.RecordBatch]:
+            matcher = matcher_of(key, shared.value, rate)
             for batch in small_batches(batches, "text"):
                 clean = [not matcher.matches(text.decode()) for text in texts_of(batch.column("text"))]
                 yield batch.filter(pa.array(clean, pa.bool_()))
