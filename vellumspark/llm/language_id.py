@@ -3,7 +3,11 @@
 For each language a zstandard raw-content dictionary is made of a bounded sample of its training texts. A text is
 reduced to lower-case letters and single spaces, cut into chunks of CHUNK bytes so that every part of a long text has to
 draw on the dictionary, and compressed with each dictionary; the language with the smallest total is chosen, ties going
-to the language with more training texts, then in code-point order. A prediction is accepted only if the runner-up is larger by MARGIN of its size.
+to the language with more training texts, then in code-point order. A prediction is accepted only if the runner-up is
+larger by MARGIN of its size.
+
+Bounds of the sample that is learned from: the LANGUAGES languages with most training texts, TEXTS texts of each chosen by
+a hash of their id, of which the middle PIECE characters are taken, and DICTIONARY_BYTES of dictionary for each language.
 
 Defined results: `und` with score 0 and accepted false where the text is null or has no letter, or nothing was learned;
 whole texts are read however long; repeated rows each get their row; an empty table gives an empty result; other columns
@@ -22,8 +26,9 @@ from pyspark.sql import functions as F
 from vellumspark.llm.common import arrow_map, texts_of
 from vellumspark.llm.sampling import hash_unit
 
-#: Bounds of the sample: so many texts, and so many bytes of dictionary, for each language.
-TEXTS, DICTIONARY_BYTES = 120, 192 << 10
+#: Bounds of the sample; what is broadcast is LANGUAGES * DICTIONARY_BYTES at most.
+LANGUAGES, TEXTS, DICTIONARY_BYTES = 200, 120, 192 << 10
+PIECE = DICTIONARY_BYTES // 64
 CHUNK, LEVEL, MARGIN = 4096, 5, 0.005
 _NOT_LETTER = re.compile(r"[\W\d_]+")
 
@@ -36,15 +41,16 @@ def cleaned(text: str) -> bytes:
 def dictionaries(docs: DataFrame, training: Column, texts: int = TEXTS) -> dict[str, bytes]:
     """A raw-content dictionary for each non-null lang, from `texts` of its training texts at most."""
     known = docs.where(training & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = {r[0]: r[1] for r in known.groupBy("lang").count().collect()}
+    most = known.groupBy("lang").count().orderBy(F.col("count").desc(), "lang").limit(LANGUAGES)
+    counts = {r[0]: r[1] for r in most.collect()}
     if not counts:
         return {}
-    share = F.coalesce(*[F.when(F.col("lang") == lang, F.lit(min(1.0, (1.2 * texts + 20) / n))) for lang, n in sorted(counts.items())])
-    # What is sorted and sent to the driver is bounded by the number of languages, not of documents; a long text adds its middle.
-    piece = DICTIONARY_BYTES // 64
-    chosen = known.select("lang", "doc_id", "text", hash_unit("doc_id").alias("rank")).where(F.col("rank") < share)
-    part = F.substring("text", F.greatest(F.lit(1), (F.length("text") - piece) / 2).cast("int"), F.lit(piece))
-    rows = chosen.select("lang", "rank", part.alias("text")).orderBy("lang", "rank", "text").toLocalIterator()
+    share = F.try_element_at(F.create_map(*[F.lit(x) for lang, n in sorted(counts.items()) for x in (lang, min(1.0, (1.2 * texts + 20) / n))]), F.col("lang"))
+    # What is sorted and sent to the driver is bounded by the number of languages, not of documents; rows without an id,
+    # or that share one, are told apart by their text.
+    chosen = known.select("lang", "doc_id", "text", hash_unit("doc_id", "text").alias("rank")).where(F.col("rank") < share)
+    part = F.substring("text", F.greatest(F.lit(1), (F.length("text") - PIECE) / 2).cast("int"), F.lit(PIECE))
+    rows = chosen.select("lang", "rank", part.alias("text")).distinct().orderBy("lang", "rank", "text").toLocalIterator()
     gathered: dict[str, list[bytes]] = {}
     for lang, _, text in rows:
         got = gathered.setdefault(lang, [])

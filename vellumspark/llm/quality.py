@@ -7,8 +7,10 @@ that it was not fitted on, and hands the unlabelled rows of which it is confiden
 At last the calibrated log-odds of both views are combined by a logistic regression on those calibration rows, so a view
 that tells little weighs little, and all documents are scored.
 
-Bounds of the fit: LABELLED rows of each label and UNLABELLED other rows, chosen by a hash of their id. Everything else
-covers all rows.
+Bounds of the fit: LABELLED documents of each label and about UNLABELLED others, chosen by a hash of their id, one row
+for each id (that with the least hash of its text; rows without an id are left out) and none of more than SAMPLE_BYTES
+bytes; and MOST_NEW pseudo-labels of each kind and view in a round, the most confident ones. Everything else covers all
+rows.
 
 Defined results: null text is the empty text, null metadata a value of its own; whole texts are read; repeated rows each
 get their row; without labels of both kinds every score is 0.5; an empty table gives an empty result; other columns are
@@ -26,8 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vellumspark.llm.common import arrow_map, texts_of
-from vellumspark.llm.sampling import hash_unit, labelled_sample
-from vellumspark.llm.toxicity import BITS, Ftrl
+from vellumspark.llm.sampling import hash_unit, labelled_sample, one_row_each
+from vellumspark.llm.toxicity import BITS, SAMPLE_BYTES, Ftrl
 
 LABELLED, UNLABELLED, ROUNDS, EPOCHS = 4_000, 6_000, 4, 2
 CONFIDENT, MOST_NEW = 0.97, 500
@@ -146,9 +148,9 @@ def fit(docs: DataFrame, labels: DataFrame):
     sample, shares = labelled_sample(labels.select("doc_id", "quality"), "quality", LABELLED)
     total = docs.count()
     columns = docs.select("doc_id", "text", "source", "lang", "n_chars")
-    chosen = columns.join(F.broadcast(sample), "doc_id")
+    chosen = one_row_each(columns.join(F.broadcast(sample), "doc_id"), SAMPLE_BYTES)
     # Other rows by a hash threshold, without those that are labelled; what is looked up is bounded by the threshold.
-    some = columns.where(hash_unit("doc_id", F.lit("unlabelled")) < UNLABELLED / max(1, total))
+    some = one_row_each(columns.where(F.col("doc_id").isNotNull() & (hash_unit("doc_id", F.lit("unlabelled")) < UNLABELLED / max(1, total))), SAMPLE_BYTES)
     unlabelled = some.join(labels.select("doc_id").distinct(), "doc_id", "left_anti").withColumn("label", F.lit(None).cast("int")).withColumn("rank", hash_unit("doc_id"))
     rows = chosen.select("rank", "label", "text", "source", "lang", "n_chars").unionByName(unlabelled.select("rank", "label", "text", "source", "lang", "n_chars"))
 

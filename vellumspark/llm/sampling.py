@@ -33,3 +33,13 @@ def labelled_sample(labels: DataFrame, label: str, bound: int) -> tuple[DataFram
     # Another hash for the order of training: by the first one, a label of which few rows are kept would come in one lump.
     kept = kept.withColumn("rank", hash_unit("doc_id", F.lit("order")))
     return kept, {v: min(1.0, bound / n) for v, n in counts.items()}
+
+
+def one_row_each(rows: DataFrame, most_bytes: int) -> DataFrame:
+    """One row for each doc_id, that with the least hash of its text, of those that have at most so many bytes.
+
+    Repeats of an id are dropped map-side, so that what is gathered is bounded by the number of ids, whatever repeats.
+    """
+    short = rows.where(F.octet_length(F.coalesce("text", F.lit(""))) <= most_bytes)
+    others = [c for c in rows.columns if c != "doc_id"]
+    return short.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("__hash"), *others)).alias("__row")).select("doc_id", *[F.col(f"__row.{c}").alias(c) for c in others])

@@ -2,11 +2,15 @@
 
 Features of a text, each once: its words, their stems (first STEMS bytes of longer words, for inflected forms), word
 pairs and pairs with one or two words between, hashed into 2**BITS slots. Words are lower-cased at A-Z and split at
-ASCII white space; words come with and without punctuation at their ends. Training takes a bounded sample of labelled
-rows in a fixed order, with per-coordinate rates and L1, so few weights stay; only those are broadcast.
+ASCII white space; punctuation at their ends goes. Training takes a bounded sample of labelled documents in a fixed
+order, with per-coordinate rates and L1, so few weights stay; only those are broadcast.
+
+Bounds of the fit: SAMPLE documents of each label, one row for each id (that with the least hash of its text), and none
+of more than SAMPLE_BYTES bytes. All documents are scored.
 
 Defined results: a null or empty text has no feature and gets the score of the intercept; whole texts are read;
-repeated rows each get their row; without training rows every score is 0; an empty table gives an empty result; other
+repeated rows each get their row; without training rows every score is 0, and with labels of one class only every score
+is that class's (0 or 1), as nothing can be told apart; an empty table gives an empty result; other
 columns are ignored, and filtering keeps the columns of the input as they are.
 """
 
@@ -21,11 +25,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vellumspark.llm.common import arrow_map, small_batches, texts_of
-from vellumspark.llm.sampling import labelled_sample
+from vellumspark.llm.sampling import labelled_sample, one_row_each
 
 BITS, STEMS = 22, (4, 6)
-#: At most so many rows of each label are learned from.
-SAMPLE = 8_000
+#: At most so many documents of each label are learned from, of so many bytes each.
+SAMPLE, SAMPLE_BYTES = 8_000, 1 << 18
 ALPHA, BETA, L1, L2, EPOCHS = 0.3, 1.0, 4.0, 1.0, 4
 THRESHOLD = 0.3
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -76,7 +80,7 @@ def train(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> tuple[np.n
     """(slots, weights, intercept) learned from labels (doc_id, toxic), which hold training rows only."""
     sample, shares = labelled_sample(labels.select("doc_id", "toxic"), "toxic", bound)
     # 2 * bound rows at most, so broadcasting their ids is bounded, and documents are not shuffled.
-    chosen = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
+    chosen = one_row_each(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id"), SAMPLE_BYTES)
 
     def hashed(batch: pa.RecordBatch) -> pa.RecordBatch:
         slots = [features(t) for t in texts_of(batch.column("text"))]
@@ -103,7 +107,7 @@ def train(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> tuple[np.n
 
     learned = rows.repartition(1).mapInArrow(fit, "slot long, weight double").collect()
     if not learned:
-        return np.zeros(0, np.int64), np.zeros(0), -40.0
+        return np.zeros(0, np.int64), np.zeros(0), 40.0 if set(shares) == {1} else -40.0
     pairs = {r[0]: r[1] for r in learned}
     # The sample keeps other shares of either label than the rows have; the intercept takes that back.
     intercept = pairs.pop(1 << BITS) + float(np.log(shares.get(0, 1.0) / shares.get(1, 1.0)))
