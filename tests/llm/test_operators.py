@@ -9,11 +9,12 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tables import SF
-from vellumspark.llm import decontamination, fingerprints, language_id, language_model, line_dedup, mixing, near_dups, quality, token_counts, toxicity
+from vellumspark.llm import decontamination, fingerprints, language_id, language_model, line_dedup, mixing, near_dups, quality, sampling, token_counts, toxicity
 from vellumspark.llm.common import hash_words, held_out, searched
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -118,6 +119,21 @@ def test_languages_of_texts_held_out(docs):
     assert sum(r.lang == r.lang_pred for r in out) >= 0.9 * len(out) and all(0 <= r.score <= 1 for r in got)
 
 
+def test_languages_are_those_of_plain_compression(docs, texts):
+    """The least sum of plain zstandard frames against a raw-content dictionary each."""
+    held = held_out(4, 2)
+    raw = language_id.dictionaries(docs, ~held)
+    got = {r.doc_id: r.lang_pred for r in language_id.identify(docs, ~held, held).collect()}
+    for i in sorted(texts)[:60]:
+        clean = language_id.cleaned(texts[i])
+        sizes = {}
+        for lang, data in raw.items():
+            how = zstandard.ZstdCompressionParameters.from_level(language_id.LEVEL, dict_size=len(data), source_size=language_id.CHUNK, min_match=3, write_content_size=False, write_checksum=False, write_dict_id=False)
+            parts = [clean[k : k + language_id.CHUNK] for k in range(0, len(clean), language_id.CHUNK)]
+            sizes[lang] = sum(len(zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(data, dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=how).compress(p)) for p in parts)
+        assert got[i] == (min(sizes, key=sizes.get) if clean else "und")
+
+
 def test_languages_of_odd_rows(odd, none):
     got = language_id.identify(odd, F.lit(True), F.lit(False)).collect()
     assert len(got) == 10 and all((r.lang_pred == "und") == (r.doc_id in (3, 4, 6, 7)) for r in got)
@@ -219,6 +235,67 @@ def test_classifiers_take_odd_rows(spark, odd, none):
     assert quality.score(none, quality.fit(none, labels.limit(0))).count() == 0
 
 
+def test_labels_of_one_class_and_repeated_ids(spark):
+    docs = spark.createDataFrame([(1, f"text {k}") for k in range(50)] + [(2, "other"), (None, "none")], "doc_id long, text string").withColumns({"source": F.lit("s"), "lang": F.lit("en"), "n_chars": F.lit(5).cast("long"), "k": F.lit(True)})
+    for value in (0, 1):
+        labels = spark.createDataFrame([(1, value), (2, value)], "doc_id long, toxic int")
+        assert {round(r.score) for r in toxicity.scores(docs, toxicity.train(docs, labels), "k").collect()} == {value}
+    chosen = sampling.one_row_each(docs.select("doc_id", "text", F.lit(1).alias("label")), 6)
+    assert sorted((r.doc_id or 0) for r in chosen.collect()) == [0, 1, 2] and all(len(r.text) <= 6 for r in chosen.collect())
+
+
+def test_training_is_ftrl_proximal(spark):
+    """The fitted weights against the algorithm on plain dictionaries, one coordinate at a time."""
+    rng = np.random.default_rng(6)
+    words = [f"w{k}" for k in range(40)]
+    rows = [(i, " ".join(rng.choice(words, 8).tolist() + ["bad"] * (i % 3 == 0))) for i in range(120)]
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, int(i % 3 == 0)) for i, _ in rows], "doc_id long, toxic int")
+    slots, weights, intercept = toxicity.train(docs, labels)
+    order = [r.doc_id for r in sampling.labelled_sample(labels, "toxic", 99)[0].orderBy("rank").collect()]
+    z, n, one = collections.defaultdict(float), collections.defaultdict(float), 1 << toxicity.BITS
+
+    def weight(k):
+        l1 = 0.0 if k == one else toxicity.L1
+        return 0.0 if abs(z[k]) <= l1 else -(z[k] - math.copysign(l1, z[k])) / ((toxicity.BETA + math.sqrt(n[k])) / toxicity.ALPHA + toxicity.L2)
+
+    own = {i: [*toxicity.features(t.encode()).tolist(), one] for i, t in rows}
+    for _ in range(toxicity.EPOCHS):
+        for i in order:
+            w = {k: weight(k) for k in own[i]}
+            g = 1 / (1 + math.exp(-sum(w.values()))) - (i % 3 == 0)
+            for k in own[i]:
+                z[k] += g - (math.sqrt(n[k] + g * g) - math.sqrt(n[k])) / toxicity.ALPHA * w[k]
+                n[k] += g * g
+    want = {k: weight(k) for k in z if k != one and weight(k)}
+    assert dict(zip(slots.tolist(), weights.tolist())) == pytest.approx(want) and intercept == pytest.approx(weight(one))
+
+
+def test_views_teach_each_other():
+    """co_train on two views: rounds as a naive loop over the same views."""
+    rng = np.random.default_rng(9)
+    truth = rng.integers(0, 2, 400)
+    content = [np.array([10 + y * 5 + int(rng.integers(0, 3)), 50 + int(rng.integers(0, 9))], np.int32) for y in truth]
+    meta = [np.array([100 + y * 5 + int(rng.integers(0, 3))], np.int32) for y in truth]
+    labels = [int(y) if k < 60 else None for k, y in enumerate(truth)]
+    views, mixed = quality.co_train(content, meta, labels)
+    known, unknown = list(range(60)), list(range(60, 400))
+    held, fitted, given, own = known[::4], [k for i, k in enumerate(known) if i % 4], [{}, {}], [quality.View(content), quality.View(meta)]
+    for turn in range(quality.ROUNDS + 1):
+        for v, taught in zip(own, given):
+            rows = sorted([*fitted, *taught])
+            v.fit(rows, [labels[i] if labels[i] is not None else taught[i] for i in rows], held, truth[held])
+        if turn < quality.ROUNDS:
+            for k in (0, 1):
+                p = {i: float(quality.sigmoid(own[k].odds(own[k].features[i]))) for i in unknown if i not in given[1 - k]}
+                for label, sure in ((1, lambda x: x), (0, lambda x: 1 - x)):
+                    best = sorted((i for i in p if sure(p[i]) >= quality.CONFIDENT), key=lambda i: (-sure(p[i]), i))[: quality.MOST_NEW]
+                    given[1 - k].update({i: label for i in best})
+    odds = np.array([[v.odds(v.features[i]) for v in own] for i in held])
+    assert given[0] and given[1] and mixed == pytest.approx(quality.logistic(odds, truth[held]))
+    both = [mixed[0] * views[0].odds(c) + mixed[1] * views[1].odds(m) + mixed[2] for c, m in zip(content, meta)]
+    assert np.mean((np.array(both) > 0) == (truth == 1)) > 0.95
+
+
 def test_quality_of_texts_held_out(spark):
     sf = SF.replace("0.001", "0.01")
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
@@ -285,7 +362,8 @@ def test_line_dedup_of_odd_rows(odd, none):
 def brute_classes(texts):
     sets = {i: near_dups.shingles((t or "").encode()) for i, t in texts.items()}
     df = collections.Counter(x for h, _, _ in sets.values() for x in h.tolist())
-    weight = {i: dict(zip(h.tolist(), near_dups.weights(c, np.array([df[x] for x in h.tolist()]), len(texts)))) for i, (h, c, _) in sets.items()}
+    idf = lambda x: 1 + math.log((len(texts) + 1) / (df[x] + 1)) / math.log(len(texts) + 1)
+    weight = {i: {x: k * idf(x) for x, k in zip(h.tolist(), c.tolist())} for i, (h, c, _) in sets.items()}
     parent = {i: i for i in texts}
 
     def root(x):
@@ -368,6 +446,33 @@ def test_near_dups_of_odd_rows(odd, none):
     assert near_dups.classes(none).count() == 0 and near_dups.without_near_dups(none).count() == 0
 
 
+def test_rows_that_share_an_id_are_not_taken_for_each_other(spark):
+    base, other = (" ".join(f"{w}{k}" for k in range(60)) for w in ("a", "b"))
+    rows = [(1, base), (None, base), (None, base), (None, other), (None, "third"), (5, "fourth " + other), (5, base), (6, base.upper() + " a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = near_dups.without_near_dups(docs).collect()
+    assert sorted(r.text for r in kept) == sorted([base, "fourth " + other, "third"])
+    assert {r.class_id for r in near_dups.classes(docs).collect()} == {1, 5, None}
+
+
+def test_planted_near_copies_are_found(spark):
+    """Copies with as many words edited as leaves 0.85 of the weight alike, among texts of one vocabulary."""
+    rng = np.random.default_rng(11)
+    words = [f"w{k}" for k in range(3000)]
+    texts, planted = {}, {}
+    for k in range(150):
+        w = rng.choice(words, int(rng.integers(150, 400))).tolist()
+        texts[k], texts[1000 + k] = " ".join(w), " ".join(w)
+        edited = list(w)
+        for at in rng.integers(0, len(w), max(1, len(w) // 150)):
+            edited[int(at)] = str(rng.choice(words))
+        texts[2000 + k], planted[2000 + k] = " ".join(edited).capitalize(), k
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: r.class_id for r in near_dups.classes(docs).collect()}
+    assert all(got[1000 + k] == k for k in range(150)) and np.mean([got[i] == k for i, k in planted.items()]) >= 0.9
+    assert len(set(got.values())) <= 150 + 15
+
+
 def test_packing():
     for v in ([], [5], [1, 2, 1 << 20], [0, 1 << 40, (1 << 48) - 1]):
         a = np.array(v, np.uint64)
@@ -400,6 +505,13 @@ def test_mix_meets_targets(docs, texts):
         assert target[s] == pytest.approx(fixed.get(s, level * weight[s])) and abs(taken[s] - target[s]) <= 1
     at = [r.position for r in got if r.position is not None]
     assert at == sorted(at) and all(0 <= x <= 1 for x in at)
+    assert all(list(r.positions) == sorted(r.positions) and -(-r.taken // max(1, r["size"])) == len(r.positions) for r in got)
+    # Up to any time the copies that are due hold that share of all tokens, and a target of several sizes is spread over all of it.
+    copies = sorted((x, min(r["size"], r.taken - k * r["size"])) for r in got for k, x in enumerate(r.positions))
+    whole, largest = sum(n for _, n in copies), max(r["size"] for r in got)
+    for t in (0.2, 0.5, 0.8):
+        assert sum(n for x, n in copies if x <= t) / whole == pytest.approx(t, abs=len(totals) * largest / whole + 0.02)
+    assert copies[-1][0] > 0.8
     assert sorted(map(tuple, mixing.mix(docs).collect()), key=str) == sorted(map(tuple, got), key=str)
 
 
@@ -414,28 +526,72 @@ def test_mix_of_odd_rows(odd, none):
     assert mixing.mixed_documents(none).count() == 0
 
 
+def test_each_row_is_mixed_by_its_own_size(spark):
+    rows = [(None, "one", "a"), (None, "one two three", "a"), (None, "one", None), (7, "a b", "b"), (7, "a b c d", "b"), (7, "a b", "b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mixed_documents(docs).collect()
+    assert all(r["size"] == len(r.text.split()) and 0 < r.taken <= 3 * r["size"] for r in got)
+    plan = collections.Counter((r.doc_id, r["size"], r.source) for r in mixing.mix(docs).collect())
+    assert plan == collections.Counter((i, len(t.split()), s) for i, t, s in rows)
+    repeats = [r.taken for r in mixing.mix(docs).collect() if r.doc_id == 7 and r["size"] == 2]
+    assert len(repeats) == 2 and len(set(repeats)) == 1
+
+
 # Decontamination
 
 
 def test_matches_are_those_of_brute_force(spark, docs, texts):
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     want = {}
-    patterns = [(i, decontamination.Pattern(n), int(0.1 * len(n))) for i, n in ((i, decontamination.normalised(t)) for i, t in items)]
+    patterns = [(i, decontamination.Pattern(n), int(0.1 * (len(n) - 2))) for i, n in ((i, decontamination.normalised(t)) for i, t in items)]
     plain = {i: decontamination.normalised(t) for i, t in texts.items()}
     for i, t in plain.items():
-        if len(t) < 4000:
-            for item, pattern, budget in patterns:
-                distance, _ = pattern.search(t, budget)
-                if distance <= budget:
-                    want[i, item] = distance
-    got = {(r.doc_id, r.item_id): r.distance for r in decontamination.find_matches(docs, spark.read.parquet(f"{SF}/benchmark.parquet")).collect() if len(plain[r.doc_id]) < 4000}
-    assert got == want and want
+        for item, pattern, budget in patterns:
+            distance, _ = pattern.search(t)
+            if distance <= budget:
+                want[i, item] = distance
+    found = decontamination.find_matches(docs, spark.read.parquet(f"{SF}/benchmark.parquet")).collect()
+    assert {(r.doc_id, r.item_id): r.distance for r in found} == want and max(len(plain[i]) for i, _ in want) > 4000
+    own = {i: decontamination.normalised(t) for i, t in items}
+    assert all(edits(plain[r.doc_id][r.start : r.end], own[r.item_id]) == r.distance for r in found)
+
+
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a):
+        now = [i + 1]
+        for j, y in enumerate(b):
+            now.append(min(row[j] + (x != y), row[j + 1] + 1, now[j] + 1))
+        row = now
+    return row[-1]
+
+
+def test_short_items_match_whole_words_only(spark):
+    docs = spark.createDataFrame([(1, "other weather"), (2, "The end"), (3, "a b"), (4, "ab"), (None, "the, other")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "the"), (2, "A")], "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontamination.find_matches(docs, items).collect()} == {(2, 1), (None, 1), (3, 2)}
+    assert [r.doc_id for r in decontamination.decontaminated(docs, items).collect()] == [1, 4]
+
+
+def test_large_texts_and_items_lose_no_match():
+    """A very long text with passages at its ends and in the middle, edited up to the budget."""
+    rng = np.random.default_rng(8)
+    word = lambda: "".join(rng.choice(list("abcde"), rng.integers(1, 6)))
+    items = [(k, " ".join(word() for _ in range(60))) for k in range(5)]
+    cut = lambda t, n: "".join(c for i, c in enumerate(t) if i not in set(rng.choice(np.arange(1, len(t) - 1), n, replace=False).tolist()))
+    filler = " ".join(word() for _ in range(30_000))
+    text = " ".join([cut(items[0][1], 5), filler, items[1][1], cut(items[2][1], int(0.1 * len(items[2][1]))), filler, items[3][1]])
+    plain = decontamination.normalised(text)
+    want = {k: d for k, t in items for d, b in [(decontamination.Pattern(decontamination.normalised(t)).search(plain)[0], int(0.1 * (len(decontamination.normalised(t)) - 2)))] if d <= b}
+    got = decontamination.Matcher(items).matches(text)
+    assert {k: d for k, d, _, _ in got} == want and {0, 1, 3} <= set(want)
+    assert all(edits(plain[a:b], decontamination.normalised(items[k][1])) == d for k, d, a, b in got)
 
 
 def test_edited_passages_are_found():
     rng = np.random.default_rng(4)
     item = "".join(rng.choice(list("abcdefghij "), 200))
-    matcher, n = decontamination.Matcher([(1, item)]), len(decontamination.normalised(item))
+    matcher, n = decontamination.Matcher([(1, item)]), len(decontamination.normalised(item)) - 2
     for _ in range(40):
         chars = list(item)
         for _ in range(int(0.1 * n) - 3):
@@ -447,7 +603,7 @@ def test_edited_passages_are_found():
             else:
                 chars.insert(at, "q")
         text = "some text before " + "".join(chars) + " and after"
-        best, _ = decontamination.Pattern(decontamination.normalised(item)).search(decontamination.normalised(text), 99)
+        best, _ = decontamination.Pattern(decontamination.normalised(item)).search(decontamination.normalised(text))
         assert bool(matcher.matches(text)) == (best <= int(0.1 * n))
 
 

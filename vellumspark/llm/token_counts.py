@@ -17,6 +17,7 @@ import re
 from pathlib import Path
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -87,9 +88,12 @@ class Counter:
 
 def read_cache(spark, path: str, tokenizer: str) -> DataFrame:
     """Stored counts of one tokenizer version; a digest that two runs stored at once is read once."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    there = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
-    stored = spark.read.schema(CACHE_SCHEMA).parquet(path) if there else spark.createDataFrame([], CACHE_SCHEMA)
+    try:
+        stored = spark.read.schema(CACHE_SCHEMA).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        stored = spark.createDataFrame([], CACHE_SCHEMA)
     return stored.where(F.col("tokenizer") == tokenizer).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
 
 
