@@ -115,12 +115,53 @@ def test_archives_are_read_repaired_and_written(spark, tmp_path):
     row = fixed.first()
     assert row.html == "<p>a &amp; b<br/></p>" and row.fixes == {"escape_bare_amp": 1, "self_close_void": 1}
     changed = fixed.select("book_id", F.col("path").alias("name"), F.encode("html", "UTF-8").alias("new_bytes"))
-    one, two = (archive.rezipped(entry, changed).first().content for _ in range(2))
+    one, two = (archive.rezipped(files, changed).first().content for _ in range(2))
     assert one == two
     with zipfile.ZipFile(io.BytesIO(one)) as z:
         assert z.namelist()[0] == "mimetype" and z.read("c 1.xhtml") == b"<p>a &amp; b<br/></p>" and z.read("img.bin") == b"\xff\xfe"
 
 
+def test_what_cannot_be_read_is_carried(spark, tmp_path, monkeypatch):
+    """An entry over the bound, a damaged one and one that isn't UTF-8 come out of a repair byte for byte."""
+    big, latin = b"x" * (33 << 20), "<p>caf\u00e9 & b</p>".encode("latin-1")
+    opf = OPF.replace("gone.xhtml", "latin.xhtml").replace('<itemref idref="z"/>', "")
+    package(tmp_path / "a.EPUB", [("content.opf", opf), ("c 1.xhtml", "<p>a & b</p>"), ("big.bin", big), ("bad.bin", b"good bytes" * 50), ("latin.xhtml", latin), ("x/", b"")])
+    data = (tmp_path / "a.EPUB").read_bytes()
+    at = data.index(b"good bytes")
+    data = data[:at] + b"BAD" + data[at + 3 :]
+    (tmp_path / "a.EPUB").write_bytes(data)
+    files = archive.archives(spark, f"file://{tmp_path}")
+    entry = archive.entries(files).cache()
+    items = archive.manifest(archive.packages(entry))
+    places = archive.spine(items, entry)
+    docs = archive.documents(places, entry)
+    assert [r.path for r in docs.collect()] == ["c 1.xhtml"] and archive.unreadable_documents(places, entry).first().non_utf8_docs_skipped == 1
+    facts = archive.archive_facts(entry, spark.createDataFrame([], "book_id string, target string, drm boolean"), places, items).first()
+    assert (facts.corrupt, facts.encrypted, facts.spine, facts.missing, facts.duplicates, facts.unreadable) == (1, 0, 2, 0, 0, None)
+    fixed = repair.repaired(docs)
+    row = archive.rezipped(files, fixed.select("book_id", F.col("path").alias("name"), F.encode("html", "UTF-8").alias("new_bytes"))).first()
+    assert row.err is None and row.mimetype == "added"
+    with zipfile.ZipFile(io.BytesIO(row.content)) as z, zipfile.ZipFile(io.BytesIO(data)) as old:
+        assert z.namelist() == ["mimetype", "content.opf", "c 1.xhtml", "big.bin", "bad.bin", "latin.xhtml", "x/"]
+        assert z.read("big.bin") == big and z.read("latin.xhtml") == latin and z.read("c 1.xhtml") == b"<p>a &amp; b</p>"
+        assert b"BADd bytes" in row.content and z.getinfo("bad.bin").CRC == old.getinfo("bad.bin").CRC
+        with pytest.raises(zipfile.BadZipFile):
+            z.read("bad.bin")
+
+
+def test_facts_of_encrypted_and_delimited_packages(spark, tmp_path):
+    opf = OPF.replace("gone.xhtml", "B#1.xhtml")
+    package(tmp_path / "a.epub", [("content.opf", opf), ("c 1.xhtml", "x"), ("B%231.xhtml", "y"), ("f.otf", "z"), ("extra.htm", "e" * 10), ("more.html", "m" * 10)])
+    files = archive.archives(spark, f"file://{tmp_path}")
+    entry = archive.entries(files).withColumn("norm_name", F.when(F.col("name") == "B%231.xhtml", "B#1.xhtml").otherwise(F.col("norm_name"))).cache()
+    items = archive.manifest(archive.packages(entry))
+    places = archive.spine(items, entry)
+    declared = entry.where("name = 'f.otf'").select("book_id", F.lit("f.otf").alias("target"), F.lit(False).alias("drm"))
+    facts = archive.archive_facts(entry, declared, places, items).first()
+    assert (facts.obfuscated, facts.encrypted, facts.drm, facts.missing, facts.delim) == (1, 0, 0, 2, 1)
+    assert {r.path for r in archive.off_spine(places, entry, cap=12).collect()} == {"B#1.xhtml", "extra.htm"}
+
+
 def test_census_lines(spark):
     lines = ["1,3,0 ||| RSC-005:3:104,RSC-012:1:1 ||| /lib/a.epub", "-1,-1,-1 |||  ||| /lib/b.epub", "0,0,2 ||| HTM-004,BAD:x:1 ||| /lib/c ||| d.epub", "nonsense"]
     got = {r.path: r for r in census.parsed(spark.createDataFrame([(x,) for x in lines], "value string")).collect()}

@@ -36,58 +36,98 @@ def running_heads(blocks: DataFrame, repeat: int = RUNHEAD_REPEAT) -> DataFrame:
     return short.groupBy("book_id", "text").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= repeat)
 
 
-def neighbours(blocks: DataFrame, columns: tuple[str, ...] = ("text",)) -> DataFrame:
-    """blocks with prev and next (structs of the columns) in the order of (pos, idx) of the whole book."""
+SLICES = 64
+
+
+def sliced(docs: DataFrame, keys: list[str], order: str = "pos", slices: int = SLICES) -> DataFrame:
+    """docs with `slice`, ranges of the order within the keys: what is ordered over a whole book is ordered within
+    slices first, then over one row a slice."""
+    span = docs.groupBy(*keys).agg(F.min(order).alias("__lo"), F.max(order).alias("__hi"))
+    at = F.floor((F.col(order) - F.col("__lo")) * slices / (F.col("__hi") - F.col("__lo") + 1))
+    return docs.join(span, keys).withColumn("slice", F.least(F.lit(slices - 1), at).cast("int")).drop("__lo", "__hi")
+
+
+def neighbours(blocks: DataFrame, columns: tuple[str, ...], size: str) -> DataFrame:
+    """blocks with prev and next (structs of the columns) and offset (the sum of `size` before them) in the order of
+    (pos, idx) of the whole book: within documents, then over one row a document in slices, then over slices."""
     what = F.struct(*columns)
     inside = Window.partitionBy("book_id", "pos").orderBy("idx")
-    near = blocks.withColumn("prev", F.lag(what).over(inside)).withColumn("next", F.lead(what).over(inside))
-    ends = blocks.groupBy("book_id", "pos").agg(F.min_by(what, "idx").alias("first"), F.max_by(what, "idx").alias("last"))
-    docs = Window.partitionBy("book_id").orderBy("pos")
-    ends = ends.select("book_id", "pos", F.lag("last").over(docs).alias("before"), F.lead("first").over(docs).alias("after"))
-    joined = near.join(ends, ["book_id", "pos"])
-    return joined.withColumn("prev", F.coalesce("prev", "before")).withColumn("next", F.coalesce("next", "after")).drop("before", "after")
-
-
-def offsets(blocks: DataFrame) -> DataFrame:
-    """blocks with `offset`, the characters of the book before each block, by prefix sums of documents and of blocks."""
-    inside = Window.partitionBy("book_id", "pos").orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)
-    docs = Window.partitionBy("book_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = blocks.groupBy("book_id", "pos").agg(F.sum(F.length("text")).alias("doc_chars"))
-    sizes = sizes.select("book_id", "pos", F.coalesce(F.sum("doc_chars").over(docs), F.lit(0)).alias("doc_offset"))
-    own = blocks.withColumn("own", F.coalesce(F.sum(F.length("text")).over(inside), F.lit(0)))
-    return own.join(sizes, ["book_id", "pos"]).withColumn("offset", F.col("own") + F.col("doc_offset")).drop("own", "doc_offset")
-
-
-def baked_numbers(blocks: DataFrame, heads: DataFrame) -> DataFrame:
-    """book_id, pos, idx, offset, value of page numbers that are wedged into the text."""
-    value = X.number_value(F.col("text"))
-    near = neighbours(offsets(blocks.select("book_id", "pos", "idx", "text"))).withColumn("value", value)
-    near = near.where(F.col("value").isNotNull() & ~F.col("value").between(1500, 2099)).withColumn("p", F.coalesce("prev.text", F.lit(""))).withColumn("n", F.coalesce("next.text", F.lit("")))
-    names = heads.select("book_id", "text")
-    near = near.join(names.select("book_id", F.col("text").alias("p"), F.lit(True).alias("p_head")), ["book_id", "p"], "left")
-    near = near.join(names.select("book_id", F.col("text").alias("n"), F.lit(True).alias("n_head")), ["book_id", "n"], "left")
-    p, n, yes = F.col("p"), F.col("n"), F.lit(False)
-    p_head, n_head = F.coalesce("p_head", yes), F.coalesce("n_head", yes)
-    p_prose, n_prose = F.length(p) > PROSE_MIN, F.length(n) > PROSE_MIN
-    unfinished = p_prose & lower_end(p)
-    baked = p.rlike("\\p{L}-$") | lower_start(n) | (unfinished & (n_prose | n_head)) | (p_head & n_head)
-    return near.where((p_prose | n_prose) & baked).select("book_id", "pos", "idx", "offset", "value")
+    before = Window.unboundedPreceding, -1
+    near = blocks.withColumns({"prev": F.lag(what).over(inside), "next": F.lead(what).over(inside), "own": F.coalesce(F.sum(size).over(inside.rowsBetween(*before)), F.lit(0))})
+    docs = sliced(blocks.groupBy("book_id", "pos").agg(F.min_by(what, "idx").alias("first"), F.max_by(what, "idx").alias("last"), F.sum(size).alias("chars")), ["book_id"])
+    row, part = Window.partitionBy("book_id", "slice").orderBy("pos"), Window.partitionBy("book_id").orderBy("slice")
+    ends = docs.groupBy("book_id", "slice").agg(F.min_by("first", "pos").alias("first"), F.max_by("last", "pos").alias("last"), F.sum("chars").alias("chars"))
+    ends = ends.select("book_id", "slice", F.lag("last").over(part).alias("slice_before"), F.lead("first").over(part).alias("slice_after"), F.coalesce(F.sum("chars").over(part.rowsBetween(*before)), F.lit(0)).alias("slice_offset"))
+    docs = docs.withColumns({"before": F.lag("last").over(row), "after": F.lead("first").over(row), "doc_offset": F.coalesce(F.sum("chars").over(row.rowsBetween(*before)), F.lit(0))}).join(ends, ["book_id", "slice"])
+    docs = docs.select("book_id", "pos", "slice", F.coalesce("before", "slice_before").alias("before"), F.coalesce("after", "slice_after").alias("after"), (F.col("doc_offset") + F.col("slice_offset")).alias("doc_offset"))
+    joined = near.join(docs, ["book_id", "pos"])
+    return joined.withColumns({"prev": F.coalesce("prev", "before"), "next": F.coalesce("next", "after"), "offset": F.col("own") + F.col("doc_offset")}).drop("before", "after", "own", "doc_offset")
+
+
+def body_blocks(blocks: DataFrame) -> DataFrame:
+    """blocks with `paragraph`, without documents that are navigation (nav, if known) or mostly list items (tag, if known)."""
+    out = blocks if "nav" not in blocks.columns else blocks.where(~F.coalesce("nav", F.lit(False)))
+    if "tag" not in blocks.columns:
+        return out.withColumn("paragraph", F.lit(True))
+    items = F.avg((F.col("tag") == "li").cast("int")).over(Window.partitionBy("book_id", "pos"))
+    return out.withColumn("__li", items).where("__li <= 0.5").drop("__li").withColumn("paragraph", F.col("tag").isin("p", "div"))
+
+
+def marked_blocks(blocks: DataFrame) -> DataFrame:
+    """What the page number rules ask of each block of a body: its length, its number, how it begins and ends, whether it
+    is a running head. Texts are left behind here, so what is ordered and moved after this is small."""
+    known = body_blocks(blocks)
+    text = F.col("text")
+    facts = known.select(
+        "book_id", "pos", "idx", F.length(text).alias("chars"), (F.col("paragraph") & (F.length(text) > PROSE_MIN)).alias("prose"),
+        F.when(F.col("paragraph"), X.number_value(text)).alias("number"), text.rlike("\\p{L}-$").alias("split"), lower_end(text).alias("open_end"), lower_start(text).alias("low_start"),
+        F.when((F.length(text) <= RUNHEAD_MAX) & X.number_value(text).isNull(), text).alias("short"),
+    )
+    heads = facts.where("short <> ''").groupBy("book_id", "short").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= RUNHEAD_REPEAT).select("book_id", "short", F.lit(True).alias("head"))
+    return facts.join(heads, ["book_id", "short"], "left").withColumn("head", F.coalesce("head", F.lit(False)))
+
+
+def baked_numbers(marked: DataFrame) -> DataFrame:
+    """book_id, pos, idx, slice, offset, value of page numbers that are wedged into the text of marked blocks.
+
+    A number that isn't a year, next to a paragraph of prose, where a word is split before it, or the text goes on in
+    lower case after it, or an unfinished paragraph meets prose or a running head, or it stands between running heads.
+    """
+    near = neighbours(marked, ("prose", "split", "open_end", "low_start", "head"), "chars").where(F.col("number").isNotNull() & ~F.col("number").between(1500, 2099))
+    p, n = (lambda c, side=side: F.coalesce(F.col(f"{side}.{c}"), F.lit(False)) for side in ("prev", "next"))
+    unfinished = p("prose") & p("open_end")
+    baked = p("split") | n("low_start") | (unfinished & (n("prose") | n("head"))) | (p("head") & n("head"))
+    return near.where((p("prose") | n("prose")) & baked).select("book_id", "pos", "idx", "slice", "offset", F.col("number").alias("value"))
 
 
 def longest_run(hits: DataFrame) -> DataFrame:
-    """book_id, run: the longest chain of hits whose values rise by 1 or 2, as islands of a running sum of breaks."""
-    order = Window.partitionBy("book_id").orderBy("pos", "idx")
-    step = F.col("value") - F.lag("value").over(order)
-    marked = hits.withColumn("brk", F.when(step.isin(1, 2), 0).otherwise(1)).withColumn("island", F.sum("brk").over(order))
-    return marked.groupBy("book_id", "island").agg(F.count(F.lit(1)).alias("n")).groupBy("book_id").agg(F.max("n").alias("run"))
+    """book_id, run: the longest chain of hits whose values rise by 1 or 2.
+
+    Chains within a slice are islands of a running sum of breaks; those of slices are joined where one goes on in the next.
+    """
+    goes_on = lambda a, b: F.coalesce((b - a).isin(1, 2), F.lit(False))
+    order = Window.partitionBy("book_id", "slice").orderBy("pos", "idx")
+    marked = hits.withColumn("brk", F.when(goes_on(F.lag("value").over(order), F.col("value")), 0).otherwise(1)).withColumn("island", F.sum("brk").over(order))
+    islands = marked.groupBy("book_id", "slice", "island").agg(F.count(F.lit(1)).alias("n"), F.min_by("value", F.struct("pos", "idx")).alias("low"), F.max_by("value", F.struct("pos", "idx")).alias("high"))
+    parts = islands.groupBy("book_id", "slice").agg(F.count(F.lit(1)).alias("islands"), F.max("n").alias("best"), F.min_by("n", "island").alias("head"), F.max_by("n", "island").alias("tail"), F.min_by("low", "island").alias("low"), F.max_by("high", "island").alias("high"))
+    # One entry a slice.
+    rows = parts.groupBy("book_id").agg(F.array_sort(F.collect_list(F.struct("slice", "islands", "best", "head", "tail", "low", "high"))).alias("parts"))
+    start = F.struct(F.lit(0).cast("long").alias("best"), F.lit(0).cast("long").alias("tail"), F.lit(None).cast("int").alias("high"))
+
+    def joined(a: Column, x: Column) -> Column:
+        met = F.when(goes_on(a["high"], x["low"]), a["tail"] + x["head"]).otherwise(x["head"])
+        return F.struct(F.greatest(a["best"], x["best"], met).alias("best"), F.when(x["islands"] == 1, met).otherwise(x["tail"]).alias("tail"), x["high"].cast("int").alias("high"))
+
+    return rows.select("book_id", F.aggregate("parts", start, joined)["best"].alias("run"))
 
 
 def pagenumbers(blocks: DataFrame) -> DataFrame:
-    """book_id, n_hits, span, run, flag of each book."""
-    hits = baked_numbers(blocks, running_heads(blocks))
+    """book_id, n_hits, span, run, flag of each book from blocks (book_id, pos, idx, text; tag and nav where known)."""
+    marked = marked_blocks(blocks)
+    hits = baked_numbers(marked)
     ends = hits.groupBy("book_id").agg(F.count(F.lit(1)).alias("n_hits"), F.min("offset").alias("lo"), F.max("offset").alias("hi"))
-    size = blocks.groupBy("book_id").agg(F.sum(F.length("text")).alias("chars"))
-    out = size.join(ends, "book_id", "left").join(longest_run(hits), "book_id", "left")
+    size = marked.groupBy("book_id").agg(F.sum("chars").alias("chars"))
+    out = blocks.select("book_id").distinct().join(size, "book_id", "left").join(ends, "book_id", "left").join(longest_run(hits), "book_id", "left")
     out = out.select("book_id", F.coalesce("n_hits", F.lit(0)).alias("n_hits"), F.coalesce((F.col("hi") - F.col("lo")) / F.greatest("chars", F.lit(1)), F.lit(0.0)).alias("span"), F.coalesce("run", F.lit(0)).alias("run"))
     return out.withColumn("flag", (F.col("n_hits") >= MIN_HITS) & (F.col("span") >= MIN_SPAN) & (F.col("run") >= MIN_RUN))
 

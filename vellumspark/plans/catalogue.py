@@ -228,21 +228,25 @@ def _numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return all_blocks.where((F.col("idx") % 2 == 0) | F.right("book_id", F.lit(1)).isin("0", "2", "4", "6", "8"))
 
 
-PAGE_SQL = NUMBERED + (
-    ", heads as (select book_id, text from b where length(text) <= 60 and not regexp_full_match(text, '[0-9]{1,4}') and not (length(text) between 2 and 7 and regexp_full_match(lower(text), '" + ROMAN_SQL + "')) group by all having count(*) >= 8), "
-    "o as (select *, coalesce(sum(length(text)) over w, 0) off, lag(text) over v p, lead(text) over v n from b window w as (partition by book_id order by pos, idx rows between unbounded preceding and 1 preceding), v as (partition by book_id order by pos, idx)), "
-    "c as (select o.*, text::integer val, length(p) > 120 pp, length(n) > 120 np, exists (select 1 from heads h where h.book_id = o.book_id and h.text = p) ph, exists (select 1 from heads h where h.book_id = o.book_id and h.text = n) nh from o where regexp_full_match(text, '[0-9]{1,4}')), "
+#: Page numbers in a cell, prose in a heading, documents that are lists, and navigation: none of these counts.
+TAGGED = ", t as (select *, case when pos % 9 = 0 then 'li' when idx % 14 = 1 then 'td' when idx % 22 = 0 then 'h1' else 'p' end tag from b where pos % 10 <> 3), g as (select * from t where pos % 9 <> 0)"
+PAGE_SQL = NUMBERED.rstrip() + TAGGED + (
+    ", heads as (select book_id, text from g where length(text) <= 60 and not regexp_full_match(text, '[0-9]{1,4}') and not (length(text) between 2 and 7 and regexp_full_match(lower(text), '" + ROMAN_SQL + "')) group by all having count(*) >= 8), "
+    "o as (select *, coalesce(sum(length(text)) over w, 0) off, lag(text) over v p, lead(text) over v n, lag(tag) over v pt, lead(tag) over v nt from g window w as (partition by book_id order by pos, idx rows between unbounded preceding and 1 preceding), v as (partition by book_id order by pos, idx)), "
+    "c as (select o.*, text::integer val, length(p) > 120 and pt = 'p' pp, length(n) > 120 and nt = 'p' np, exists (select 1 from heads h where h.book_id = o.book_id and h.text = p) ph, exists (select 1 from heads h where h.book_id = o.book_id and h.text = n) nh from o where tag = 'p' and regexp_full_match(text, '[0-9]{1,4}')), "
     "hit as (select * from c where val not between 1500 and 2099 and (pp or np) and (coalesce(regexp_matches(p, '\\p{L}-$'), false) or coalesce(regexp_matches(n, '^\\p{Ll}'), false) or (coalesce(pp, false) and regexp_matches(p, '[\\p{Ll},]$') and (coalesce(np, false) or nh)) or (ph and nh))), "
     "s as (select *, case when val - lag(val) over (partition by book_id order by pos, idx) in (1, 2) then 0 else 1 end brk from hit), i as (select *, sum(brk) over (partition by book_id order by pos, idx) isl from s), r as (select book_id, max(n) run from (select book_id, isl, count(*) n from i group by all) group by all), "
-    "e as (select book_id, count(*) n_hits, min(off) lo, max(off) hi from hit group by all), t as (select book_id, sum(length(text)) chars from b group by all) "
-    "select book_id, coalesce(n_hits, 0) as n_hits, round(coalesce((hi - lo) / chars, 0), 6) as span, coalesce(run, 0) as run, coalesce(n_hits >= 5 and (hi - lo) / chars >= 0.1 and run >= 1, false) as flag from t left join e using (book_id) left join r using (book_id)"
+    "e as (select book_id, count(*) n_hits, min(off) lo, max(off) hi from hit group by all), z as (select book_id, sum(length(text)) chars from g group by all), u as (select distinct book_id from t) "
+    "select u.book_id, coalesce(n_hits, 0) as n_hits, round(coalesce((hi - lo) / chars, 0), 6) as span, coalesce(run, 0) as run, coalesce(n_hits >= 5 and (hi - lo) / chars >= 0.1 and run >= 1, false) as flag from u left join z using (book_id) left join e using (book_id) left join r using (book_id)"
 )
 
 
-@query(PAGE_SQL.replace(") , heads", "), heads"))
+@query(PAGE_SQL)
 def pagenumber_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = blocks.pagenumbers(_numbered(spark, sf_dir))
-    return found.withColumn("span", F.round("span", 6))
+    tag = F.when(F.col("pos") % 9 == 0, "li").when(F.col("idx") % 14 == 1, "td").when(F.col("idx") % 22 == 0, "h1").otherwise("p")
+    tagged = _numbered(spark, sf_dir).withColumns({"tag": tag, "nav": F.col("pos") % 10 == 3})
+    # Books of which navigation is all that there is have no verdict.
+    return blocks.pagenumbers(tagged.where(~F.col("nav"))).withColumn("span", F.round("span", 6))
 
 
 @query(
