@@ -1,12 +1,14 @@
 """Repairs of package files (manifests, tables of contents) as decisions over a table of their elements.
 
 `elements` reads XML files into rows; each repair is a DataFrame of edits (EDIT) that joins and groups find; `written`
-applies all edits of a file in one go, so what isn't edited stays byte for byte. Files are keyed by (book_id, path).
+applies all edits of a file in one go, so what isn't edited stays byte for byte. Files are keyed by (book_id, path). As
+repairs look at elements more than once, keep them as a table (or persisted) when several repairs share them.
 """
 
 from __future__ import annotations
 
 import posixpath
+from collections import Counter
 from functools import reduce
 
 import pandas as pd
@@ -65,18 +67,20 @@ def all_of(parts: list[DataFrame]) -> DataFrame:
 
 def written(files: DataFrame, changes: DataFrame) -> DataFrame:
     """files (book_id, path, text) after the changes, and `fixes`, a map of how many there were of each kind."""
-    counts = changes.where(F.col("fix").isNotNull()).groupBy("book_id", "path", "fix").agg(F.count(F.lit(1)).alias("n"))
-    counts = counts.groupBy("book_id", "path").agg(F.map_from_entries(F.collect_list(F.struct("fix", "n"))).alias("fixes"))
     # Edits of one file: as many as it has elements, not more.
-    own = changes.groupBy("book_id", "path").agg(F.array_sort(F.collect_list(F.struct("ord", "action", "name", "value"))).alias("edits"))
-
-    @F.pandas_udf("string")
-    def apply(texts: pd.Series, lists: pd.Series) -> pd.Series:
-        return pd.Series([t if e is None else markup.edited(t, [(x["ord"], x["action"], x["name"], x["value"]) for x in e]) for t, e in zip(texts, lists, strict=True)])
-
-    joined = files.join(own, ["book_id", "path"], "left").join(counts, ["book_id", "path"], "left")
-    none = F.create_map().cast("map<string,bigint>")
-    return joined.withColumn("text", apply(F.col("text"), F.col("edits"))).withColumn("fixes", F.coalesce("fixes", none)).drop("edits")
+    own = changes.groupBy("book_id", "path").agg(F.array_sort(F.collect_list(F.struct("ord", "action", "name", "value", "fix"))).alias("edits"))
+
+    @F.pandas_udf("text string, fixes map<string,bigint>")
+    def apply(texts: pd.Series, lists: pd.Series) -> pd.DataFrame:
+        rows = []
+        for text, own_ in zip(texts, lists, strict=True):
+            made = [] if own_ is None else own_
+            counts = Counter(x["fix"] for x in made if x["fix"] is not None)
+            rows.append((markup.edited(text, [(x["ord"], x["action"], x["name"], x["value"]) for x in made]) if len(made) else text, dict(counts)))
+        return pd.DataFrame(rows, columns=["text", "fixes"])
+
+    joined = files.join(own, ["book_id", "path"], "left").withColumn("done", apply(F.col("text"), F.col("edits")))
+    return joined.withColumns({"text": F.col("done.text"), "fixes": F.col("done.fixes")}).drop("edits", "done")
 
 
 def attr(name: str) -> Column:
