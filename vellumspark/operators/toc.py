@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellumspark.functions import text as X
@@ -78,17 +78,20 @@ def signature_hits(docs: DataFrame, signatures: dict[str, str]) -> DataFrame:
     return docs.select("book_id", "pos", F.explode(hits).alias("name"))
 
 
+def foreign_signatures(docs: DataFrame, own: DataFrame, signatures: dict[str, str]) -> DataFrame:
+    """signature_hits without those that are a phrase of the book's own names (own: book_id, own)."""
+    name = X.norm_key(F.col("name"))
+    mine = F.exists("own", lambda o: (F.length(o) >= 4) & (F.contains(o, name) | F.contains(name, o)))
+    return signature_hits(docs, signatures).join(own, "book_id").where(~mine).select("book_id", "pos", "name")
+
+
 def review_verdicts(docs: DataFrame, first: int = 5) -> DataFrame:
     """book_id, pos, strong, weak of the documents among each book's first five that look like pasted reviews.
 
-    The first five are kept by a bounded sort in each partial aggregate, not by ranking the whole book.
+    A rank of at most five is kept before rows move, so a book is never ranked whole; texts follow the few ranks.
     """
-    heads = docs.groupBy("book_id").agg(F.min("pos").alias("p0"))
-    near = docs
-    for k in range(1, first):
-        later = near.join(heads, "book_id").where(F.col("pos") > F.col(f"p{k - 1}")).groupBy("book_id").agg(F.min("pos").alias(f"p{k}"))
-        heads = heads.join(later, "book_id", "left")
-    wanted = heads.select("book_id", F.explode(F.array_compact(F.array(*[f"p{k}" for k in range(first)]))).alias("pos"))
+    rank = F.row_number().over(Window.partitionBy("book_id").orderBy("pos"))
+    wanted = docs.select("book_id", "pos").withColumn("rank", rank).where(F.col("rank") <= first).drop("rank")
     count = lambda signatures: sum((F.col("text").rlike(p).cast("int") for p in signatures.values()), F.lit(0))
     scored = docs.join(wanted, ["book_id", "pos"]).select("book_id", "pos", count(REVIEW_STRONG).alias("strong"), count(REVIEW_WEAK).alias("weak"))
     return scored.where("strong >= 1 or weak >= 2")
