@@ -1,10 +1,10 @@
 """Near-duplicate documents by improved consistent weighted sampling over TF-IDF shingles (operator 8).
 
 A text is a weighted set of its shingles of SHINGLE words (A-Z lowered, split at ASCII white space and punctuation; a
-shorter text is one shingle): weight = count * idf, idf = 1 + ln((N + 1) / (df + 1)) / ln(N + 1), where df counts all N
-documents. So a shingle that one document has weighs about twice as much as one that all have. The idf is scaled by its
-largest value since unscaled it would dissolve a group of thousands of near copies by the group's own frequency: what
-they share would weigh a tenth of what an edit puts in.
+shorter text is one shingle): weight = count * idf, idf = 1 + DAMP * ln((N + 1) / (df + 1)) / ln(N + 1), over N documents.
+df counts documents, but texts of a block that are alike (they share a band of two of eight minhashes, or a text that
+shares one with both) as one, and the idf is scaled by its largest value: else a group of thousands of near copies would
+be dissolved by its own frequency, as what they share would weigh a tenth of what an edit puts in.
 Two texts are linked if their weighted Jaccard similarity is SIMILAR or more; classes are connected components.
 
 1. Documents are dealt by row into blocks of about BLOCK_BYTES of text, so that no key makes a block large. Each block
@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from vellumspark.llm.common import row_blocks, shuffle_partitions, texts_of, written
 from vellumspark.llm.components import relabelled
 
-SHINGLE, SIMILAR = 5, 0.8
+SHINGLE, SIMILAR, DAMP = 5, 0.8, 0.5
 BANDS, ROWS = 14, 4
 BLOCK_BYTES = 8 << 20
 #: A leader's comparisons in one task.
@@ -85,8 +85,30 @@ def unpacked(data: bytes) -> np.ndarray:
     return np.cumsum(np.concatenate([first, np.frombuffer(data, np.uint32, offset=9).astype(np.uint64)]), dtype=np.uint64)
 
 
+_SIEVES = mixed(np.arange(1, 9, dtype=np.uint64) * _Q) | np.uint64(1)
+
+
+def alike(sets: list[np.ndarray]) -> np.ndarray:
+    """The number of its group for each set of a block; groups are joined by bands of two minhashes."""
+    least = np.array([[(x * sieve).min() for sieve in _SIEVES] for x in sets])
+    group = np.arange(len(sets))
+    for band in range(0, len(_SIEVES), 2):
+        _, own = np.unique(mixed(least[:, band]) ^ least[:, band + 1], return_inverse=True)
+        # Groups that meet in a band become one, that of the least number, until all bands agree.
+        while True:
+            low = np.full(own.max() + 1, len(sets))
+            np.minimum.at(low, own, group)
+            of = np.arange(len(sets))
+            np.minimum.at(of, group, low[own])
+            new = of[of[group]]
+            if (new == group).all():
+                break
+            group = new
+    return group
+
+
 def weights(counts: np.ndarray, df: np.ndarray, total: int) -> np.ndarray:
-    return counts * (1 + np.log((total + 1) / (df + 1)) / max(np.log(total + 1), 1e-9))
+    return counts * (1 + DAMP * np.log((total + 1) / (df + 1)) / max(np.log(total + 1), 1e-9))
 
 
 class Sampler:
@@ -149,9 +171,12 @@ def sampled_texts(docs: DataFrame) -> DataFrame:
     schema = "part int, block int, hashes binary, df binary"
 
     def send(block: pa.Table) -> pa.Table:
-        own = [shingles(t)[0] >> np.uint64(16) for t in texts_of(block.column("text").combine_chunks())]
-        values, df = np.unique(np.concatenate([np.unique(x) for x in own]), return_counts=True)
-        del own
+        own = [np.unique(shingles(t)[0] >> np.uint64(16)) for t in texts_of(block.column("text").combine_chunks())]
+        values, at, n = np.unique(np.concatenate(own), return_inverse=True, return_counts=True)
+        # Once for each group of texts that are alike; the lowest bit says whether several documents have it.
+        groups = np.unique(at * len(own) + np.repeat(alike(own), [len(x) for x in own]))
+        df = np.bincount(groups // len(own), minlength=len(values)) * 2 + (n > 1)
+        del own, at, groups
         part = ((values >> np.uint64(16)) * np.uint64(blocks)) >> np.uint64(32)
         cuts = np.flatnonzero(np.diff(part)) + 1
         found = [(int(part[a]), packed(values[a:b]), df[a:b].astype(np.uint32).tobytes()) for a, b in zip([0, *cuts], [*cuts, len(values)], strict=True)]
@@ -160,14 +185,15 @@ def sampled_texts(docs: DataFrame) -> DataFrame:
     def count(part: pa.Table) -> pa.Table:
         each = [unpacked(x) for x in part.column("hashes").to_pylist()]
         df = np.concatenate([np.frombuffer(x, np.uint32) for x in part.column("df").to_pylist()])
-        _, at = np.unique(np.concatenate(each), return_inverse=True)
-        df = np.bincount(at, weights=df).astype(np.uint32)[at]
+        _, at, n = np.unique(np.concatenate(each), return_inverse=True, return_counts=True)
+        several = np.bincount(at, weights=df & 1) + n > 1
+        df = np.where(several, np.bincount(at, weights=df >> 1), 0).astype(np.uint32)[at]
         ends = np.cumsum([len(x) for x in each])
         out: list[tuple] = []
         for block, values, end in zip(part.column("block").to_pylist(), each, ends, strict=True):
             own = df[end - len(values) : end]
-            if (own > 1).any():
-                out.append((block, packed(values[own > 1]), own[own > 1].tobytes()))
+            if own.any():
+                out.append((block, packed(values[own > 0]), own[own > 0].tobytes()))
         return pa.table([pa.array([0] * len(out), pa.int32()), pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.binary()), pa.array([x[2] for x in out], pa.binary())], ["part", "block", "hashes", "df"])
 
     sampler: list[Sampler] = []
