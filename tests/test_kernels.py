@@ -44,6 +44,40 @@ def test_duplicate_ids():
     assert n == 2 and fixed == '<a id="x"><b id="x_3"><c id="x_2"><!-- <d id="x"> --><e id="x_4">' and kernels.fix_duplicate_ids(fixed)[1] == 0
 
 
+def test_bad_attributes():
+    text = '<p 31="" v:shapes="x" xml:lang="en" class="a">b</p><svg xmlns:xlink="u" xlink:href="#a"/><!-- <p 3="x"> -->'
+    want = '<p xml:lang="en" class="a">b</p><svg xmlns:xlink="u" xlink:href="#a"/><!-- <p 3="x"> -->'
+    assert kernels.strip_bad_attributes(text) == (want, 2) and kernels.strip_bad_attributes(want) == (want, 0)
+    assert kernels.strip_bad_attributes("<html prefix='foo: http://x/ bar: y'><p foo:a='1'/></html>")[1] == 0
+
+
+PACKAGE = '<package xmlns="http://www.idpf.org/2007/opf">{}</package>'
+
+
+@pytest.mark.parametrize(
+    ("inner", "want", "n"),
+    [
+        ('<dc:date>x</dc:date>', '<dc:date xmlns:dc="http://purl.org/dc/elements/1.1/">x</dc:date>', 1),
+        ('<a xmlns:q="u"/><b q:x="1"/>', '<a xmlns:q="u"/><b xmlns:q="u" q:x="1"/>', 1),
+        ('<a xmlns:q="u"/><c xmlns:q="v"/><b q:x="1"/>', None, 0),
+        ('<b q:x="1"/>', None, 0),
+        ('<dc:creator xmlns:dc="http://purl.org/dc/elements/1.1/" opf:role="aut"/>', '<dc:creator xmlns:opf="http://www.idpf.org/2007/opf" xmlns:dc="http://purl.org/dc/elements/1.1/" opf:role="aut"/>', 1),
+        ('<m xmlns:q="u"><q:n/></m><!-- <z:a/> -->', None, 0),
+    ],
+)
+def test_prefixes_are_bound_by_evidence(inner, want, n):
+    text = PACKAGE.format(inner)
+    assert kernels.bind_prefixes(text) == (PACKAGE.format(want or inner), n)
+
+
+def test_ids_and_their_references_become_names(spark):
+    text = '<a id="1:x" data-id="2"/><a href="#1:x">r</a><a href="http://y/#1:x">s</a><a href="b.html#9">t</a><a id="ok"/>'
+    want = '<a id="id_1_x" data-id="2"/><a href="#id_1_x">r</a><a href="http://y/#1:x">s</a><a href="b.html#id_9">t</a><a id="ok"/>'
+    assert kernels.rename_ids(text) == (want, 1) and kernels.rename_ids(want) == (want, 0)
+    row = spark.createDataFrame([(text + "</p>",)], "html string").select(kernels.kernel_column(F.col("html"), ("fix-id-colons", "fix-stray-close")).alias("k")).first().k
+    assert row.html == want and row.fixes == {"fix-id-colons": 1, "fix-stray-close": 1}
+
+
 AMBER = "http://www.processtext.com/abclit.html"
 
 

@@ -156,3 +156,15 @@ def test_containers_and_encryption(spark):
     text = f'<encryption xmlns="x">{one("f%201.otf", P.OBFUSCATION[0])}{one("c1.xhtml", "http://drm")}</encryption>'
     files = spark.createDataFrame([("b", "META-INF/encryption.xml", text)], "book_id string, path string, text string")
     assert {(r.target, r.drm) for r in P.encrypted(files).collect()} == {("f 1.otf", False), ("c1.xhtml", True)}
+
+
+def test_stub_documents_go_everywhere(spark, opf, ncx):
+    nav = spark.createDataFrame([("b", "nav.xhtml", '<nav><ol><li><a href="a.xhtml">One</a><ol><li><a href="b.xhtml">Two</a></li></ol></li><li><a href="c.xhtml">Three</a></li></ol></nav>')], "book_id string, path string, text string")
+    stubs = spark.createDataFrame([("b", "b.xhtml"), ("b", "gone.xhtml"), ("b", "a.xhtml")], "book_id string, path string")
+    changes = P.stub_documents(P.elements(opf), P.elements(ncx), P.elements(nav), stubs.where("path <> 'a.xhtml'"))
+    text, fixes = run(nav, changes.where("path = 'nav.xhtml'"))
+    assert fixes == {"stub_nav_items_dropped": 1} and "Two" not in text and "One" in text and "Three" in text
+    text, fixes = run(ncx, changes.where("path = 'toc.ncx'"))
+    assert fixes == {"stub_navpoints_dropped": 2} and "Dead" not in text
+    text, fixes = run(opf, P.stub_documents(P.elements(opf), P.elements(ncx), P.elements(nav), stubs).where("path = 'content.opf'"))
+    assert fixes == {"stub_manifest_items_dropped": 1, "stub_itemrefs_dropped": 1} and '"a"' not in text

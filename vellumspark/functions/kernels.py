@@ -18,6 +18,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from vellumspark.functions import markup
+from vellumspark.functions import text as X
 
 #: Elements that hold a rendered block of text.
 BLOCK_TAGS = frozenset("p div h1 h2 h3 h4 h5 h6 li td th blockquote section caption figcaption".split())
@@ -125,6 +126,79 @@ def fix_duplicate_ids(source: str) -> tuple[str, int]:
     return markup.cut(source, changes), len(changes)
 
 
+_DECLARED = re.compile(r"""xmlns:([\w.-]+)\s*=""")
+_VOCABULARY = re.compile(r"""prefix\s*=\s*(?:"([^"]*)"|'([^']*)')""")
+_ODD_ATTRIBUTE = re.compile(r"""\s+([^\s=<>"'/]+)\s*=\s*(?:"[^"]*"|'[^']*')""")
+#: Names that need no declaration; namespaces of packages and of Dublin Core.
+PREBOUND = frozenset(("xml", "xmlns"))
+OPF_NS, DC_NS = "http://www.idpf.org/2007/opf", "http://purl.org/dc/elements/1.1/"
+
+
+def strip_bad_attributes(source: str) -> tuple[str, int]:
+    """Drop attributes that no XML parser takes: a name that begins with a digit, or a prefix declared nowhere."""
+    declared = PREBOUND | set(_DECLARED.findall(source)) | {name for m in _VOCABULARY.finditer(source) for name in re.findall(r"([\w.-]+):\s", m[1] or m[2] or "")}
+    bad = []
+    for t in markup.tokens(source):
+        if t.kind in ("open", "empty"):
+            for m in _ODD_ATTRIBUTE.finditer(source, t.start, t.end):
+                prefix, colon, _ = m[1].partition(":")
+                if m[1][0].isdigit() or (colon and prefix not in declared):
+                    bad.append((*m.span(), ""))
+    return markup.cut(source, bad), len(bad)
+
+
+def bind_prefixes(source: str) -> tuple[str, int]:
+    """Declare an unbound prefix of a package file on the element that uses it, if what it stands for is evident.
+
+    Evident is the one namespace that the file binds it to elsewhere; or, in a package of the OPF namespace, Dublin Core for
+    an element dc:..., and OPF for an attribute of such an element. One prefix without evidence leaves the file as it is.
+    """
+    elements = markup.tree(source)
+    attrs = [markup.attributes(source, e.start, e.inner) for e in elements]
+    names = [source[e.start + 1 : e.start + 1 + len(e.name)] for e in elements]
+    own = [{a[0][6:]: a[1] for a in found if a[0].startswith("xmlns:")} for found in attrs]
+    bound: dict[str, set[str]] = {}
+    for known in own:
+        for prefix, uri in known.items():
+            bound.setdefault(prefix, set()).add(uri)
+    package = next((k for k, e in enumerate(elements) if markup.local(e.name) == "package"), None)
+    is_opf = package is not None and OPF_NS in {*own[package].values(), *(a[1] for a in attrs[package] if a[0] == "xmlns")}
+    changes = []
+    for k, e in enumerate(elements):
+        scope = {p: uri for up in (*markup.ancestors(elements, k), k) for p, uri in own[up].items()}
+        prefix = names[k].partition(":")[0] if ":" in names[k] else ""
+        dublin = is_opf and scope.get(prefix, DC_NS if prefix == "dc" else "") == DC_NS
+        uses = {prefix: DC_NS if is_opf and prefix == "dc" else ""} if prefix else {}
+        for a in attrs[k]:
+            if ":" in a[0]:
+                uses.setdefault(a[0].partition(":")[0], OPF_NS if dublin else "")
+        for wanted, fallback in uses.items():
+            if wanted in scope or wanted in PREBOUND:
+                continue
+            evidence = bound.get(wanted, {fallback} - {""})
+            if len(evidence) != 1:
+                return source, 0
+            at = e.start + 1 + len(e.name)
+            changes.append((at, at, f' xmlns:{wanted}="{min(evidence)}"'))
+    return markup.cut(source, changes), len(changes)
+
+
+def rename_ids(source: str) -> tuple[str, int]:
+    """Ids that are no XML names get one, and references to them within the document follow; the ids renamed are counted."""
+    changes, n = [], 0
+    for t in markup.tokens(source):
+        if t.kind not in ("open", "empty"):
+            continue
+        for name, value, _, start, end in markup.attributes(source, t.start, t.end):
+            internal = name.lower() in ("href", "src", "xlink:href") and "#" in value and not _SCHEME.match(value) and not re.search("[%&]", value)
+            if name.lower() == "id" and X.invalid_name(value):
+                changes.append((start, end, X.valid_name(value)))
+                n += 1
+            elif internal and X.invalid_name(fragment := value.partition("#")[2]) and fragment:
+                changes.append((start, end, value.partition("#")[0] + "#" + X.valid_name(fragment)))
+    return markup.cut(source, changes), n
+
+
 class Stamp(NamedTuple):
     """A producer's watermark: what a link to it holds, what its text holds, and all of its text once."""
 
@@ -218,3 +292,25 @@ def edits_column(source: Column, stamps: tuple[Stamp, ...] = ()) -> Column:
         return pd.DataFrame(rows, columns=["html", "stray", "ids", "marks", "refused"])
 
     return run(source)
+
+
+#: Kernels of one text each, by the name of their flag; `fix-svg-dup-ids` is the same kernel on .svg files.
+ROW_KERNELS = {"strip-bad-attrs": strip_bad_attributes, "fix-unbound-prefix": bind_prefixes, "fix-id-colons": rename_ids, "fix-stray-close": fix_stray_close, "fix-duplicate-ids": fix_duplicate_ids, "fix-svg-dup-ids": fix_duplicate_ids}
+
+
+def kernel_column(source: Column, flags: tuple[str, ...]) -> Column:
+    """struct(html, fixes: a map of counts) after the kernels of these flags, in their order, in one crossing."""
+
+    @F.pandas_udf("html string, fixes map<string,bigint>")
+    def run(s: pd.Series) -> pd.DataFrame:
+        rows = []
+        for x in s:
+            out, counts = x or "", {}
+            for flag in flags:
+                out, n = ROW_KERNELS[flag](out)
+                if n:
+                    counts[flag] = n
+            rows.append((out, counts))
+        return pd.DataFrame(rows, columns=["html", "fixes"])
+
+    return run(source)

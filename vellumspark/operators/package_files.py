@@ -214,8 +214,8 @@ def planned_renames(ids: Column) -> Column:
         for own in lists:
             taken, plan = set(own), {}
             for old in sorted(own):
-                if invalid_name(old):
-                    new = "id_" + "".join(c if X.NAME_CHAR.fullmatch(c) else "_" for c in old)
+                if X.invalid_name(old):
+                    new = "id_" + X.sanitised(old)
                     while new in taken:
                         new = "_" + new
                     taken.add(new)
@@ -226,10 +226,6 @@ def planned_renames(ids: Column) -> Column:
     return run(ids)
 
 
-def invalid_name(name: str) -> bool:
-    return not name or not (name[0].isalpha() or name[0] == "_") or not all(X.NAME_CHAR.fullmatch(c) for c in name)
-
-
 def _renamed(rows: DataFrame, plans: DataFrame, fix: str, names: tuple[str, ...]) -> DataFrame:
     """Edits of the named attributes of rows (with `old`, the attribute and value in question) by the plans."""
     each = rows.select("book_id", "path", "ord", F.explode(F.array(*[F.struct(F.lit(a).alias("a"), attr(a).alias("old")) for a in names])).alias("x")).select("book_id", "path", "ord", "x.a", "x.old")
@@ -328,7 +324,10 @@ def dangling_points(ncx: DataFrame, names: DataFrame) -> DataFrame:
     A table whose points would all go is left alone, as it must not be empty.
     """
     found = points(ncx).join(_known(names), ["book_id", "target"], "left")
-    found = found.withColumn("dead", F.col("target").isNotNull() & F.col("there").isNull())
+    return _without_points(ncx, found.withColumn("dead", F.col("target").isNotNull() & F.col("there").isNull()), "ncx_dangling_targets_pruned")
+
+
+def _without_points(ncx: DataFrame, found: DataFrame, fix: str) -> DataFrame:
     keys = ["book_id", "path", "ord"]
     alive = found.where("not dead").select("book_id", "path", F.explode(F.concat("above", F.array("ord"))).alias("ord")).distinct().withColumn("lives", F.lit(True))
     # Containers that hold points, but none that lives on.
@@ -338,7 +337,23 @@ def dangling_points(ncx: DataFrame, names: DataFrame) -> DataFrame:
     gone = dead.where("lives is null")
     # What goes inside of what goes is one edit.
     inside = gone.select(*keys, F.explode("above").alias("over")).join(gone.select("book_id", "path", F.col("ord").alias("over")), ["book_id", "path", "over"], "left_semi").select(*keys).distinct()
-    return all_of([edits(gone.join(inside, keys, "left_anti"), "ncx_dangling_targets_pruned", "drop"), edits(dead.where("lives"), "ncx_dangling_targets_pruned", "splice", F.lit(" ".join(POINTS)))])
+    return all_of([edits(gone.join(inside, keys, "left_anti"), fix, "drop"), edits(dead.where("lives"), fix, "splice", F.lit(" ".join(POINTS)))])
+
+
+def stub_documents(opf: DataFrame, ncx: DataFrame, nav: DataFrame, stubs: DataFrame) -> DataFrame:
+    """Everything that names a stub document (stubs: book_id, path): items, reading positions, edges, points of the table
+    of contents and list items of navigation documents (nav: their elements). The documents themselves are the caller's."""
+    gone = stubs.select("book_id", F.col("path").alias("target"), F.lit(True).alias("stub")).distinct()
+    dead = items(opf).join(gone, ["book_id", "target"], "left_semi")
+    ids = dead.select("book_id", "id").where("id is not null").distinct()
+    places = opf.where("name = 'itemref'").withColumn("id", attr("idref")).join(ids, ["book_id", "id"], "left_semi")
+    edges = edges_to(opf, ids, "stub_edges_rewritten").join(dead.select("book_id", "path", "ord"), ["book_id", "path", "ord"], "left_anti")
+    marked = points(ncx).join(gone, ["book_id", "target"], "left").withColumn("dead", F.coalesce("stub", F.lit(False)))
+    links = nav.where("name = 'a'").join(gone, ["book_id", "target"], "left_semi").select("book_id", "path", F.explode("above").alias("ord"))
+    entries = nav.where("name = 'li'").join(links.distinct(), ["book_id", "path", "ord"], "left_semi")
+    # Only the innermost list item of a link: one that holds another such item stays.
+    holders = entries.select("book_id", "path", F.explode("above").alias("ord")).distinct()
+    return all_of([edits(dead, "stub_manifest_items_dropped", "drop"), edits(places, "stub_itemrefs_dropped", "drop"), edges, _without_points(ncx, marked, "stub_navpoints_dropped"), edits(entries.join(holders, ["book_id", "path", "ord"], "left_anti"), "stub_nav_items_dropped", "drop")])
 
 
 def play_order(ncx: DataFrame, force: bool = False) -> DataFrame:
