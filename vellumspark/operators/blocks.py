@@ -30,6 +30,11 @@ def lower_start(text: Column) -> Column:
     return text.rlike("^\\p{Ll}")
 
 
+def paragraphs(html: Column) -> Column:
+    """The <p> elements of a document as they stand."""
+    return F.regexp_extract_all(html, F.lit("(?is)<p\\b[^>]*>.*?</p>"), F.lit(0))
+
+
 def running_heads(blocks: DataFrame, repeat: int = RUNHEAD_REPEAT) -> DataFrame:
     """book_id, text, n of short texts that aren't numbers and stand `repeat` times or more in a book."""
     short = blocks.where((F.length("text") <= RUNHEAD_MAX) & (F.col("text") != "") & X.number_value(F.col("text")).isNull())

@@ -110,9 +110,27 @@ def edges_to(opf: DataFrame, gone: DataFrame, fix: str) -> DataFrame:
     return all_of([edits(named.join(gone, ["book_id", "id"], "left_semi"), fix, "unset", F.col("a")), edits(cover.join(gone, ["book_id", "id"], "left_semi"), fix, "drop")])
 
 
+def missing_items(declared: DataFrame, names: DataFrame, spine: DataFrame) -> DataFrame:
+    """Items (book_id, id, target) whose file the archive (names: book_id, path) lacks and that no reading position (spine:
+    book_id, id) names."""
+    return declared.where("target is not null").join(_known(names), ["book_id", "target"], "left_anti").join(spine, ["book_id", "id"], "left_anti")
+
+
+def undeclared(refs: DataFrame, names: DataFrame, declared: DataFrame) -> DataFrame:
+    """book_id, target, n: files that are referred to and there, but not declared, numbered in the order of their paths."""
+    wanted = refs.select("book_id", "target").distinct().join(_known(names), ["book_id", "target"], "left_semi").join(declared.select("book_id", "target"), ["book_id", "target"], "left_anti")
+    return wanted.withColumn("n", F.row_number().over(Window.partitionBy("book_id").orderBy("target")))
+
+
+def numbered_ids(ids: DataFrame) -> DataFrame:
+    """ids (doc, pos, id) with new_id: the first of a value keeps it, later ones get `_2`, `_3`, ..."""
+    k = F.row_number().over(Window.partitionBy("doc", "id").orderBy("pos"))
+    return ids.withColumn("k", k).withColumn("new_id", F.when(F.col("k") > 1, F.concat("id", F.lit("_"), F.col("k").cast("string"))).otherwise(F.col("id"))).drop("k")
+
+
 def prune_missing(opf: DataFrame, names: DataFrame) -> DataFrame:
-    """Items whose file the archive (names: book_id, path) lacks go, with the edges to them; reading positions stay."""
-    dead = items(opf).where("target is not null").join(_known(names), ["book_id", "target"], "left_anti").join(_spine_ids(opf), ["book_id", "id"], "left_anti")
+    """Missing items go, with the edges to them; reading positions stay."""
+    dead = missing_items(items(opf), names, _spine_ids(opf))
     edges = edges_to(opf, dead.select("book_id", "id").where("id is not null").distinct(), "prune_edges_rewritten")
     # An edge of an item that goes itself goes with it.
     return all_of([edits(dead, "manifest_items_pruned", "drop"), edges.join(dead.select("book_id", "path", "ord"), ["book_id", "path", "ord"], "left_anti")])
@@ -123,14 +141,12 @@ def declare_missing(opf: DataFrame, refs: DataFrame, names: DataFrame) -> DataFr
 
     Ids are numbered in the order of paths; a reference with a fragment, a space or a scheme is no evidence.
     """
-    plain = refs.where(F.col("target").isNotNull() & ~F.col("href").rlike("[# ]")).select("book_id", "target").distinct()
-    wanted = plain.join(_known(names), ["book_id", "target"], "left_semi").join(items(opf).select("book_id", "target"), ["book_id", "target"], "left_anti")
+    wanted = undeclared(refs.where(F.col("target").isNotNull() & ~F.col("href").rlike("[# ]")), names, items(opf))
     kinds = F.create_map(*[F.lit(x) for pair in DECLARED_TYPES.items() for x in pair])
     taken = opf.where(attr("id").isNotNull()).groupBy("book_id").agg(F.collect_set(attr("id")).alias("ids"))
     place = opf.where("name = 'manifest'").select("book_id", "path", "ord")
     found = wanted.join(place, "book_id").join(taken, "book_id", "left")
-    n = F.row_number().over(Window.partitionBy("book_id").orderBy("target"))
-    found = found.withColumn("n", n).withColumn("type", F.try_element_at(kinds, F.lower(F.regexp_extract("target", "\\.([^./]+)$", 1)))).where("type is not null")
+    found = found.withColumn("type", F.try_element_at(kinds, F.lower(F.regexp_extract("target", "\\.([^./]+)$", 1)))).where("type is not null")
     plain_id = F.concat(F.lit("declared-d"), F.col("n").cast("string"))
     # As many underscores as it takes: the ids that end like it and have only underscores before that are tried from the shortest.
     longer = F.filter(F.coalesce("ids", F.array().cast("array<string>")), lambda i: F.regexp_replace(i, "^_+", "") == plain_id)

@@ -44,6 +44,18 @@ def accounting(refs: DataFrame, names: DataFrame) -> DataFrame:
     return refs.where("path is not null").join(there, ["book_id", "path"], "left").groupBy("book_id").agg(F.count(F.lit(1)).alias("toc_refs"), F.count_if(F.col("there").isNull()).alias("toc_absent"))
 
 
+def dead_links(links: DataFrame, names: DataFrame) -> DataFrame:
+    """Links (book_id, href, ...) whose target isn't there (names: book_id, path)."""
+    named = links.withColumn("path", target(F.col("href"))).where("path is not null")
+    return named.join(names.select("book_id", "path").distinct(), ["book_id", "path"], "left_anti")
+
+
+def broken_anchors(refs: DataFrame, ids: DataFrame) -> DataFrame:
+    """book_id, target, frag, n of references to a fragment that the target lacks (ids: book_id, target, frag); equal
+    references are counted first."""
+    return refs.groupBy("book_id", "target", "frag").agg(F.count(F.lit(1)).alias("n")).join(ids.distinct(), ["book_id", "target", "frag"], "left_anti")
+
+
 def chapter_numbers(docs: DataFrame) -> DataFrame:
     """spine_n, unnumbered, low, high, distinct of the last integers in the base names of each book's documents."""
     number = F.regexp_extract(F.element_at(F.split("path", "/"), -1), "([0-9]+)[^0-9]*$", 1)

@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from vellumspark.functions import text as X
 from vellumspark.functions.kernels import WATERMARKS, edits_column, well_formed_column
-from vellumspark.operators import analyzers, blocks, census, gate, package, repair, toc
+from vellumspark.operators import analyzers, blocks, census, gate, package, package_files, repair, runs, toc
+from vellumspark.functions.pagination import strip_column
 from vellumspark.plans import audit
 from vellumspark.sources.tables import line_blocks, numbered_blocks, page_docs, table, text_docs, word_blocks
 
@@ -124,13 +125,18 @@ def emptytext_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analyzers.emptytext(docs, 90_000, 120_000, 0.05)
 
 
+STUBBED = f"select book_id, pos, case when pos % 3 = 0 then 'This content is not available.' else text end as text from ({DOCS})"
+
+
 @query(
-    f"with d as ({DOCS}), s as (select book_id, text, count(*) n, min(pos) first_pos from d where length(text) between 12 and 600 group by all), t as (select book_id, count(*) spine_docs from d group by all), "
+    f"with d as ({STUBBED}), s as (select book_id, text, count(*) n, min(pos) first_pos from d where length(text) between 12 and 600 group by all), t as (select book_id, count(*) spine_docs from d group by all), "
     "r as (select *, row_number() over (partition by book_id order by n desc, first_pos) k from s) "
-    "select book_id, text, n as stub_docs, first_pos, spine_docs from r join t using (book_id) where k = 1 and n >= 2 and n / spine_docs >= 0.01 and n < spine_docs"
+    "select book_id, text, n as stub_docs, first_pos, spine_docs from r join t using (book_id) where k = 1 and n >= 3 and n / spine_docs >= 0.3 and n < spine_docs"
 )
 def stub_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return analyzers.stub_class(text_docs(table(spark, sf_dir, "documents")), 2, 0.01)
+    """Every third document is a stub, which is a class of its own where a source has enough of them."""
+    docs = text_docs(table(spark, sf_dir, "documents"))
+    return analyzers.stub_class(docs.withColumn("text", F.when(F.col("pos") % 3 == 0, "This content is not available.").otherwise(F.col("text"))))
 
 
 @query(f"with d as ({DOCS}), r as (select book_id, pos, length(text) n, row_number() over (partition by book_id order by length(text) desc, pos) k from d) select book_id, n as max_doc, pos as doc, n >= 20000 as flag from r where k = 1")
@@ -290,7 +296,7 @@ def ocr_side_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("select page_id, len(l) as p_blocks, list_sum(list_transform(l, lambda x: length(x)))::bigint as p_chars from (select page_id, regexp_extract_all(html, '(?is)<p\\b[^>]*>.*?</p>') l from pages)")
 def p_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = F.regexp_extract_all("html", F.lit("(?is)<p\\b[^>]*>.*?</p>"), F.lit(0))
+    found = blocks.paragraphs(F.col("html"))
     return table(spark, sf_dir, "pages").select("page_id", F.size(found).cast("long").alias("p_blocks"), F.when(F.size(found) > 0, F.aggregate(found, F.lit(0), lambda a, x: a + F.length(x))).cast("long").alias("p_chars"))
 
 
@@ -530,8 +536,7 @@ flag("fix-missing-title", ((2, "<title>", "<title></title><x>"), (3, "</title>",
 )
 def duplicate_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc"), F.col("l_linenumber").alias("pos"), F.concat(F.lit("id"), (F.col("l_partkey") % 4).cast("string")).alias("id"))
-    k = F.row_number().over(Window.partitionBy("doc", "id").orderBy("pos"))
-    return ids.withColumn("k", k).select("doc", "pos", "id", F.when(F.col("k") > 1, F.concat("id", F.lit("_"), F.col("k").cast("string"))).otherwise(F.col("id")).alias("new_id"))
+    return package_files.numbered_ids(ids)
 
 
 @query(
@@ -555,17 +560,15 @@ def playorder_resequence(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rename_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("c_custkey")
     name = F.concat(F.lit("file "), (key % 40).cast("string"), F.when(key % 3 == 0, " a").otherwise("_a"))
-    names = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("book_id"), name.alias("name")).withColumn("new_name", F.replace("name", F.lit(" "), F.lit("_")))
+    names = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("book_id"), name.alias("path"))
     # A new name that two entries would take, or that an entry has, is refused.
-    whole = names.groupBy("book_id", "new_name").agg(F.count(F.lit(1)).alias("k"), F.min("name").alias("name"))
-    return whole.where((F.col("k") == 1) & F.contains("name", F.lit(" "))).select("book_id", "name", "new_name")
+    return package_files.rename_map(names).toDF("book_id", "name", "new_name")
 
 
 @query(NAV + f", f as (select {HOST} book_id, {PATH} path from pages) select book_id, pos, idx, href from l where regexp_replace(href, '[#?].*$', '') <> '' and not exists (select 1 from f where f.book_id = l.book_id and f.path = regexp_replace(href, '[#?].*$', ''))")
 def dead_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = page_docs(table(spark, sf_dir, "pages"))
-    links = toc.nav_links(docs).withColumn("path", toc.target(F.col("href"))).where("path is not null")
-    return links.join(docs.select("book_id", "path").distinct(), ["book_id", "path"], "left_anti").select("book_id", "pos", F.col("idx").cast("long").alias("idx"), "href")
+    return toc.dead_links(toc.nav_links(docs), docs).select("book_id", "pos", F.col("idx").cast("long").alias("idx"), "href")
 
 
 @query(
@@ -574,8 +577,8 @@ def dead_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 def broken_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem")
     refs = lines.select(F.col("l_orderkey").alias("book_id"), F.col("l_partkey").alias("target"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("frag"))
-    ids = lines.select(F.col("l_orderkey").alias("book_id"), F.col("l_partkey").alias("target"), F.concat(F.lit("s"), (F.col("l_suppkey") + F.col("l_linenumber") % 2).cast("string")).alias("frag")).distinct()
-    return refs.groupBy("book_id", "target", "frag").agg(F.count(F.lit(1)).alias("n")).join(ids, ["book_id", "target", "frag"], "left_anti")
+    ids = lines.select(F.col("l_orderkey").alias("book_id"), F.col("l_partkey").alias("target"), F.concat(F.lit("s"), (F.col("l_suppkey") + F.col("l_linenumber") % 2).cast("string")).alias("frag"))
+    return toc.broken_anchors(refs, ids)
 
 
 @query(
@@ -586,8 +589,8 @@ def prune_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem")
     book, item = F.col("l_orderkey").alias("book_id"), F.concat(F.lit("i"), F.col("l_linenumber").cast("string")).alias("id")
     file = lambda c: F.concat(F.lit("f"), (F.col(c) % 50).cast("string")).alias("path")
-    items = lines.select(book, item, file("l_partkey"))
-    return items.join(lines.select(book, file("l_suppkey")), ["book_id", "path"], "left_anti").join(lines.where("l_returnflag <> 'R'").select(book, item), ["book_id", "id"], "left_anti").select("book_id", "id", "path")
+    items = lines.select(book, item, file("l_partkey").alias("target"))
+    return package_files.missing_items(items, lines.select(book, file("l_suppkey")), lines.where("l_returnflag <> 'R'").select(book, item)).select("book_id", "id", F.col("target").alias("path"))
 
 
 @query(
@@ -597,8 +600,9 @@ def prune_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def undeclared_resources(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem")
     named = lambda c: lines.select(F.col("l_orderkey").alias("book_id"), F.concat(F.lit("f"), c.cast("string")).alias("path")).distinct()
-    found = named(F.col("l_partkey") % 20).join(named(F.col("l_suppkey") % 20), ["book_id", "path"], "left_semi").join(named(F.col("l_linenumber") * 3), ["book_id", "path"], "left_anti")
-    return found.withColumn("new_id", F.concat(F.lit("f-d"), F.row_number().over(Window.partitionBy("book_id").orderBy("path")).cast("string")))
+    target = lambda c: named(c).withColumnRenamed("path", "target")
+    found = package_files.undeclared(target(F.col("l_partkey") % 20), named(F.col("l_suppkey") % 20), target(F.col("l_linenumber") * 3))
+    return found.select("book_id", F.col("target").alias("path"), F.concat(F.lit("f-d"), F.col("n").cast("string")).alias("new_id"))
 
 
 # Gate
@@ -747,8 +751,7 @@ def expected_foreign_suppression(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = analyzers.language_votes(table(spark, sf_dir, "documents"), F.coalesce("text", F.lit(""))).where("v.nwords > 0")
     found = analyzers.content_findings(F.col("v"), F.lit(0), F.lit(1), F.lit("")) != ""
     expected = table(spark, sf_dir, "labels").select("doc_id", "quality")
-    status = F.when(~found, "clean").when(F.coalesce("quality", F.lit(1)) == 0, "expected").otherwise("flag")
-    return docs.join(expected, "doc_id", "left").select("doc_id", status.alias("status"))
+    return docs.join(expected, "doc_id", "left").select("doc_id", runs.expectation(found, F.col("quality") == 0).alias("status"))
 
 
 @query(
@@ -758,8 +761,7 @@ def tag_set(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Problems tag a book; thin and advisory verdicts, and advisory analyzers, don't."""
     pick = lambda names, at: F.get(F.array(*[F.lit(x) for x in names]), at.cast("int"))
     verdicts = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("book_id"), pick(["content", "emptytext", "ocr", "cover"], F.col("l_linenumber") % 4).alias("analyzer"), pick(["OK", "THIN", "REVIEW", "ADVISORY"], F.col("l_partkey") % 4).alias("status"))
-    tagged = verdicts.where(~F.col("status").isin("OK", "THIN", "ADVISORY") & ~F.col("analyzer").isin("completeness", "cover", "tocdrift", "contamination", "shell"))
-    return tagged.groupBy("book_id").agg(F.array_join(F.array_sort(F.collect_set("analyzer")), ",").alias("tags"))
+    return runs.tags(verdicts).select("book_id", F.array_join("tags", ",").alias("tags"))
 
 
 @query(
@@ -767,13 +769,70 @@ def tag_set(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def catalogue_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Books named by a list of ids: repeats once, words and unknown ids skipped."""
-    ids = spark.range(1).select(F.explode(F.split(F.lit("1, 5,5,x,7777777,12"), ",")).alias("w")).select(F.trim("w").try_cast("long").alias("c_custkey")).where("c_custkey is not null").distinct()
-    books = table(spark, sf_dir, "customer").join(ids, "c_custkey", "left_semi").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    named = runs.scoped(table(spark, sf_dir, "customer").withColumnRenamed("c_custkey", "id"), "1, 5,5,x,7777777,12")
+    books = named.withColumnRenamed("id", "c_custkey").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     return books.select(F.col("c_custkey").alias("id"), F.concat(F.lower("c_name"), F.lit(".epub")).alias("path"), F.col("n_name").alias("language"))
 
 
 # Kernels that SQL can't express; tests hold them against hand-made cases
 
+RENDERED = (
+    f"with l as (select book_id, pos, k, trim(x) t from (select book_id, pos, unnest(string_split(text, chr(10))) x, unnest(range(len(string_split(text, chr(10))))) k from ({DOCS})) where trim(x) <> ''), n as (select *, row_number() over (partition by pos order by k) - 1 i from l) "
+)
+
+
+@query(RENDERED + "select book_id, pos, i::integer as idx, case when k % 4 = 1 then 'li' when k % 7 = 2 then 'div' else 'p' end as tag, length(t) as chars, k % 5 = 3 as img_before, k % 3 = 0 as in_quote from n")
+def rendered_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of documents as markup with items, quotes, images, comments and inline elements, and read again."""
+    k = F.col("k")
+    safe = F.replace(F.replace(F.replace("line", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    tag = F.when(k % 4 == 1, "li").when(k % 7 == 2, "div").otherwise("p")
+    inner = F.concat(F.lit("<"), tag, F.lit(" class='a>b'><b>"), F.left(safe, F.lit(0)), F.lit("</b><!-- <p> -->"), safe, F.lit("</"), tag, F.lit(">"))
+    one = F.concat(F.when(k % 5 == 3, "<img src='x'/>").otherwise(""), F.when(k % 3 == 0, F.concat(F.lit("<blockquote>"), inner, F.lit("</blockquote>"))).otherwise(inner))
+    lines = text_docs(table(spark, sf_dir, "documents")).select("book_id", "pos", F.posexplode(F.split("text", "\n", -1)).alias("k", "line")).where(F.trim("line") != "")
+    docs = lines.groupBy("book_id", "pos").agg(F.array_sort(F.collect_list(F.struct("k", one.alias("x")))).alias("l")).select("book_id", "pos", F.array_join(F.transform("l", lambda s: s["x"]), "").alias("html"))
+    return audit.block_rows(docs).select("book_id", "pos", "idx", "tag", F.length("text").alias("chars"), "img_before", "in_quote")
+
+
+@query("select doc_id, doc_id % 3 <> 1 as before, true as after, (doc_id % 3 = 1)::integer::bigint as stray from documents")
+def well_formed_repairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as markup, a third with a stray end tag: whether an XML parser takes them before and after the repair."""
+    clean = F.regexp_replace("text", "[^\\p{L}\\p{N} .,\\n]", "")
+    html = F.concat(F.lit("<div><p>"), F.coalesce(clean, F.lit("")), F.when(F.col("doc_id") % 3 == 1, "</b></p></div>").otherwise("</p></div>"))
+    pages = table(spark, sf_dir, "documents").select("doc_id", html.alias("html")).withColumn("e", edits_column(F.col("html")))
+    return pages.select("doc_id", well_formed_column(F.col("html")).alias("before"), well_formed_column(F.col("e.html")).alias("after"), F.col("e.stray").alias("stray"))
+
+
+@query("with p as (select doc_id, k, trim(regexp_replace(substring(text, (k * 200 + 1)::bigint, 200), '\\s+', ' ', 'g')) piece from (select doc_id, regexp_replace(text, '[^a-zA-Z ]', ' ', 'g') text, unnest(range(1, (length(text) + 199) // 200)) k from documents)) select doc_id, count(*) filter (k not between 1500 and 2099) as n from p group by all")
+def stripped_pagination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of printed pages, each followed by its number: the numbers go, and every letter of the text stays."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace("text", "[^a-zA-Z ]", " ").alias("text"))
+    pages = docs.where("length(text) > 200").select("doc_id", "text", F.explode(F.sequence(F.lit(1), F.floor((F.length("text") + 199) / 200).cast("int") - 1)).alias("k"))
+    piece = F.trim(F.regexp_replace(F.substring("text", F.col("k") * 200 + 1, F.lit(200)), "\\s+", " "))
+    one = F.concat(F.lit("<p>Some prose of a page, "), piece, F.lit("</p><p>"), F.col("k").cast("string"), F.lit("</p>"))
+    html = pages.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("k", one.alias("x")))).alias("l")).select("doc_id", F.concat(F.array_join(F.transform("l", lambda s: s["x"]), ""), F.lit("<p>The end of the book.</p>")).alias("html"))
+    done = html.withColumn("s", strip_column(F.col("html"), F.array().cast("array<string>"), F.lit(True)))
+    return done.select("doc_id", F.col("s.n").alias("n"))
+
+
+@query("select n_nationkey as k, ['encrypted', 'corrupt_entry', 'truncated', 'not_a_zip', 'unreadable'][n_nationkey % 5 + 1] as reason, case when n_nationkey % 2 = 0 then 3 when n_nationkey % 3 = 0 then 2 end as major, n_nationkey % 4 <> 0 as invalid from nation")
+def small_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Why an archive couldn't be read, a package's major version, whether an id is no XML name."""
+    k = F.col("n_nationkey")
+    pick = lambda *names: F.get(F.array(*[F.lit(x) for x in names]), (k % len(names)).cast("int"))
+    reason = X.unreadable_reason(pick("file is encrypted, password required", "Bad CRC-32 for file", "EOFError", "File is not a zip file", "odd"))
+    major = X.package_major(F.when(k % 2 == 0, " 3.2").when(k % 3 == 0, "2.0").otherwise("x"))
+    return table(spark, sf_dir, "nation").select(k.alias("k"), reason.alias("reason"), major.alias("major"), X.is_invalid_ncname(pick("ok_1.x", "1a", "a:b", "")).alias("invalid"))
+
+
+@query("select distinct user_id::varchar as path, case when user_id % 3 = 0 then 0 else 1 end as errors, user_id % 3 = 0 as unreadable from events")
+def census_completed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A third of the books has no answer: they are unreadable."""
+    books = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("path"), "user_id").distinct()
+    answers = books.where("user_id % 3 <> 0").select("path", F.lit(0).alias("fatals"), F.lit(1).alias("errors"), F.lit(0).alias("warnings"), F.lit(False).alias("unreadable"))
+    return census.completed(answers, books).select("path", "errors", "unreadable")
+
+
 @query()
 def html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = audit.block_rows(page_docs(table(spark, sf_dir, "pages")))
