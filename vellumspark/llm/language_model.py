@@ -16,8 +16,8 @@ reach, which is exact:
 2. A block sends its distinct words, pairs and triples, hashed, with their training counts to the owners of their hash
    ranges. An n-gram of any frequency is one entry of a block, so a hot one is no hot group.
 3. Owners add up and answer with the totals in the order asked, so only counts travel back.
-Keys within a range have 40 bits, and the ranges grow in number with the corpus: a key meets another by chance with a
-probability of about one in 10**6, whatever the size.
+Keys within a range have 36 bits, and the ranges grow in number with the corpus: a key meets another by chance with a
+probability of about one in 10**5, whatever the size.
 
 Defined results: a null or empty text is its end alone; a null doc_id is a training document; repeated rows each get
 their row, and count as often as they stand; without training documents all words are unknown; an empty table gives an
@@ -39,6 +39,8 @@ from vellumspark.llm.common import batches_of, hash_words, row_blocks, shuffle_p
 PRIOR = {1: 300.0, 2: 10.0}
 ADD = 0.1
 BLOCK_BYTES, BATCH = 4 << 20, 1_000
+#: Distinct words that a task holds before it sends what it has.
+HELD = 1_000_000
 #: Symbols of a text that are read in one go.
 SEGMENT = 512
 ASKED = "block int, part int, keys binary, counts binary"
@@ -46,8 +48,8 @@ TOTALS = "block int, part int, counts binary"
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 _P, _Q, _R = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 _END = np.uint64(0xD6E8FEB86659FD93)
-_LOCAL = np.uint64(40)
-_MASK = np.uint64((1 << 40) - 1)
+_LOCAL = np.uint64(36)
+_MASK = np.uint64((1 << 36) - 1)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -68,18 +70,18 @@ def found_in(known: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def packed_keys(keys: np.ndarray) -> bytes:
-    """Ascending 40-bit keys: the first and 32-bit steps where these suffice, else five bytes each."""
+    """Ascending keys: the first, then the steps between them as planes of bytes, of which the upper ones are nearly all 0
+    and shrink when they are sent."""
     steps = np.diff(keys)
-    if len(keys) and (not len(steps) or steps.max() < 1 << 32):
-        return b"\1" + keys[:1].tobytes() + steps.astype(np.uint32).tobytes()
-    return b"\0" + (keys & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes() + (keys >> np.uint64(32)).astype(np.uint8).tobytes()
+    planes = (int(steps.max(initial=0)).bit_length() + 7) // 8
+    return bytes([planes]) + keys[:1].tobytes() + steps.view(np.uint8).reshape(-1, 8)[:, :planes].T.tobytes()
 
 
 def unpacked_keys(data: bytes) -> np.ndarray:
-    if data[0]:
-        return np.cumsum(np.concatenate([np.frombuffer(data, np.uint64, 1, 1), np.frombuffer(data, np.uint32, -1, 9).astype(np.uint64)]), dtype=np.uint64)
-    n = (len(data) - 1) // 5
-    return np.frombuffer(data, np.uint32, n, 1).astype(np.uint64) | np.frombuffer(data, np.uint8, n, 1 + 4 * n).astype(np.uint64) << np.uint64(32)
+    planes = np.frombuffer(data, np.uint8, -1, 9).reshape(data[0], -1) if data[0] else np.zeros((1, 0), np.uint8)
+    steps = np.zeros((planes.shape[1], 8), np.uint8)
+    steps[:, : len(planes)] = planes.T
+    return np.cumsum(np.concatenate([np.frombuffer(data, np.uint64, 1, 1), steps.reshape(-1).view(np.uint64)]), dtype=np.uint64)
 
 
 def packed_counts(counts: np.ndarray) -> bytes:
@@ -220,19 +222,26 @@ class Automaton:
 def word_totals(training: DataFrame, parts: int) -> tuple[int, int]:
     """Words and distinct words of the texts: hash ranges of words meet, each of which counts its own."""
 
+    def pieces(keys: np.ndarray, tokens: int) -> Iterator[pa.RecordBatch]:
+        keys = np.unique(((keys >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)) << _LOCAL | keys & _MASK)
+        rows = [(part, packed_keys(keys[a:b] & _MASK), 0 if a else tokens) for part, a, b in ranges(keys)]
+        if rows:
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.int64()), strict=True)], ["part", "keys", "tokens"])
+
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each word once for a task, or for HELD of its words."""
+        known, tokens = np.zeros(0, np.uint64), 0
         for batch in small_batches(batches, "text", BLOCK_BYTES):
             words = [hash_words(t) for t in texts_of(batch.column("text"))]
-            keys = np.unique(np.concatenate(words))
-            part = np.minimum((keys >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32), np.uint64(parts - 1))
-            cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(keys)] if len(keys) else []
-            rows = [(int(part[a]), keys[a:b].tobytes(), 0) for a, b in zip(cuts, cuts[1:])]
-            if rows:
-                rows[0] = (*rows[0][:2], sum(map(len, words)))
-                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.int64()), strict=True)], ["part", "keys", "tokens"])
+            tokens += sum(map(len, words))
+            known = np.unique(np.concatenate([known, *words]))
+            if len(known) > HELD:
+                yield from pieces(known, tokens)
+                known, tokens = known[:0], 0
+        yield from pieces(known, tokens)
 
     def count(group: pa.Table) -> pa.Table:
-        keys = np.concatenate([np.frombuffer(x, np.uint64) for x in group.column("keys").to_pylist()])
+        keys = np.concatenate([unpacked_keys(x) for x in group.column("keys").to_pylist()])
         return pa.table([pa.array([len(np.unique(keys))], pa.int64()), pa.array([sum(group.column("tokens").to_pylist())], pa.int64())], ["types", "tokens"])
 
     with batches_of(training.sparkSession, BATCH):
