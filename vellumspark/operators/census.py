@@ -65,6 +65,11 @@ def code_profile(codes: DataFrame) -> DataFrame:
     return each.where("messages > 0").groupBy("code").agg(F.sum("messages").alias("messages"), F.coalesce(F.sum("occurrences"), F.lit(0)).alias("occurrences"), F.count(F.lit(1)).alias("books"))
 
 
+def top_codes(profile: DataFrame, n: int = 10) -> DataFrame:
+    """The n codes of most messages, ties by code."""
+    return profile.orderBy(F.col("messages").desc(), "code").limit(n)
+
+
 def worst(census: DataFrame, n: int = 25) -> DataFrame:
     return census.where(findings()).orderBy((F.col("errors") + F.col("fatals")).desc(), F.col("path").desc()).limit(n)
 

@@ -315,6 +315,13 @@ def points(ncx: DataFrame) -> DataFrame:
     return out.select(*keys, "above", "parent", "kind", "label", F.col("c.href").alias("src"), F.col("c.target").alias("target"), F.col("c.fragment").alias("fragment"), F.col("c.content_ord").alias("content_ord"), "play_order")
 
 
+def toc_references(ncx: DataFrame, nav: DataFrame) -> DataFrame:
+    """book_id, path (null for fragments alone and schemes) of each reference of both tables of contents (their elements)."""
+    navs = nav.where("name = 'nav'").select("book_id", "path", F.col("ord").alias("up"))
+    links = nav.where("name = 'a' and href is not null").select("book_id", "path", "target", F.explode("above").alias("up")).join(navs, ["book_id", "path", "up"], "left_semi")
+    return points(ncx).where("src is not null").select("book_id", F.col("target").alias("path")).union(links.select("book_id", "target"))
+
+
 def broken_fragments(ncx: DataFrame, opf: DataFrame, ids: DataFrame) -> DataFrame:
     """References of tables of contents and guides to a document that is there (ids: book_id, target, id) but lacks the
     fragment: the fragment goes, the document stays."""
