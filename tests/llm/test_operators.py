@@ -95,6 +95,18 @@ def test_sketches_merge_and_decode(spark):
     assert all(r.s == r.b for r in back)
 
 
+def test_rows_of_one_id_are_dealt_by_their_texts(spark):
+    rows = [(None, f"text number {k} of many that have no id") for k in range(300)] + [(7, f"seven {k}") for k in range(200)] + [(k, f"own {k}") for k in range(10, 40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("h", F.xxhash64("text"))
+    order = [r.text for r in docs.orderBy(F.col("doc_id").asc_nulls_first(), "h").collect()]
+    want = collections.Counter()
+    for k, t in enumerate(order):
+        cut = len(t) // 4
+        want[hashlib.sha256((t[: len(t) - cut] + order[(k + 1) % len(order)][:cut]).encode()).hexdigest()] += 1
+    got = fingerprints.fingerprints(docs.repartition(7))
+    assert collections.Counter(r.edited_sha256 for r in got.collect()) == want
+
+
 def test_fingerprints_of_odd_rows(odd, none):
     got = fingerprints.fingerprints(odd).collect()
     assert len(got) == 10 and len({r.fingerprint for r in got if r.doc_id in (1, 2)}) == 1

@@ -7,7 +7,7 @@ estimates how many distinct shingles there are. Below K shingles all of this is
 
 Defined results: a null text is the empty text; a text without words has an empty sketch and the fingerprint "";
 two empty sketches are alike (1), an empty one and another aren't (0); rows that repeat are rows of their own, in the
-order of doc_id (null first), then text; an empty table gives an empty result; other columns are ignored.
+order of doc_id (null first), then of a hash of the text; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from vellumspark.llm.common import SPACE, searched, shuffle_partitions
 
 SHINGLE, K = 5, 128
+#: A bucket of one id is dealt by its texts if it holds so many times its share.
+HOT = 2
 
 
 def words(text: Column) -> Column:
@@ -83,9 +85,10 @@ def merged_by(sketches: DataFrame, key: str, column: str, k: int = K) -> DataFra
 def with_next(docs: DataFrame) -> DataFrame:
     """doc_id, text, words, sketch and those of the next row in the order of doc_id; the last row's next is the first.
 
-    Rows are dealt by ranges of doc_id into buckets; a copy of the first row of each bucket (of the first bucket for the
-    last) goes along to the bucket before, sorted behind its rows, so that one shuffle of the texts is enough. The
-    driver holds one id for each bucket.
+    Rows are dealt by ranges of doc_id into buckets, and a bucket of one id that holds far more than its share (null, say)
+    by ranges of a hash of the text. A copy of the first row of each bucket (of the first bucket for the last) goes along
+    to the bucket before, sorted behind its rows, so that one shuffle of the texts is enough. The driver holds one row
+    for each bucket.
     """
     parts = shuffle_partitions(docs.sparkSession)
     buckets = 2 * parts
@@ -93,23 +96,37 @@ def with_next(docs: DataFrame) -> DataFrame:
     at = rows.agg(F.percentile_approx("doc_id", [i / buckets for i in range(1, buckets)], 100 * buckets)).first()[0]
     bounds = sorted(set(at or []))
     # Null ids come first, in a bucket of their own.
-    bucket = F.when(F.col("doc_id").isNull(), -1).otherwise(searched(bounds, F.col("doc_id")))
-    keyed = rows.withColumn("bucket", bucket)
-    first = {r[0]: r[1] for r in keyed.groupBy("bucket").agg(F.min("doc_id")).collect()}
-    order = sorted(first)
-    # The bucket to which the first row of a bucket goes along.
-    before = {b: order[i - 1] for i, b in enumerate(order)}
-    moved = F.create_map(*[F.lit(x) for b in order for x in (b, before[b])]) if order else F.create_map(F.lit(0), F.lit(0))
-    least = F.create_map(*[F.lit(x) for b in order if first[b] is not None for x in (b, first[b])]) if any(v is not None for v in first.values()) else F.create_map(F.lit(0), F.lit(0).cast("long"))
-    leads = F.col("doc_id").eqNullSafe(F.try_element_at(least, F.col("bucket")))
-    own = F.struct(F.lit(False).alias("ghost"), F.col("bucket").alias("bucket"))
-    along = F.struct(F.lit(True).alias("ghost"), F.try_element_at(moved, F.col("bucket")).alias("bucket"))
-    dealt = keyed.select("doc_id", "text", F.explode(F.when(leads, F.array(own, along)).otherwise(F.array(own))).alias("to")).select("doc_id", "text", "to.ghost", "to.bucket")
-    dealt = dealt.repartition(buckets, "bucket")
+    keyed = rows.withColumn("bucket", F.when(F.col("doc_id").isNull(), -1).otherwise(searched(bounds, F.col("doc_id"))))
+    found = keyed.groupBy("bucket").agg(F.min("doc_id"), F.max("doc_id"), F.count(F.lit(1))).collect()
+    share = max(1, sum(r[3] for r in found) // buckets)
+    hot = {r[0]: -(-r[3] // share) for r in found if r[1] == r[2] and r[3] > HOT * share}
+    first = {(r[0], 0): (r[1], None) for r in found if r[0] not in hot}
+    tie, lookup = F.xxhash64("text"), lambda known, kind: F.create_map(*[F.lit(x) for k, v in sorted(known.items()) for x in (k, v)]) if known else F.create_map().cast(f"map<bigint,{kind}>")
+    if hot:
+        most = max(hot.values())
+        slices = F.try_element_at(lookup(hot, "int"), F.col("bucket"))
+        keyed = keyed.withColumn("slice", F.when(slices.isNotNull(), F.least(slices - 1, F.floor((tie.cast("double") + 2.0**63) / 2.0**64 * slices).cast("int"))).otherwise(0))
+        least = keyed.where(F.col("bucket").isin(*hot)).groupBy("bucket", "slice").agg(F.min("doc_id"), F.min(tie)).collect()
+        first |= {(r[0], r[1]): (r[2], r[3]) for r in least}
+    else:
+        most, keyed = 1, keyed.withColumn("slice", F.lit(0))
+    number = {at: (at[0] + 1) * most + at[1] for at in first}
+    keyed = keyed.withColumn("place", (F.col("bucket").cast("long") + 1) * most + F.col("slice"))
+    order = sorted(number.values())
+    # The place to which the first row of a place goes along.
+    before = {p: order[i - 1] for i, p in enumerate(order)}
+    ids = {number[at]: v[0] for at, v in first.items() if v[0] is not None}
+    ties = {number[at]: v[1] for at, v in first.items() if v[1] is not None}
+    own_tie = F.try_element_at(lookup(ties, "bigint"), F.col("place"))
+    leads = F.col("doc_id").eqNullSafe(F.try_element_at(lookup(ids, "bigint"), F.col("place"))) & (own_tie.isNull() | (own_tie == tie))
+    own = F.struct(F.lit(False).alias("ghost"), F.col("place").alias("place"))
+    along = F.struct(F.lit(True).alias("ghost"), F.try_element_at(lookup(before, "bigint"), F.col("place")).cast("long").alias("place"))
+    dealt = keyed.select("doc_id", "text", F.explode(F.when(leads, F.array(own, along)).otherwise(F.array(own))).alias("to")).select("doc_id", "text", "to.ghost", "to.place")
+    dealt = dealt.repartition(buckets, "place")
     sketched = dealt.withColumn("words", words(F.col("text"))).withColumn("hashes", shingle_hashes(F.col("words"))).withColumn("sketch", sketch(F.col("hashes"))).drop("words", "hashes")
-    by = Window.partitionBy("bucket").orderBy("ghost", F.col("doc_id").asc_nulls_first(), "text")
+    by = Window.partitionBy("place").orderBy("ghost", F.col("doc_id").asc_nulls_first(), tie, "text")
     paired = sketched.withColumn("next_text", F.lead("text").over(by)).withColumn("next_sketch", F.lead("sketch").over(by))
-    return paired.where(~F.col("ghost")).drop("ghost", "bucket")
+    return paired.where(~F.col("ghost")).drop("ghost", "place")
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
