@@ -92,17 +92,19 @@ def marked_blocks(blocks: DataFrame) -> DataFrame:
     return facts.join(heads, ["book_id", "short"], "left").withColumn("head", F.coalesce("head", F.lit(False)))
 
 
-def baked_numbers(marked: DataFrame) -> DataFrame:
-    """book_id, pos, idx, slice, offset, value of page numbers that are wedged into the text of marked blocks.
+def baked_blocks(marked: DataFrame) -> DataFrame:
+    """book_id, pos, idx, slice, offset, chars, value, baked of marked blocks: whether a block is a page number wedged into
+    the text.
 
     A number that isn't a year, next to a paragraph of prose, where a word is split before it, or the text goes on in
     lower case after it, or an unfinished paragraph meets prose or a running head, or it stands between running heads.
     """
-    near = neighbours(marked, ("prose", "split", "open_end", "low_start", "head"), "chars").where(F.col("number").isNotNull() & ~F.col("number").between(1500, 2099))
+    near = neighbours(marked, ("prose", "split", "open_end", "low_start", "head"), "chars")
     p, n = (lambda c, side=side: F.coalesce(F.col(f"{side}.{c}"), F.lit(False)) for side in ("prev", "next"))
     unfinished = p("prose") & p("open_end")
     baked = p("split") | n("low_start") | (unfinished & (n("prose") | n("head"))) | (p("head") & n("head"))
-    return near.where((p("prose") | n("prose")) & baked).select("book_id", "pos", "idx", "slice", "offset", F.col("number").alias("value"))
+    page = F.col("number").isNotNull() & ~F.col("number").between(1500, 2099)
+    return near.select("book_id", "pos", "idx", "slice", "offset", "chars", F.col("number").alias("value"), F.coalesce(page & (p("prose") | n("prose")) & baked, F.lit(False)).alias("baked"))
 
 
 def longest_run(hits: DataFrame) -> DataFrame:
@@ -128,11 +130,10 @@ def longest_run(hits: DataFrame) -> DataFrame:
 
 def pagenumbers(blocks: DataFrame) -> DataFrame:
     """book_id, n_hits, span, run, flag of each book from blocks (book_id, pos, idx, text; tag and nav where known)."""
-    marked = marked_blocks(blocks)
-    hits = baked_numbers(marked)
-    ends = hits.groupBy("book_id").agg(F.count(F.lit(1)).alias("n_hits"), F.min("offset").alias("lo"), F.max("offset").alias("hi"))
-    size = marked.groupBy("book_id").agg(F.sum("chars").alias("chars"))
-    out = blocks.select("book_id").distinct().join(size, "book_id", "left").join(ends, "book_id", "left").join(longest_run(hits), "book_id", "left")
+    known = baked_blocks(marked_blocks(blocks))
+    at = F.when(F.col("baked"), F.col("offset"))
+    sums = known.groupBy("book_id").agg(F.sum("chars").alias("chars"), F.count(at).alias("n_hits"), F.min(at).alias("lo"), F.max(at).alias("hi"))
+    out = blocks.select("book_id").distinct().join(sums, "book_id", "left").join(longest_run(known.where("baked")), "book_id", "left")
     out = out.select("book_id", F.coalesce("n_hits", F.lit(0)).alias("n_hits"), F.coalesce((F.col("hi") - F.col("lo")) / F.greatest("chars", F.lit(1)), F.lit(0.0)).alias("span"), F.coalesce("run", F.lit(0)).alias("run"))
     return out.withColumn("flag", (F.col("n_hits") >= MIN_HITS) & (F.col("span") >= MIN_SPAN) & (F.col("run") >= MIN_RUN))
 
