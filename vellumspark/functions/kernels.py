@@ -279,15 +279,15 @@ def well_formed_column(source: Column) -> Column:
     return run(source)
 
 
-def edits_column(source: Column, stamps: tuple[Stamp, ...] = ()) -> Column:
-    """struct(html, stray, ids, marks, refused): stray closers, duplicate ids and watermarks repaired in one crossing."""
+def edits_column(source: Column, stamps: tuple[Stamp, ...] = (), tags: bool = True) -> Column:
+    """struct(html, stray, ids, marks, refused): stray closers and duplicate ids (if tags) and watermarks in one crossing."""
 
     @F.pandas_udf("html string, stray long, ids long, marks long, refused long")
     def run(s: pd.Series) -> pd.DataFrame:
         rows = []
         for x in s:
-            text, stray = fix_stray_close(x or "")
-            text, ids = fix_duplicate_ids(text)
+            text, stray = fix_stray_close(x or "") if tags else (x or "", 0)
+            text, ids = fix_duplicate_ids(text) if tags else (text, 0)
             rows.append((*(found := strip_watermarks(text, stamps))[:1], stray, ids, *found[1:]))
         return pd.DataFrame(rows, columns=["html", "stray", "ids", "marks", "refused"])
 
