@@ -11,7 +11,8 @@ from vellumspark.llm import queries
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_query_matches_sql(spark, name):
     con = duckdb.connect()
-    con.execute(f"create view documents as select * from '{SF}/documents.parquet'")
+    for view in ("documents", "benchmark", "embeddings"):
+        con.execute(f"create view {view} as select * from '{SF}/{view}.parquet'")
     got, want = queries.queries()[name](spark, SF).toPandas(), con.sql(queries.oracle_sql()[name]).fetchdf()
     assert sorted(got.columns) == sorted(want.columns)
     key = [c for c in got.columns if c not in ("target", "position")]

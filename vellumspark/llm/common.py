@@ -20,6 +20,7 @@ DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 SPACE = "\\x20\\x09-\\x0D"
 WORD = f"[^{SPACE}]+"
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
+_NEXT = re.compile(rb" *[^ ]+")
 _own_dir: dict[str, str] = {}
 
 
@@ -131,3 +132,22 @@ def searched(bounds: list, value: Column) -> Column:
         F.lit(0),
         lambda at, step: F.when((at + step <= len(bounds)) & (F.get(known, at + step - 1) <= value), at + step).otherwise(at),
     )
+
+
+def chunked(text: bytes, most: int, carry: int) -> Iterator[tuple[bytes, int]]:
+    """Pieces of a text in which words stand between single or repeated b" ", each with how many of its bytes are its own.
+
+    A piece owns about `most` bytes, cut at a word's end (a longer word stays whole), and carries the next `carry` words
+    behind them: what starts in a piece's own bytes and takes up to carry + 1 words is found in that piece, and only there.
+    """
+    start = 0
+    while start < len(text):
+        end = text.find(b" ", start + most)
+        end = far = len(text) if end < 0 else end
+        for _ in range(carry):
+            word = _NEXT.match(text, far)
+            if word is None:
+                break
+            far = word.end()
+        yield text[start:far], end - start
+        start = end

@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellumspark.llm import decontamination, fingerprints, language_id, language_model, line_dedup, mixing, near_dups, quality, token_counts, toxicity
+from vellumspark.llm import decontamination, fingerprints, hard_negatives, language_id, language_model, line_dedup, mixing, near_dups, quality, resampling, simhash, token_counts, toxicity
 from vellumspark.llm.common import held_out, shared_dir, table
 
 
@@ -100,10 +100,69 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.find_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranked = resampling.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return ranked.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+IMPORTANCE_SQL = r"""
+with recursive crc(n, c, k) as (
+  select range::bigint, range::bigint, 0 from range(256)
+  union all select n, case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end, k + 1 from crc where k < 8),
+steps as (select list(c order by n) step from crc where k = 8),
+words as (select doc_id, lower_words(text) w from documents),
+bench as (select unnest(lower_words(text)) w from benchmark),
+vocabulary as (select distinct w from (select unnest(w) w from words union all select w from bench)),
+bytes as (select w, list_transform(range(1, length(hex(w)), 2), lambda i: ('0x' || substr(hex(w), i, 2))::bigint) b from vocabulary),
+bucket as (select w, xor(list_reduce(list_prepend(4294967295::bigint, b), lambda c, x: xor(c >> 8, step[xor(c & 255, x) + 1])), 4294967295::bigint) % 10000 bucket from bytes, steps),
+feature as (select doc_id, unnest(w) w from words),
+s as (select bucket, count(*) s from feature join bucket using (w) group by bucket),
+t as (select bucket, count(*) t from bench join bucket using (w) group by bucket),
+gain as (
+  select bucket, floor(1000 * ln((coalesce(t, 0) + 1)::double * ((select coalesce(sum(s), 0) from s) + 10000)::double
+                                 / ((coalesce(s, 0) + 1)::double * ((select coalesce(sum(t), 0) from t) + 10000)::double)))::bigint gain
+  from s full join t using (bucket)),
+each as (select doc_id, count(*) n, sum(gain)::bigint total from feature join bucket using (w) join gain using (bucket) group by doc_id),
+weighed as (
+  select d.doc_id, coalesce(n, 0)::bigint n_features, coalesce((total - ((total % n) + n) % n) // n, 0)::bigint weight,
+         floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || d.doc_id), 1, 8))::bigint + 0.5::double) / 4294967296::double)))::bigint noise
+  from documents d left join each using (doc_id)),
+scored as (select doc_id, n_features, weight, weight + noise score from weighed),
+ranked as (select doc_id, row_number() over (order by score desc, doc_id) r, count(*) over () n from scored where n_features >= 20)
+select doc_id, n_features, weight, score, case when r <= n * 10 // 100 then r end as rank from scored left join ranked using (doc_id)
+""".replace("lower_words(text)", r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')")
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels move on by one where vec_id is divisible by 7."""
+    vectors = table(spark, sf_dir, "embeddings").withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return hard_negatives.hard_negatives(vectors, F.col("vec_id") % 100 == 0)
+
+
+HARD_NEGATIVES_SQL = """
+with r as (
+  select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end label, list_transform(embedding, lambda x: floor(256 * x::double)) v
+  from embeddings where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+scores as (
+  select a.vec_id anchor_id, b.vec_id other_id, a.label = b.label same, list_inner_product(a.v, b.v)::bigint score
+  from r a join r b on a.vec_id % 100 = 0 and a.vec_id <> b.vec_id),
+positives as (select anchor_id, other_id positive_id, score positive_score from scores where same
+  qualify row_number() over (partition by anchor_id order by score desc, other_id) <= 5)
+select p.anchor_id, positive_id, row_number() over (partition by p.anchor_id, positive_id order by score desc, other_id)::int as rank, other_id as negative_id, positive_score, score as negative_score
+from positives p join scores s on p.anchor_id = s.anchor_id and not same and 30 * positive_score <= 100 * score and 100 * score <= 90 * positive_score
+qualify rank <= 10
+"""
+
+
+def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.components(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", simhash.hex_bits(F.col("bits")).alias("fingerprint"), "component_id", "copies")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = [op1_quality, op2_token_counts, op3_fingerprints, op4_language_id, op5_language_model, op6_toxicity, op7_line_dedup, op8_near_dups, op9_source_mix, op10_decontamination]
+    named = [op1_quality, op2_token_counts, op3_fingerprints, op4_language_id, op5_language_model, op6_toxicity, op7_line_dedup, op8_near_dups, op9_source_mix, op10_decontamination, op11_importance, op12_hard_negatives, op13_simhash]
     return {f.__name__: f for f in named}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_source_mix": SOURCE_MIX_SQL}
+    return {"op9_source_mix": SOURCE_MIX_SQL, "op11_importance": IMPORTANCE_SQL, "op12_hard_negatives": HARD_NEGATIVES_SQL}
