@@ -35,14 +35,16 @@ EDGES = ("toc", "fallback", "media-overlay")
 POINTS = ("navpoint", "navtarget", "pagetarget")
 
 
-def elements(files: DataFrame) -> DataFrame:
-    """One row an element of files (book_id, path, text): ord in document order, parent, above (its ancestors), name
-    (without prefix, lower case), attrs, text of its own, href (or src), target (the archive path it names), fragment."""
+def parsed(path: Column, text: Column) -> Column:
+    """The elements of a file as an array; null for a null text."""
 
     @F.pandas_udf(ELEMENTS)
     def run(paths: pd.Series, texts: pd.Series) -> pd.Series:
         out = []
         for path, source in zip(paths, texts, strict=True):
+            if source is None:
+                out.append(None)
+                continue
             found, rows = markup.tree(source or ""), []
             base = posixpath.dirname(path or "")
             for at, e in enumerate(found):
@@ -53,7 +55,13 @@ def elements(files: DataFrame) -> DataFrame:
             out.append(rows)
         return pd.Series(out)
 
-    return files.select("book_id", "path", F.explode(run(F.col("path"), F.col("text"))).alias("e")).select("book_id", "path", "e.*")
+    return run(path, text)
+
+
+def elements(files: DataFrame) -> DataFrame:
+    """One row an element of files (book_id, path, text): ord in document order, parent, above (its ancestors), name
+    (without prefix, lower case), attrs, text of its own, href (or src), target (the archive path it names), fragment."""
+    return files.select("book_id", "path", F.explode(parsed(F.col("path"), F.col("text"))).alias("e")).select("book_id", "path", "e.*")
 
 
 def edits(rows: DataFrame, fix: str, action: str, name: Column | None = None, value: Column | None = None) -> DataFrame:
@@ -66,7 +74,7 @@ def all_of(parts: list[DataFrame]) -> DataFrame:
 
 
 def written(files: DataFrame, changes: DataFrame) -> DataFrame:
-    """files (book_id, path, text) after the changes, and `fixes`, a map of how many there were of each kind."""
+    """files (book_id, path, text) after the changes, `fixes`, a map of how many there were of each kind, and `edited`."""
     # Edits of one file: as many as it has elements, not more.
     own = changes.groupBy("book_id", "path").agg(F.array_sort(F.collect_list(F.struct("ord", "action", "name", "value", "fix"))).alias("edits"))
 
@@ -80,7 +88,7 @@ def written(files: DataFrame, changes: DataFrame) -> DataFrame:
         return pd.DataFrame(rows, columns=["text", "fixes"])
 
     joined = files.join(own, ["book_id", "path"], "left").withColumn("done", apply(F.col("text"), F.col("edits")))
-    return joined.withColumns({"text": F.col("done.text"), "fixes": F.col("done.fixes")}).drop("edits", "done")
+    return joined.withColumns({"text": F.col("done.text"), "fixes": F.col("done.fixes"), "edited": F.col("edits").isNotNull()}).drop("edits", "done")
 
 
 def attr(name: str) -> Column:
@@ -457,14 +465,27 @@ def rename_map(names: DataFrame) -> DataFrame:
 
 
 def renamed_references(refs: DataFrame, renames: DataFrame) -> DataFrame:
-    """References to renamed entries, with the new name in place of the old and their fragment kept."""
-    found = refs.join(renames.select("book_id", F.col("path").alias("target"), "new_path"), ["book_id", "target"]).withColumn("a", F.when(attr("href").isNotNull(), "href").otherwise("src"))
+    """References to renamed entries (renames: book_id, path, new_path), with the new name in place of the old, seen from
+    where their own file will be, and their fragment kept."""
+    own = renames.select("book_id", "path", F.col("new_path").alias("own_path"))
+    found = refs.join(renames.select("book_id", F.col("path").alias("target"), "new_path"), ["book_id", "target"]).join(own, ["book_id", "path"], "left")
+    found = found.withColumn("a", F.when(attr("href").isNotNull(), "href").otherwise("src"))
 
     @F.pandas_udf("string")
     def relative(path: pd.Series, new: pd.Series, href: pd.Series) -> pd.Series:
-        return pd.Series([posixpath.relpath(n, posixpath.dirname(p) or ".") + (f"#{h.partition('#')[2]}" if "#" in h else "") for p, n, h in zip(path, new, href, strict=True)])
+        named = [posixpath.relpath(n, posixpath.dirname(p) or ".").replace("[", "%5B").replace("]", "%5D") for p, n in zip(path, new, strict=True)]
+        return pd.Series([r + (f"#{h.partition('#')[2]}" if "#" in h else "") for r, h in zip(named, href, strict=True)])
+
+    return edits(found, "renamed_refs_rewritten", "set", F.col("a"), relative(F.coalesce("own_path", "path"), F.col("new_path"), F.col("href")))
 
-    return edits(found, "renamed_refs_rewritten", "set", F.col("a"), relative(F.col("path"), F.col("new_path"), F.col("href")))
+
+def with_delimiters(rows: DataFrame, names: DataFrame) -> DataFrame:
+    """Elements whose href names nothing as it stands, but a file with its delimiters encoded, with that file as target."""
+    there = _known(names)
+    odd = rows.where("href is not null").select("book_id", "path", "ord", "target", delimiter_variant(F.col("path"), F.col("href")).alias("variant")).where("variant is not null")
+    odd = odd.join(there, ["book_id", "target"], "left_anti").join(there.select("book_id", F.col("target").alias("variant")), ["book_id", "variant"], "left_semi")
+    out = rows.join(odd.select("book_id", "path", "ord", "variant"), ["book_id", "path", "ord"], "left")
+    return out.withColumn("target", F.coalesce("variant", "target")).select(*rows.columns)
 
 
 # Containers and encryption
@@ -480,7 +501,7 @@ def container(opf_path: Column) -> Column:
 
 
 #: Algorithms that obfuscate fonts and protect nothing.
-OBFUSCATION = ("http://www.idpf.org/2008/embedding", "http://ns.adobe.com/pdf/enc#RC")
+OBFUSCATION = ("http://www.idpf.org/2008/embedding", "http://ns.adobe.com/pdf/enc#RC", "http://www.adobe.com/2005/pdf/enc#RC")
 
 
 def encrypted(files: DataFrame) -> DataFrame:
