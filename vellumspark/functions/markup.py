@@ -29,9 +29,9 @@ class Token:
     end: int
 
 
-def tokens(source: str) -> Iterator[Token]:
-    """Tokens in order, without gaps; a construct that never ends is text to the end of the source."""
-    at, raw = 0, ""
+def tokens(source: str, at: int = 0) -> Iterator[Token]:
+    """Tokens in order from a place on, without gaps; a construct that never ends is text to the end of the source."""
+    raw = ""
     while at < len(source):
         start = re.compile(rf"</{raw}\b", re.I).search(source, at) if raw else None
         lt = (start.start() if start else -1) if raw else source.find("<", at)
