@@ -88,7 +88,7 @@ def script_counts(text: Column) -> dict[str, Column]:
     return {name: F.regexp_count(text, F.lit("[" + "-".join(f"\\x{{{x}}}" for x in span.split("-")) + "]")) for name, span in SCRIPTS.items()}
 
 
-def words(text: Column, most: int = 5000) -> Column:
+def words(text: Column, most: int | Column = 5000) -> Column:
     return F.slice(F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0)), 1, most)
 
 

@@ -11,7 +11,7 @@ from vellumspark.operators.blocks import sliced
 MIN_CHARS, THIN_CHARS, MAX_DOC_CHARS = 2_000, 20_000, 300_000
 STUB_MIN, STUB_MAX, STUB_REPEAT, STUB_SHARE = 12, 600, 3, 0.30
 PROSE_DOC, SPOT, UNREADABLE_SHARE = 400, 120, 0.10
-SAMPLE_CHARS, SAMPLE_LETTERS = 400_000, 250_000
+SAMPLE_CHARS, SAMPLE_LETTERS, SAMPLE_WORDS = 400_000, 250_000, 5_000
 #: What a placeholder or an injected text says.
 PLACEHOLDER = "(?i)bookshout|something went wrong loading|failed to load|(content|page|book)\\s+(is\\s+)?(not available|unavailable|could not be loaded)"
 SIGNATURE = "(?i)importknig|книжный импорт|knizhny"
@@ -117,8 +117,26 @@ def content_sample(docs: DataFrame, cap: int = SAMPLE_CHARS) -> DataFrame:
     return out.where((F.col("before") < cap) | F.col("last")).select("book_id", "pos", "chars", "before", "last")
 
 
-def language_hits(docs: DataFrame, text: Column) -> DataFrame:
-    """docs with nwords and, by language, how many of the first 5000 words are its stopwords: one pass over the words.
+def content_counts(sample: DataFrame, most_words: int = SAMPLE_WORDS, most_letters: int = SAMPLE_LETTERS) -> DataFrame:
+    """book_id, nwords, hits_<language>, letters, nonlatin, sign of a sample (book_id, pos, clean): of the joined texts the
+    first 5,000 words and 250,000 letters count, so a document in which a bound falls is read up to it.
+
+    What the windows see are numbers of a sample, which content_sample has bounded; texts stay where they are.
+    """
+    sized = sample.select("book_id", "pos", F.least(F.lit(most_words), F.regexp_count(F.lower("clean"), F.lit(X.WORD))).alias("words"), F.length(X.replaced(F.col("clean"), "[^\\p{L}]+", "")).alias("own_letters"))
+    before = Window.partitionBy("book_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    left = lambda most, own: F.least(F.col(own), F.greatest(F.lit(0), F.lit(most) - F.coalesce(F.sum(own).over(before), F.lit(0)))).cast("int")
+    shares = sized.select("book_id", "pos", left(most_words, "words").alias("words"), left(most_letters, "own_letters").alias("letters"))
+    read = sample.join(shares, ["book_id", "pos"]).withColumn("head", F.left(X.replaced(F.col("clean"), "[^\\p{L}]+", ""), F.col("letters")))
+    voted = language_hits(read, F.col("clean"), F.col("words"))
+    return voted.groupBy("book_id").agg(
+        F.sum("nwords").alias("nwords"), *[F.sum(c).alias(f"hits_{c}") for c in LANGUAGES], F.sum("letters").cast("long").alias("letters"),
+        F.sum(sum(X.script_counts(F.col("head")).values(), F.lit(0))).cast("long").alias("nonlatin"), F.max(F.regexp_extract("clean", SIGNATURE, 0)).alias("sign"),
+    )
+
+
+def language_hits(docs: DataFrame, text: Column, most: int | Column = SAMPLE_WORDS) -> DataFrame:
+    """docs with nwords and, by language, how many of the first words (`most` of them) are its stopwords: one pass over the words.
 
     A word's languages are bits of a number, which a map has; the numbers are counted by their bits.
     """
@@ -128,7 +146,7 @@ def language_hits(docs: DataFrame, text: Column) -> DataFrame:
             bits[w] = bits.get(w, 0) | 1 << k
     known = F.create_map(*[F.lit(x) for pair in sorted(bits.items()) for x in pair])
     words = F.filter(F.col("__w"), lambda w: w.isin(*sorted(bits)))
-    out = docs.withColumn("__w", X.words(text)).withColumn("nwords", F.size("__w").cast("long")).withColumn("__b", F.transform(words, lambda w: F.element_at(known, w)))
+    out = docs.withColumn("__w", X.words(text, most)).withColumn("nwords", F.size("__w").cast("long")).withColumn("__b", F.transform(words, lambda w: F.element_at(known, w)))
     hit = lambda k: F.size(F.filter("__b", lambda b: b.bitwiseAND(1 << k) > 0)).cast("long")
     return out.withColumns({code: hit(k) for k, code in enumerate(LANGUAGES)}).drop("__w", "__b")
 

@@ -55,12 +55,7 @@ def content(texts: DataFrame) -> DataFrame:
     sized = texts.withColumn("clean", clean)
     kept = analyzers.content_sample(sized.select("book_id", "pos", F.col("clean").alias("text"))).select("book_id", "pos")
     sample = sized.join(kept, ["book_id", "pos"]).select("book_id", "pos", "clean")
-    found = X.script_counts(F.col("clean"))
-    voted = analyzers.language_hits(sample, F.col("clean"))
-    sums = voted.groupBy("book_id").agg(
-        *[F.sum(c).alias(f"hits_{c}") for c in analyzers.LANGUAGES], F.sum("nwords").alias("nwords"),
-        F.sum(sum(found.values(), F.lit(0))).alias("nonlatin"), F.sum(F.regexp_count("clean", F.lit("\\p{L}"))).alias("letters"), F.max(F.regexp_extract("clean", analyzers.SIGNATURE, 0)).alias("sign"),
-    )
+    sums = analyzers.content_counts(sample)
     ratio = {c: F.when(F.col("nwords") > 0, F.col(f"hits_{c}") / F.col("nwords")).otherwise(0.0) for c in analyzers.LANGUAGES}
     best = F.greatest(*ratio.values())
     vote = F.struct(F.coalesce(*[F.when(r == best, F.lit(c)) for c, r in ratio.items()]).alias("best"), "nwords", best.alias("ratio"), ratio["en"].alias("ratio_en"))

@@ -80,19 +80,19 @@ def content_clean_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", F.length(X.content_clean(F.col("html"))).cast("long").alias("clean_chars"))
 
 
-ROMANS = "with d as (select range n from range(0, 130)), r as (select n, repeat('c', n // 100) || ['','x','xx','xxx','xl','l','lx','lxx','lxxx','xc'][(n // 10) % 10 + 1] || ['','i','ii','iii','iv','v','vi','vii','viii','ix'][n % 10 + 1] s from d)"
+ROMANS = "with d as (select distinct o_orderkey % 130 n from orders), r as (select n, repeat('c', n // 100) || ['','x','xx','xxx','xl','l','lx','lxx','lxxx','xc'][(n // 10) % 10 + 1] || ['','i','ii','iii','iv','v','vi','vii','viii','ix'][n % 10 + 1] s from d)"
 
 
-def _romans(spark: SparkSession) -> DataFrame:
+def _romans(spark: SparkSession, sf_dir: str) -> DataFrame:
     tens, ones = ["", "x", "xx", "xxx", "xl", "l", "lx", "lxx", "lxxx", "xc"], ["", "i", "ii", "iii", "iv", "v", "vi", "vii", "viii", "ix"]
     digit = lambda names, at: F.get(F.array(*[F.lit(x) for x in names]), at.cast("int"))
     n = F.col("n")
-    return spark.range(130).select(F.col("id").alias("n")).withColumn("s", F.concat(F.repeat(F.lit("c"), F.floor(n / 100).cast("int")), digit(tens, F.floor(n / 10) % 10), digit(ones, n % 10)))
+    return table(spark, sf_dir, "orders").select((F.col("o_orderkey") % 130).alias("n")).distinct().withColumn("s", F.concat(F.repeat(F.lit("c"), F.floor(n / 100).cast("int")), digit(tens, F.floor(n / 10) % 10), digit(ones, n % 10)))
 
 
 @query(ROMANS + " select n, s, case when n > 0 then n::integer end as value, case when length(s) between 2 and 7 and n between 1 and 99 then n::integer end as page_number from r")
 def roman_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _romans(spark).select("n", "s", X.roman_value(F.col("s")).alias("value"), X.number_value(F.col("s")).alias("page_number"))
+    return _romans(spark, sf_dir).select("n", "s", X.roman_value(F.col("s")).alias("value"), X.number_value(F.col("s")).alias("page_number"))
 
 
 @query("select o_orderkey, case when o_orderkey < 10000 then o_orderkey::integer end as audit_value, case when o_orderkey < 10000 and not (o_orderkey between 1500 and 2099) then o_orderkey::integer end as strip_value from orders")
@@ -211,6 +211,28 @@ def word_sample_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.groupBy("book_id").agg(F.count(F.lit(1)).alias("docs"), F.sum("chars").alias("chars"), F.max("pos").alias("last_doc"))
 
 
+CLEAN_SQL = "regexp_replace(regexp_replace(regexp_replace(text, '<script\\b.*?</script>|<style\\b.*?</style>', ' ', 'gis'), '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g')"
+LETTERS_SQL = "regexp_replace(clean, '[^\\p{L}]+', '', 'g')"
+SCRIPT_SQL = " + ".join(f"len(regexp_extract_all(head, '[{'-'.join(f'\\x{{{x}}}' for x in span.split('-'))}]'))" for span in X.SCRIPTS.values())
+
+
+@query(
+    f"with d as (select book_id, pos, {CLEAN_SQL} clean from ({DOCS}) where book_id is not null), r as (select *, coalesce(sum(length(clean)) over (partition by book_id order by pos rows between unbounded preceding and 1 preceding), 0) before, max(pos) over (partition by book_id) top from d), "
+    f"s as (select book_id, pos, clean, regexp_extract_all(lower(clean), '{X.WORD.replace(chr(39), chr(39) * 2)}') w, {LETTERS_SQL} l from r where before < 400000 or pos = top), "
+    "b as (select *, coalesce(sum(least(len(w), 5000)) over o, 0) wb, coalesce(sum(length(l)) over o, 0) lb from s window o as (partition by book_id order by pos rows between unbounded preceding and 1 preceding)), "
+    "h as (select book_id, list_slice(w, 1, greatest(0, 5000 - wb)) w, l[1:greatest(0, 250000 - lb)] head from b), "
+    f"v as (select book_id, unnest(w) w from h), k as ({STOPS}), n as (select book_id, count(*) nwords from v group by all), c as (select book_id, {', '.join(f'count(*) filter (code = {chr(39)}{c}{chr(39)}) hits_{c}' for c in analyzers.LANGUAGES)} from v join k using (w) group by all), "
+    f"m as (select book_id, sum(length(head))::bigint letters, sum({SCRIPT_SQL})::bigint nonlatin from h group by all) "
+    f"select book_id, coalesce(nwords, 0)::bigint as nwords, {', '.join(f'coalesce(hits_{c}, 0)::bigint as hits_{c}' for c in analyzers.LANGUAGES)}, letters, nonlatin from m left join n using (book_id) left join c using (book_id)"
+)
+def content_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the content signal reads of each source: the first 5,000 words and 250,000 letters of its joined sample."""
+    docs = text_docs(table(spark, sf_dir, "documents")).where("book_id is not null")
+    clean = docs.select("book_id", "pos", X.content_clean(F.col("text")).alias("clean"))
+    kept = analyzers.content_sample(clean.select("book_id", "pos", F.col("clean").alias("text"))).select("book_id", "pos")
+    return analyzers.content_counts(clean.join(kept, ["book_id", "pos"])).drop("sign")
+
+
 # Blocks
 
 LINES = f"select book_id, pos, trim(l) text from (select book_id, pos, unnest(string_split(text, chr(10))) l from ({DOCS})) where trim(l) <> ''"
@@ -608,11 +630,11 @@ def undeclared_resources(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Gate
 
 @query(
-    "with v as (select range v from range(4)), m as (select a.v bf, b.v be, c.v af, d.v ae from v a, v b, v c, v d) select bf, be, af, ae, case when af > bf then 'reject' when bf > 0 then (case when af = 0 then 'accept' when af < bf then 'partial' else 'noop' end) when ae > be then 'reject' when ae < be then 'accept' else 'noop' end as verdict, not (af > bf or (bf = 0 and ae > be)) as no_worse from m"
+    "with m as (select l_orderkey book_id, l_linenumber k, l_partkey % 4 bf, l_suppkey % 4 be, (l_orderkey + l_linenumber) % 4 af, (l_orderkey // 4) % 4 ae from lineitem) select book_id, k, bf, be, af, ae, case when af > bf then 'reject' when bf > 0 then (case when af = 0 then 'accept' when af < bf then 'partial' else 'noop' end) when ae > be then 'reject' when ae < be then 'accept' else 'noop' end as verdict, not (af > bf or (bf = 0 and ae > be)) as no_worse from m"
 )
 def gate_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = F.col("id")
-    m = spark.range(256).select(*[(F.floor(n / 4**k) % 4).alias(c) for k, c in enumerate(("bf", "be", "af", "ae"))])
+    book, k = F.col("l_orderkey"), F.col("l_linenumber")
+    m = table(spark, sf_dir, "lineitem").select(book.alias("book_id"), k.alias("k"), (F.col("l_partkey") % 4).alias("bf"), (F.col("l_suppkey") % 4).alias("be"), ((book + k) % 4).alias("af"), (F.floor(book / 4) % 4).alias("ae"))
     four = [F.col(c) for c in ("bf", "be", "af", "ae")]
     return m.select("*", gate.gate(*four).alias("verdict"), gate.no_worse(*four).alias("no_worse"))
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from vellumspark.operators import package_files as P
 from vellumspark.operators import runs, toc
 from vellumspark.plans.catalogue import HOST, NAV, PATH, query
-from vellumspark.sources.tables import page_docs, table
+from vellumspark.sources.tables import page_docs, settled, table
 
 
 def text(*parts) -> Column:
@@ -72,7 +72,7 @@ def package_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
     refs = joined(rows.where("flag <> 'R'"), text('<itemref idref="i', F.col("k"), '"/>')).withColumnRenamed("s", "r")
     files = joined(rows, item).join(refs, "book_id", "left").select("book_id", F.lit("content.opf").alias("path"), text("<package><manifest>", F.col("s"), '</manifest><spine toc="i1">', F.coalesce("r", F.lit("")), "</spine></package>").alias("text"))
     names = rows.select("book_id", text("f", F.col("supp") % 50, ".jpg").alias("path"))
-    out = P.written(files, P.prune_missing(P.elements(files).persist(), names))
+    out = P.written(files, P.prune_missing(settled(P.elements(files), "elements"), names))
     return out.select("book_id", F.md5("text").alias("digest"), *fixes(out, "manifest_items_pruned", "prune_edges_rewritten"))
 
 
@@ -86,7 +86,7 @@ def package_declare(spark: SparkSession, sf_dir: str) -> DataFrame:
     file = lambda key, every: text("img/f", key % 20, F.when(key % every == 0, ".png").otherwise(".txt"))
     files = rows.select("book_id").distinct().select("book_id", F.lit("content.opf").alias("path"), F.lit('<package><manifest><item id="a" href="img/f1.png"/></manifest></package>').alias("text"))
     refs = rows.select("book_id", file(F.col("part"), 3).alias("target")).withColumn("href", F.col("target"))
-    out = P.written(files, P.declare_missing(P.elements(files).persist(), refs, rows.select("book_id", file(F.col("supp"), 2).alias("path"))))
+    out = P.written(files, P.declare_missing(settled(P.elements(files), "elements"), refs, rows.select("book_id", file(F.col("supp"), 2).alias("path"))))
     return out.select("book_id", F.md5("text").alias("digest"), *fixes(out, "manifest_items_declared"))
 
 
@@ -100,7 +100,7 @@ def package_identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = F.when(size % 4 == 0, text(size, ":", F.col("p_partkey"))).when(size % 4 == 1, "a b").when(size % 4 == 2, "ok").otherwise("")
     body = text('<package unique-identifier="', F.when(size % 3 == 0, "u").otherwise("9u"), '"><dc:identifier', F.when(size % 5 == 0, ' id="own"').otherwise(""), '>x</dc:identifier><meta name="cover" content="', own, '"/><manifest><item id="', own, '"/></manifest><spine><itemref idref="', own, '"/></spine></package>')
     files = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("book_id"), F.lit("content.opf").alias("path"), body.alias("text"))
-    opf = P.elements(files).persist()
+    opf = settled(P.elements(files), "elements")
     out = P.written(files, P.all_of([P.manifest_ids(opf), P.unique_identifier(opf)]))
     return out.select("book_id", "text", *fixes(out, "fix_manifest_ids", "unique_identifier_wired"))
 
@@ -113,7 +113,7 @@ def ncx_identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     books = table(spark, sf_dir, "customer").select(key.alias("book_id"), (key % 3).alias("m"))
     opf = books.where("m < 2").select("book_id", F.lit("content.opf").alias("path"), text('<package unique-identifier="u"><dc:identifier id="u">', F.when(F.col("m") == 0, text("urn:", F.col("book_id"))).otherwise("same"), "</dc:identifier></package>").alias("text"))
     ncx = books.select("book_id", F.lit("toc.ncx").alias("path"), text('<ncx><head><meta content="', F.when(F.col("m") == 1, "same").otherwise("old"), '" name="dtb:uid"/></head><pageList/><pageList id="page-list-2" class="pages"/></ncx>').alias("text"))
-    rows = P.elements(ncx).persist()
+    rows = settled(P.elements(ncx), "elements")
     out = P.written(ncx, P.all_of([P.ncx_uid(rows, P.elements(opf)), P.page_list_class(rows)]))
     # The new class stands before the new id; SQL names them in the order of the tag above.
     plain = F.replace("text", F.lit('<pageList class="pages" id="page-list"/>'), F.lit('<pageList id="page-list"/>'))

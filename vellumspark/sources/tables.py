@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +15,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def settled(df: DataFrame, name: str) -> DataFrame:
+    """df as a table in the folder that spark.checkpoint.dir names, so that what reads it several times computes it once
+    and no executor has to remember it; in local mode, where that is unset, in a temporary folder."""
+    spark = df.sparkSession
+    path = f"{work_folder(spark)}/{name}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def work_folder(spark: SparkSession) -> str:
+    """A new folder that the driver and all executors share."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="vellumspark-")
+    return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
+
+
 def page_docs(pages: DataFrame) -> DataFrame:
     """book_id (host), pos, path, html of web pages."""
     return pages.select(X.host(F.col("url")).alias("book_id"), F.col("page_id").alias("pos"), X.url_path(F.col("url")).alias("path"), "html")
