@@ -8,11 +8,11 @@ each copy of a document the time at which its first word is due. Documents are s
 
 Targets share the total size by weight; none exceeds `most` times its source's size, the excess is reshared by weight.
 Within a source documents are taken in the order of a hash of id and text: whole rounds, then one more copy up to the
-remaining budget; the document in which the budget ends is cut there. So a source takes its target to the word, or less
-by fewer words than the rows that repeat the document in which it ends, as these are all cut at the same place.
+remaining budget; the document in which the budget ends is cut there. Where rows repeat that document, what is left is
+dealt among them, so that some of them take one word more: a source takes its target to the word.
 
 Defined results: a null or empty text has size 0 and takes 0; a null source is a source of its own, last in order; a
-source without words has target 0; rows that repeat (same id, text and source) take and are due alike; rows that share an
+source without words has target 0; rows that repeat (same id, text and source) take alike but for that word, and are due alike; rows that share an
 id, or have none, but differ in text are planned each by itself; an empty table gives an empty result.
 """
 
@@ -72,7 +72,8 @@ def due(share: Column, tilt: Column) -> Column:
 
 def planned(docs: DataFrame, most: float = 3.0, words: str = WORD) -> DataFrame:
     """One row for each different document (doc_id, source, text_key) with copies (how many rows it has), size,
-    source_size, target, taken by each row and positions: the time in [0, 1] at which each of its copies is due."""
+    source_size, target, taken by each row and positions: the time in [0, 1] at which each of its copies is due; `more` of
+    its rows have taken_more and positions_more instead."""
     parts = shuffle_partitions(docs.sparkSession)
     # The order within a source: 60 bits of a hash that SQL engines have in common.
     text_key = F.md5(F.coalesce("text", F.lit("")))
@@ -96,12 +97,24 @@ def planned(docs: DataFrame, most: float = 3.0, words: str = WORD) -> DataFrame:
     rounds = F.when(F.col("source_size") > 0, F.floor(budget / F.greatest("source_size", F.lit(1)))).otherwise(0)
     out = placed.select("doc_id", F.col("d.source").alias("source"), "text_key", "copies", F.col("own_size").alias("size"), "source_size", "target", "tilt", budget.alias("budget"), rounds.alias("rounds"), (F.col("before") + F.col("offset")).alias("start"))
     rest = F.greatest(F.lit(0), F.least(F.col("size") * F.col("copies"), F.col("budget") - F.col("rounds") * F.col("source_size") - F.col("start")))
-    out = out.withColumn("rest", F.floor(rest / F.col("copies")))
-    taken = F.least((F.col("rounds") * F.col("size") + F.col("rest")).cast("long"), (most * F.col("size")).cast("long"))
-    times = F.col("rounds") + F.when(F.col("rest") > 0, 1).otherwise(0)
-    each = F.transform(F.sequence(F.lit(0), times.cast("int") - 1), lambda k: due(F.least(F.lit(1.0), (F.col("start") + k * F.col("source_size")) / F.greatest("target", F.lit(1.0))), F.col("tilt")))
-    positions = F.when(F.col("taken") > 0, each).otherwise(F.array().cast("array<double>"))
-    return out.withColumn("taken", taken).withColumn("positions", positions).drop("tilt", "budget", "rounds", "start", "rest")
+    out = out.withColumn("rest", rest.cast("long")).withColumns({"more": F.pmod("rest", "copies"), "rest": F.floor(F.col("rest") / F.col("copies"))})
+
+    def copies_with(own: Column) -> tuple[Column, Column]:
+        taken = F.least((F.col("rounds") * F.col("size") + own).cast("long"), (most * F.col("size")).cast("long"))
+        times = F.col("rounds") + F.when(own > 0, 1).otherwise(0)
+        each = F.transform(F.sequence(F.lit(0), times.cast("int") - 1), lambda k: due(F.least(F.lit(1.0), (F.col("start") + k * F.col("source_size")) / F.greatest("target", F.lit(1.0))), F.col("tilt")))
+        return taken, F.when(taken > 0, each).otherwise(F.array().cast("array<double>"))
+
+    (taken, positions), (taken_more, positions_more) = copies_with(F.col("rest")), copies_with(F.col("rest") + 1)
+    out = out.withColumns({"taken": taken, "positions": positions, "taken_more": taken_more, "positions_more": positions_more})
+    return out.drop("tilt", "budget", "rounds", "start", "rest")
+
+
+def chosen(plan: DataFrame, number: Column) -> DataFrame:
+    """plan with taken, positions and position of the row of that number (from 1) among a document's repeats."""
+    extra = number <= F.col("more")
+    plan = plan.withColumns({"taken": F.when(extra, F.col("taken_more")).otherwise(F.col("taken")), "positions": F.when(extra, F.col("positions_more")).otherwise(F.col("positions"))})
+    return plan.withColumn("position", F.get("positions", F.lit(0))).drop("more", "taken_more", "positions_more")
 
 
 def mix(docs: DataFrame, most: float = 3.0, words: str = WORD) -> DataFrame:
@@ -109,9 +122,8 @@ def mix(docs: DataFrame, most: float = 3.0, words: str = WORD) -> DataFrame:
 
     positions: when each copy is due; position: the first of them, null where nothing of the document is taken.
     """
-    plan = planned(docs, most, words).withColumn("position", F.get("positions", F.lit(0)))
-    # A document's rows again: all alike, so they need no order among themselves.
-    rows = plan.withColumn("__row", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select("doc_id", "size", "source_size", "target", "taken", "position", "positions", "source")
+    plan = planned(docs, most, words).withColumn("__row", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
+    rows = chosen(plan, F.col("__row")).select("doc_id", "size", "source_size", "target", "taken", "position", "positions", "source")
     return rows.repartitionByRange(shuffle_partitions(docs.sparkSession), "position", "doc_id").sortWithinPartitions("position", "doc_id")
 
 
@@ -120,10 +132,17 @@ def mixed_documents(docs: DataFrame, most: float = 3.0) -> DataFrame:
 
     The mix is planned on ids and sizes; texts are moved once to meet it and once into its order.
     """
-    named = ("size", "source_size", "target", "taken", "position", "positions")
-    plan = planned(docs, most).where("taken > 0").withColumn("position", F.get("positions", F.lit(0)))
-    plan = written(plan.select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("text_key").alias("__text"), *named), "mix")
+    named = ("size", "source_size", "target", "taken", "positions", "position")
+    plan = planned(docs, most).where("taken > 0 or more > 0").withColumn("at", F.monotonically_increasing_id())
+    plan = written(plan.select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("text_key").alias("__text"), "at", *named[:-1], "more", "taken_more", "positions_more"), "mix")
     same = F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("source").eqNullSafe(F.col("__source")) & (F.md5(F.coalesce("text", F.lit(""))) == F.col("__text"))
-    rows = docs.drop(*named).join(plan, same).drop("__id", "__source", "__text")
+    rows = docs.drop(*named, "at", "more").withColumn("__row", F.monotonically_increasing_id()).join(plan, same).drop("__id", "__source", "__text")
+    # One document of a source at most ends inside its repeats: their numbers are counted in ranges, by row alone, and only
+    # their texts move again.
+    some = running(rows.where("more > 0").select("__row", "at").withColumn("one", F.lit(1).cast("long")), [F.col("at"), F.col("__row")], {"before": "one"}, "repeats")
+    first = some.groupBy("at").agg(F.min("before").alias("least"))
+    numbers = written(some.join(first, "at").select("__row", (F.col("before") - F.col("least") + 1).alias("number")), "numbers")
+    ends = chosen(rows.where("more > 0").join(numbers, "__row"), F.col("number")).drop("number")
+    rows = chosen(rows.where("more = 0"), F.lit(1)).unionByName(ends).where("taken > 0").drop("__row", "at")
     parts = shuffle_partitions(docs.sparkSession)
     return rows.repartitionByRange(parts, "position", "doc_id").sortWithinPartitions("position", "doc_id")

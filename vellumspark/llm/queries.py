@@ -84,15 +84,16 @@ t as (select source, ss, target, round(tilt - round(coalesce(sum(target * tilt)
 b as (select d.*, t.ss, t.target, t.tilt, round(t.target)::bigint budget, case when ss > 0 then round(t.target)::bigint // ss else 0 end rounds,
              coalesce(sum(size * m) over (partition by d.source order by rank, doc_id, d.k rows between unbounded preceding and 1 preceding), 0)::bigint st
       from d join t on d.source is not distinct from t.source),
-e as (select *, greatest(0, least(size * m, budget - rounds * ss - st))::bigint // m rest from b),
-m as (select *, least(rounds * size + rest, 3 * size)::bigint taken, rounds + (rest > 0)::int copies from e),
+e as (select *, greatest(0, least(size * m, budget - rounds * ss - st))::bigint whole from b),
+x as (select e.*, whole // m + (i < whole % m)::int rest from e, lateral (select unnest(range(m)) i)),
+m as (select *, least(rounds * size + rest, 3 * size)::bigint taken, rounds + (rest > 0)::int copies from x),
 u as (select *, least(1.0::double, st::double / greatest(target, 1.0::double)) first_, least(1.0::double, (st + (copies - 1) * ss)::double / greatest(target, 1.0::double)) last_ from m)
 select doc_id, size, ss as source_size, round(target, 6) as target, taken,
        round(case when taken > 0 then (case when abs(tilt) < 1e-9 then first_
          else (1 + tilt - sqrt(greatest((1 + tilt) * (1 + tilt) - 4 * tilt * first_, 0))) / (2 * tilt) end) end, 6) + 0.0::double as position,
        round(case when taken > 0 then (case when abs(tilt) < 1e-9 then last_
          else (1 + tilt - sqrt(greatest((1 + tilt) * (1 + tilt) - 4 * tilt * last_, 0))) / (2 * tilt) end) end, 6) + 0.0::double as last_position, source
-from u, lateral (select unnest(range(m)))
+from u
 """
 
 
