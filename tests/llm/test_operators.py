@@ -15,7 +15,7 @@ from tokenizers import Tokenizer
 
 from tables import SF
 from vellumspark.llm import decontamination, fingerprints, language_id, language_model, line_dedup, mixing, near_dups, quality, sampling, token_counts, toxicity
-from vellumspark.llm.common import hash_words, held_out, row_blocks, searched, shuffle_partitions
+from vellumspark.llm.common import hash_words, held_out, searched
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -372,23 +372,14 @@ def test_line_dedup_of_odd_rows(odd, none):
 
 
 def brute_classes(texts, docs):
-    """Classes by all pairs; documents that are alike count once for each block that the operator deals them to."""
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0]
-    blocks = max(shuffle_partitions(docs.sparkSession), -(-size // near_dups.BLOCK_BYTES))
-    dealt = collections.defaultdict(list)
-    for r in row_blocks(docs.select("doc_id"), blocks).collect():
-        dealt[r.block].append(r.doc_id)
+    """Classes by all pairs; a shingle's df is the number of different texts that have it."""
     sets = {i: near_dups.shingles((t or "").encode()) for i, t in texts.items()}
-    df = collections.Counter()
-    for ids in dealt.values():
-        sieved = {i: [(sets[i][0] >> np.uint64(16)).__mul__(x).min() for x in near_dups._SIEVES] for i in ids}
-        groups: list[set] = []
-        for i in ids:
-            met = [g for g in groups if any(any(sieved[i][k : k + 2] == sieved[j][k : k + 2] for k in (0, 2, 4, 6)) for j in g)]
-            groups = [g for g in groups if g not in met] + [{i}.union(*met)]
-        for g in groups:
-            df.update({x for i in g for x in sets[i][0].tolist()})
-    idf = lambda x: 1 + near_dups.DAMP * math.log((len(texts) + 1) / (df[x] + 1)) / math.log(len(texts) + 1)
+    df, different = collections.Counter(), {}
+    for i, t in texts.items():
+        different.setdefault(t or "", i)
+    for i in different.values():
+        df.update(set(sets[i][0].tolist()))
+    idf = lambda x: 1 + near_dups.DAMP * math.log((len(different) + 1) / (df[x] + 1)) / math.log(len(different) + 1)
     weight = {i: {x: k * idf(x) for x, k in zip(h.tolist(), c.tolist())} for i, (h, c, _) in sets.items()}
     parent = {i: i for i in texts}
 
@@ -426,6 +417,30 @@ def test_large_groups_of_near_copies(spark, monkeypatch):
     assert {r.doc_id: r.class_id for r in near_dups.classes(docs).collect()} == brute_classes(texts, docs)
 
 
+def test_classes_do_not_depend_on_partitions_or_files(spark):
+    """Edits near the threshold: df, and with it every link, is the table's alone."""
+    rng = np.random.default_rng(11)
+    words, rows = [f"w{k}" for k in range(3000)], []
+    for group in range(12):
+        base = rng.choice(words, 200).tolist()
+        for _ in range(12):
+            w = list(base)
+            for at in rng.integers(0, 200, rng.integers(3, 6)):
+                w[at] = str(rng.choice(words))
+            rows.append((len(rows), " ".join(w)))
+    rows += [(1000 + k, rows[k][1]) for k in range(0, 60, 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute_classes(dict(rows), docs)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for parts, files in ((2, 1), (24, 7)):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            got = {r.doc_id: r.class_id for r in near_dups.classes(docs.repartition(files, "doc_id")).collect()}
+            assert got == want
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def test_blocks_compare_all_pairs():
     rng = np.random.default_rng(5)
     sets = []

@@ -1,15 +1,15 @@
 """Near-duplicate documents by improved consistent weighted sampling over TF-IDF shingles (operator 8).
 
 A text is a weighted set of its shingles of SHINGLE words (A-Z lowered, split at ASCII white space and punctuation; a
-shorter text is one shingle): weight = count * idf, idf = 1 + DAMP * ln((N + 1) / (df + 1)) / ln(N + 1), over N documents.
-df counts documents, but texts of a block that are alike (they share a band of two of eight minhashes, or a text that
-shares one with both) as one, and the idf is scaled by its largest value: else a group of thousands of near copies would
-be dissolved by its own frequency, as what they share would weigh a tenth of what an edit puts in.
+shorter text is one shingle): weight = count * idf, idf = 1 + DAMP * ln((N + 1) / (df + 1)) / ln(N + 1). df counts the
+different texts that have the shingle, of N in the table: copies count once, and neither partitions nor files matter. The
+idf is scaled by its largest value: else a group of thousands of near copies would be dissolved by its own frequency, as
+what they share would weigh a tenth of what an edit puts in.
 Two texts are linked if their weighted Jaccard similarity is SIMILAR or more; classes are connected components.
 
 1. Documents are dealt by row into blocks of about BLOCK_BYTES of text, so that no key makes a block large. Each block
-   sends its distinct shingle hashes, sorted and delta-coded, to the owner of their hash range, and gets back those in
-   more than one document with their df.
+   is told which of its rows are the first of their text in the table, sends the shingle hashes of those, sorted and
+   delta-coded with their counts, to the owner of their hash range, and gets back those in more than one text with their df.
 2. Only a text that owes SIMILAR of its weight to such shared shingles can have a partner; this loses no link, and only
    such texts are sampled: BANDS bands of ROWS samples each. Copies (equal words) are one text from here on.
 3. Texts that share a band are candidates. No group is turned into its pairs: first, the leader of a band's group (the
@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vellumspark.llm.common import row_blocks, shuffle_partitions, texts_of, written
+from vellumspark.llm.common import shuffle_partitions, texts_of, written
 from vellumspark.llm.components import relabelled
 
 SHINGLE, SIMILAR, DAMP = 5, 0.8, 0.5
@@ -85,29 +85,8 @@ def unpacked(data: bytes) -> np.ndarray:
     return np.cumsum(np.concatenate([first, np.frombuffer(data, np.uint32, offset=9).astype(np.uint64)]), dtype=np.uint64)
 
 
-_SIEVES = mixed(np.arange(1, 9, dtype=np.uint64) * _Q) | np.uint64(1)
-
-
-def alike(sets: list[np.ndarray]) -> np.ndarray:
-    """The number of its group for each set of a block; groups are joined by bands of two minhashes."""
-    least = np.array([[(x * sieve).min() for sieve in _SIEVES] for x in sets])
-    group = np.arange(len(sets))
-    for band in range(0, len(_SIEVES), 2):
-        _, own = np.unique(mixed(least[:, band]) ^ least[:, band + 1], return_inverse=True)
-        # Groups that meet in a band become one, that of the least number, until all bands agree.
-        while True:
-            low = np.full(own.max() + 1, len(sets))
-            np.minimum.at(low, own, group)
-            of = np.arange(len(sets))
-            np.minimum.at(of, group, low[own])
-            new = of[of[group]]
-            if (new == group).all():
-                break
-            group = new
-    return group
-
-
 def weights(counts: np.ndarray, df: np.ndarray, total: int) -> np.ndarray:
+    """df: how many of `total` different texts have the shingle."""
     return counts * (1 + DAMP * np.log((total + 1) / (df + 1)) / max(np.log(total + 1), 1e-9))
 
 
@@ -164,30 +143,38 @@ def similarity(a: tuple[bytes, bytes], b: tuple[bytes, bytes]) -> float:
 
 def sampled_texts(docs: DataFrame) -> DataFrame:
     """doc_id, text_hash, digest of each row, and for a text that can have a partner bands, hashes, weights (once in each block)."""
-    rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.coalesce("text", F.lit("")).alias("text"))
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), text.alias("text"), F.monotonically_increasing_id().alias("row"))
     size = rows.agg(F.count(F.lit(1)), F.sum(F.octet_length("text").cast("long"))).first()
-    total, blocks = size[0], max(shuffle_partitions(docs.sparkSession), -(-(size[1] or 0) // BLOCK_BYTES))
-    dealt = row_blocks(rows, blocks)
+    blocks = max(shuffle_partitions(docs.sparkSession), -(-(size[1] or 0) // BLOCK_BYTES))
+    block_of = F.pmod(F.xxhash64("row"), F.lit(blocks)).cast("int")
+    dealt = rows.withColumn("block", block_of)
+    # The first row of each different text; a text that many rows have is one row before it moves.
+    firsts = rows.groupBy(F.xxhash64("text").alias("h"), F.octet_length("text").alias("n")).agg(F.min("row").alias("row")).select("row")
+    firsts = written(firsts, "first-rows")
+    total = firsts.count()
+    firsts = firsts.withColumn("block", block_of)
     schema = "part int, block int, hashes binary, df binary"
 
-    def send(block: pa.Table) -> pa.Table:
-        own = [np.unique(shingles(t)[0] >> np.uint64(16)) for t in texts_of(block.column("text").combine_chunks())]
-        values, at, n = np.unique(np.concatenate(own), return_inverse=True, return_counts=True)
-        # Once for each group of texts that are alike; the lowest bit says whether several documents have it.
-        groups = np.unique(at * len(own) + np.repeat(alike(own), [len(x) for x in own]))
-        df = np.bincount(groups // len(own), minlength=len(values)) * 2 + (n > 1)
-        del own, at, groups
-        part = ((values >> np.uint64(16)) * np.uint64(blocks)) >> np.uint64(32)
-        cuts = np.flatnonzero(np.diff(part)) + 1
-        found = [(int(part[a]), packed(values[a:b]), df[a:b].astype(np.uint32).tobytes()) for a, b in zip([0, *cuts], [*cuts, len(values)], strict=True)]
-        return pa.table([pa.array([x[0] for x in found], pa.int32()), pa.array([block.column("block")[0].as_py()] * len(found), pa.int32()), pa.array([x[1] for x in found], pa.binary()), pa.array([x[2] for x in found], pa.binary())], ["part", "block", "hashes", "df"])
+    def send(block: pa.Table, first: pa.Table) -> pa.Table:
+        wanted = np.isin(block.column("row").to_numpy(), first.column("row").to_numpy()) if first.num_rows else np.zeros(block.num_rows, bool)
+        own = [np.unique(shingles(t)[0] >> np.uint64(16)) for t in texts_of(block.column("text").filter(pa.array(wanted)).combine_chunks())]
+        found: list[tuple] = []
+        if own:
+            values, df = np.unique(np.concatenate(own), return_counts=True)
+            del own
+            part = ((values >> np.uint64(16)) * np.uint64(blocks)) >> np.uint64(32)
+            cuts = np.flatnonzero(np.diff(part)) + 1
+            found = [(int(part[a]), packed(values[a:b]), df[a:b].astype(np.uint32).tobytes()) for a, b in zip([0, *cuts], [*cuts, len(values)], strict=True)]
+        at = block.column("block")[0].as_py() if block.num_rows else -1
+        return pa.table([pa.array([x[0] for x in found], pa.int32()), pa.array([at] * len(found), pa.int32()), pa.array([x[1] for x in found], pa.binary()), pa.array([x[2] for x in found], pa.binary())], ["part", "block", "hashes", "df"])
 
     def count(part: pa.Table) -> pa.Table:
         each = [unpacked(x) for x in part.column("hashes").to_pylist()]
         df = np.concatenate([np.frombuffer(x, np.uint32) for x in part.column("df").to_pylist()])
-        _, at, n = np.unique(np.concatenate(each), return_inverse=True, return_counts=True)
-        several = np.bincount(at, weights=df & 1) + n > 1
-        df = np.where(several, np.bincount(at, weights=df >> 1), 0).astype(np.uint32)[at]
+        _, at = np.unique(np.concatenate(each), return_inverse=True)
+        whole = np.bincount(at, weights=df)
+        df = np.where(whole > 1, whole, 0).astype(np.uint32)[at]
         ends = np.cumsum([len(x) for x in each])
         out: list[tuple] = []
         for block, values, end in zip(part.column("block").to_pylist(), each, ends, strict=True):
@@ -227,9 +214,9 @@ def sampled_texts(docs: DataFrame) -> DataFrame:
                 column.append(x)
         return pa.table([block.column("doc_id").combine_chunks(), block.column("text_hash").combine_chunks(), pa.array(out[0], pa.binary()), pa.array(out[1], pa.list_(pa.int64())), pa.array(out[2], pa.binary()), pa.array(out[3], pa.binary()), pa.array(out[4], pa.float64()), pa.array(out[5], pa.float64())], ["doc_id", "text_hash", "digest", "bands", "hashes", "weights", "total", "centre"])
 
-    pieces = dealt.groupBy("block").applyInArrow(send, schema)
+    pieces = dealt.select("block", "row", "text").groupBy("block").cogroup(firsts.groupBy("block")).applyInArrow(send, schema)
     shared = pieces.groupBy("part").applyInArrow(count, schema).select("block", "hashes", "df")
-    return dealt.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(sample, "doc_id long, text_hash long, digest binary, bands array<long>, hashes binary, weights binary, total double, centre double")
+    return dealt.drop("row").groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(sample, "doc_id long, text_hash long, digest binary, bands array<long>, hashes binary, weights binary, total double, centre double")
 
 
 def named(rows: DataFrame, digests: DataFrame) -> DataFrame:
