@@ -114,6 +114,18 @@ def test_fingerprints_of_odd_rows(odd, none):
     assert fingerprints.fingerprints(none).count() == 0
 
 
+def test_an_id_that_is_hot_among_others_is_spread(spark):
+    """Two thirds of the rows share an id that stands in the middle of others: no task gets them all, and the order is kept."""
+    rows = [(i, f"text number {i} of many words") for i in range(300)] + [(150, f"again {k} other words {k % 7}") for k in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    paired = fingerprints.with_next(docs).withColumn("at", F.spark_partition_id())
+    assert max(r["count"] for r in paired.groupBy("at").count().collect()) < 400
+    got = {(r.doc_id, r.text): r.next_text for r in paired.select("doc_id", "text", "next_text").collect()}
+    tie = {r.t: r.h for r in docs.select(F.col("text").alias("t"), F.xxhash64("text").alias("h")).collect()}
+    order = sorted(rows, key=lambda r: (r[0], tie[r[1]]))
+    assert got == {row: order[(k + 1) % len(order)][1] for k, row in enumerate(order)}
+
+
 def test_binary_search(spark):
     bounds = [-5, 0, 3, 3, 10]
     got = spark.range(-8, 14).select("id", searched(bounds, F.col("id")).alias("n")).collect()

@@ -12,6 +12,8 @@ order of doc_id (null first), then of a hash of the text; an empty table gives a
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -94,7 +96,9 @@ def with_next(docs: DataFrame) -> DataFrame:
     buckets = 2 * parts
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     at = rows.agg(F.percentile_approx("doc_id", [i / buckets for i in range(1, buckets)], 100 * buckets)).first()[0]
-    bounds = sorted(set(at or []))
+    # An id on which several bounds fall holds more than a bucket's share: it gets a bucket of its own, the ids after it another.
+    often = {v for v, n in Counter(at or []).items() if n > 1}
+    bounds = sorted(set(at or []) | {v + 1 for v in often if v < (1 << 63) - 1})
     # Null ids come first, in a bucket of their own.
     keyed = rows.withColumn("bucket", F.when(F.col("doc_id").isNull(), -1).otherwise(searched(bounds, F.col("doc_id"))))
     found = keyed.groupBy("bucket").agg(F.min("doc_id"), F.max("doc_id"), F.count(F.lit(1))).collect()
