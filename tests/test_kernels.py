@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 from tables import SF
 from vellumspark.functions import text as X
-from vellumspark.functions import kernels
+from vellumspark.functions import kernels, markup
 from vellumspark.operators import census, repair
+from vellumspark.operators import package_files as P
 from vellumspark.plans import audit, catalogue
 from vellumspark.sources import archive
 from vellumspark.streaming import census as stream
@@ -125,6 +126,12 @@ def repaired(spark, name, text):
         ("strip-invalid-value", '<li class="a" value="3">x</li><input value="4">', '<li  class="a" >x</li><input value="4">', 1),
         ("strip-broken-tags", "a/p&gt;b&lt;/div&gt;c</p&gt;&lt;/xyz&gt;", "abc</p&gt;&lt;/xyz&gt;", 2),
         ("fix-unterminated-attr", '<p class="x>a</p><p title="a>b">', '<p class="x">a</p><p title="a>b">', 1),
+        ("unwrap-block-in-inline", '<span class="q"> <div>x</div> </span><span>a<p>b</p></span><span><span><p>1</p><p>2</p></span></span>', '<div>x</div><span>a<p>b</p></span><p>1</p><p>2</p>', 3),
+        ("fix-empty-body", "<!-- <body></body> --><body id='b'> \n</body>", "<!-- <body></body> --><body id='b'> \n<p>&#160;</p></body>", 1),
+        ("fix-unterminated-attr", '<li class="x>a</li><!-- <p class="y>c --><li class="z>b', '<li class="x">a</li><!-- <p class="y>c --><li class="z">b', 2),
+        ("escape-unknown-entities", '<!DOCTYPE html PUBLIC "a [b" "c>d"><p>&zork;</p>', '<!DOCTYPE html PUBLIC "a [b" "c>d"><p>&amp;zork;</p>', 1),
+        ("escape-unknown-entities", '<!DOCTYPE html [ <!ENTITY zork "]>"> ]><p>&zork;</p>', '<!DOCTYPE html [ <!ENTITY zork "]>"> ]><p>&zork;</p>', 0),
+        ("escape-unknown-entities", "<!-- <!DOCTYPE x [ ]> --><!DOCTYPE html><p>&zork;</p>", "<!-- <!DOCTYPE x [ ]> --><!DOCTYPE html><p>&amp;zork;</p>", 1),
         ("encode-url-spaces", '<a href="a b.htm" data-href="a b">href="a b"</a>', '<a href="a%20b.htm" data-href="a b">href="a b"</a>', 1),
     ],
 )
@@ -132,6 +139,23 @@ def test_repairs(spark, name, text, want, n):
     assert repaired(spark, name, text) == (want, n)
 
 
+def test_document_types(spark):
+    """Quotes hide brackets, comments hide declarations, a subset or a declaration that never ends stays."""
+    new = "<!DOCTYPE html>"
+    cases = {'<!DOCTYPE html PUBLIC "[x]" "y>">': new, "<!DOCTYPE html [<!ENTITY a 'b'>]>": None, "<!-- <!DOCTYPE a> --><!DOCTYPE b>": "<!-- <!DOCTYPE a> -->" + new, "<!DOCTYPE b <html>": None, "<?xml version='1.0'?>\n<!doctype\n html>": "<?xml version='1.0'?>\n" + new, "<p><!DOCTYPE b>": None}
+    frame = spark.createDataFrame([(k + "<x/>", 3) for k in cases], "html string, major int")
+    got = repair.applied(frame, [repair.Whole(repair.doctype(F.col("major")))]).collect()
+    assert [r.html for r in got] == [(v or k) + "<x/>" for k, v in cases.items()]
+    tokens = [(t.kind, t.name) for t in markup.tokens("<!DOCTYPE a [<!-- ] ' --><!ENTITY b '>]'>]><p>")]
+    assert tokens == [("special", "<!"), ("open", "p")]
+
+
+def test_numbers_that_are_no_characters(spark):
+    assert kernels.decode_numeric_refs("&#xD800;&#233;&#57343;&#xE000;") == "&#xD800;é&#57343;\ue000"
+    docs = spark.createDataFrame([("b", "a.xhtml", '<a href="x&#xD800;.htm">&#55296;</a>')], "book_id string, path string, text string")
+    assert P.elements(docs).count() == 1
+
+
 def package(path, files):
     with zipfile.ZipFile(path, "w") as z:
         for name, data in files:

@@ -16,6 +16,8 @@ RAW = frozenset(("script", "style"))
 _SPECIAL = (("<!--", "-->"), ("<![CDATA[", "]]>"), ("<?", "?>"), ("<!", ">"))
 _NAME = re.compile(r"<(/?)([A-Za-z][\w:.-]*)")
 _REST = re.compile(r"""(?:[^"'>]|"[^"]*"|'[^']*')*+>""")
+#: A document type to its end: quotes, and the internal subset with its comments, instructions and quotes, hide a `>`.
+_DOCTYPE = re.compile(r"""<!DOCTYPE(?:[^"'<>\[]|"[^"]*"|'[^']*')*+(?:\[(?:<!--.*?-->|<\?.*?\?>|[^\]"'<]|<|"[^"]*"|'[^']*')*+\]\s*)?>""", re.I | re.S)
 _ATTRIBUTE = re.compile(r"""\s+([A-Za-z_][\w:.-]*)\s*=\s*(?:"([^"]*)"|'([^']*)')""")
 
 
@@ -45,7 +47,8 @@ def tokens(source: str, at: int = 0) -> Iterator[Token]:
         special = next((p for p in _SPECIAL if source.startswith(p[0], at)), None)
         name = None if special else _NAME.match(source, at)
         if special:
-            found = source.find(special[1], at + len(special[0]))
+            declared = _DOCTYPE.match(source, at) if special[0] == "<!" else None
+            found = declared.end() - 1 if declared else source.find(special[1], at + len(special[0]))
             end = found + len(special[1]) if found >= 0 else -1
         elif name:
             rest = _REST.match(source, name.end())

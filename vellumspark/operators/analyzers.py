@@ -50,6 +50,17 @@ def emptytext(docs: DataFrame, min_chars: int = MIN_CHARS, thin_chars: int = THI
     return books.withColumn("status", empty_class(F.col("chars"), F.col("placeholder_sig") | repeated, None, min_chars, thin_chars))
 
 
+#: How images are named, and what one store leaves in its archives.
+IMAGES, BOOKMATE = (".png", ".jpg", ".jpeg", ".gif", ".webp", ".svg"), ("bookmate.css", "calibre_bookmarks.txt")
+
+
+def entry_signals(names: DataFrame) -> DataFrame:
+    """book_id, images, bookmate: how many entries (names: book_id, path) are images, and whether any is such a marker."""
+    name = F.lower("path")
+    ends = lambda many, test: F.exists(F.array(*[F.lit(x) for x in many]), lambda x: test(name, x))
+    return names.groupBy("book_id").agg(F.count_if(ends(IMAGES, F.endswith)).alias("images"), F.bool_or(ends(BOOKMATE, F.contains)).alias("bookmate"))
+
+
 def stub_class(docs: DataFrame, repeat: int = STUB_REPEAT, share: float = STUB_SHARE) -> DataFrame:
     """The most repeated short text of each book (first in reading order among equals) if it is a stub class.
 

@@ -84,6 +84,11 @@ def repeated_titles(docs: DataFrame, own: DataFrame, repeat: int = 3) -> DataFra
     return found.select("book_id", "norm", "title", "n", "first_pos")
 
 
+def ranked_titles(titles: DataFrame) -> DataFrame:
+    """Titles of repeated_titles with their rank in the book: the most repeated first, then in reading order."""
+    return titles.withColumn("rank", F.row_number().over(Window.partitionBy("book_id").orderBy(F.desc("n"), "first_pos")))
+
+
 def signature_hits(docs: DataFrame, signatures: dict[str, str]) -> DataFrame:
     """book_id, pos, name of each signature in each text: a fixed list of patterns, tried in one pass over the rows."""
     hits = F.array_compact(F.array(*[F.when(F.col("text").rlike(p), F.lit(name)) for name, p in signatures.items()]))

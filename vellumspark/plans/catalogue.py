@@ -381,13 +381,16 @@ def toc_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
 HEADS = f"with h as (select split_part({HOST}, '.', 1) book_id, page_id pos, {sql_visible(chr(114) + 'egexp_extract(replace(html, ' + chr(39) + '</title>' + chr(39) + ', case when page_id % 5 = 0 then ' + chr(39) + ' Volume 5</title>' + chr(39) + ' else ' + chr(39) + '</title>' + chr(39) + ' end), ' + chr(39) + '(?is)<title[^>]*>(.*?)</title>' + chr(39) + ', 1)')} title from pages), k as (select *, trim(regexp_replace(lower(title), '[^a-z0-9]+', ' ', 'g')) norm, trim(regexp_replace(lower(book_id), '[^a-z0-9]+', ' ', 'g')) own from h), "
 
 
-@query(
+FOREIGN_TITLES = (
     HEADS
     + "g as (select book_id, norm, own, count(*) n, arg_min(title, pos) title, min(pos) first_pos from k where norm <> '' and length(title) between 3 and 100 group by all), "
     "m as (select *, trim(regexp_replace(lower(regexp_replace(title, 'Volume 5', ' ')), '[^a-z0-9]+', ' ', 'g')) bare, title like '%Volume 5%' marked from g), "
     "f as (select *, not (length(own) >= 4 and (contains(norm, own) or contains(own, norm) or (bare <> '' and (contains(bare, own) or contains(own, bare))))) foreign_ from m) "
     "select book_id, norm, title, n, first_pos from f where foreign_ and ((marked and length(regexp_replace(split_part(title, 'Volume 5', 1), '[^\\p{L}]', '', 'g')) >= 4) or n >= 3)"
 )
+
+
+@query(FOREIGN_TITLES)
 def foreign_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = page_docs(table(spark, sf_dir, "pages")).withColumn("book_id", F.split_part("book_id", F.lit("."), F.lit(1)))
     stamp = F.when(F.col("pos") % 5 == 0, F.replace("html", F.lit("</title>"), F.lit(" Volume 5</title>"))).otherwise(F.col("html"))
@@ -395,6 +398,22 @@ def foreign_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toc.repeated_titles(docs.withColumn("html", stamp), own)
 
 
+@query(f"select book_id, title, n, row_number() over (partition by book_id order by n desc, first_pos)::integer as rank from ({FOREIGN_TITLES})")
+def ranked_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toc.ranked_titles(foreign_titles(spark, sf_dir)).select("book_id", "title", "n", "rank")
+
+
+@query(
+    "with n as (select c_nationkey book_id, 'p' || c_custkey || ['.JPG', '.png', '.xhtml', '/bookmate.css.map', '.jpg.txt'][c_custkey % 5 + 1] path from customer where c_custkey % 5 <> 3 or c_nationkey % 3 = 0) "
+    "select book_id, count(*) filter (regexp_matches(path, '(?i)\\.(jpg|png)$')) as images, bool_or(path like '%bookmate.css%') as bookmate from n group by all"
+)
+def entry_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("c_custkey")
+    names = table(spark, sf_dir, "customer").where((key % 5 != 3) | (F.col("c_nationkey") % 3 == 0))
+    suffix = F.get(F.array(*[F.lit(x) for x in (".JPG", ".png", ".xhtml", "/bookmate.css.map", ".jpg.txt")]), (key % 5).cast("int"))
+    return analyzers.entry_signals(names.select(F.col("c_nationkey").alias("book_id"), F.concat(F.lit("p"), key.cast("string"), suffix).alias("path")))
+
+
 @query(
     "with d as (select doc_id pos, source book_id, text || case when doc_id % 11 = 0 then ' visit JNovels today' when doc_id % 13 = 0 then ' Kokoro  Connect' when doc_id % 17 = 0 then ' download your favorite novels' else '' end t from documents) "
     "select book_id, pos, name from (select book_id, pos, unnest([case when regexp_matches(lower(t), '\\bjnovels\\b') then 'jnovels' end, case when regexp_matches(lower(t), '\\bkokoro\\s+connect\\b') then 'kokoro connect' end, case when regexp_matches(lower(t), '\\bdownload your favorite novels\\b') then 'light-novel plug' end]) name from d) where name is not null"
