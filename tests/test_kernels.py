@@ -4,11 +4,13 @@ import io
 import zipfile
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tables import SF
 from vellumspark.functions import text as X
-from vellumspark.functions import kernels, markup
+from vellumspark.functions import kernels, lenient, markup
 from vellumspark.operators import census, repair
 from vellumspark.operators import package_files as P
 from vellumspark.plans import audit, catalogue
@@ -139,6 +141,34 @@ def test_repairs(spark, name, text, want, n):
     assert repaired(spark, name, text) == (want, n)
 
 
+@pytest.mark.parametrize(
+    ("source", "body"),
+    [
+        ("<html><head><title>t</title></head><body><p>one<p>two <b>x <i>y</b> z</i></body></html>", "<p>one</p><p>two <b>x <i>y</i></b><i> z</i></p>"),
+        ("<html><body><ul><li>a<li>b</ul><table><tr><td>1<td>2<tr><td>3</table><br>1 < 2 &nbsp;&eacute;", "<ul><li>a</li><li>b</li></ul><table><tr><td>1</td><td>2</td></tr><tr><td>3</td></tr></table><br/>1 &lt; 2 \xa0é"),
+        ("<html><p class=a class=b 1x=y hidden z:q='1'>text<div>block</p></div></span>", '<p class="a" hidden="hidden">text</p><div>block</div>'),
+        ("<html><body><dl><dt>a<dd>b</dl><!-- a -- b --><script>if (a < b && c) x()</script>", "<dl><dt>a</dt><dd>b</dd></dl><!-- a - - b --><script>if (a &lt; b &amp;&amp; c) x()</script>"),
+        ("<html><body><svg><linearGradient id='g'></svg><a href='q?a=1&b=2'>z", '<svg><linearGradient id="g"></linearGradient></svg><a href="q?a=1&amp;b=2">z</a>'),
+    ],
+)
+def test_lenient_reading(source, body):
+    new, n = lenient.reserialized(source)
+    assert n == 1 and new.endswith(f"<body>{body}</body></html>") and kernels.is_well_formed(new) and lenient.reserialized(new) == (new, 0)
+
+
+def test_lenient_reading_is_refused():
+    for source in ("<page><p>open</page>", "<html><body><p>well</p></body></html>", "", "<htmlx><p></htmlx>"):
+        assert lenient.reserialized(source) == (source, 0)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from(["<p>", "</p>", "<b>", "</b>", "<i x=1>", "</i>", "<div>", "</div>", "<ul>", "<li>", "</ul>", "<br>", "a ", "&amp;", "<", "<head>", "<body>", "</body>", "<td>", "<table>", "</table>", "<tr>", "<title>t</title>", "<!--x-->"]), max_size=25))
+def test_lenient_reading_never_loses_text(parts):
+    source = "<html>" + "".join(parts)
+    new, n = lenient.reserialized(source)
+    assert lenient.letters(new) == lenient.letters(source) and (kernels.is_well_formed(new) or n == 0)
+
+
 def test_document_types(spark):
     """Quotes hide brackets, comments hide declarations, a subset or a declaration that never ends stays."""
     new = "<!DOCTYPE html>"

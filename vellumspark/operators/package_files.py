@@ -9,9 +9,11 @@ from __future__ import annotations
 
 import posixpath
 from collections import Counter
+from collections.abc import Iterator
 from functools import reduce
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -61,7 +63,40 @@ def parsed(path: Column, text: Column) -> Column:
 def elements(files: DataFrame) -> DataFrame:
     """One row an element of files (book_id, path, text): ord in document order, parent, above (its ancestors), name
     (without prefix, lower case), attrs, text of its own, href (or src), target (the archive path it names), fragment."""
-    return files.select("book_id", "path", F.explode(parsed(F.col("path"), F.col("text"))).alias("e")).select("book_id", "path", "e.*")
+    own = dict(files.dtypes)
+    schema = f"book_id {own['book_id']}, path string, ord int, parent int, above array<int>, name string, attrs map<string,string>, text string, href string, target string, fragment string"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            of, ord_, parent, name, text, href, target, fragment = ([] for _ in range(8))
+            above, above_ends, keys, values, attr_ends = [], [0], [], [], [0]
+            paths, texts = batch.column("path").to_pylist(), batch.column("text").to_pylist()
+            for k, (path, source) in enumerate(zip(paths, texts, strict=True)):
+                base, lines = posixpath.dirname(path or ""), []
+                for at, e in enumerate(markup.tree(source or "")):
+                    # The ancestors of an element are those of its parent and the parent.
+                    lines.append([*lines[e.parent], e.parent] if e.parent >= 0 else [])
+                    attrs = {a[0]: a[1] for a in markup.attributes(source, e.start, e.inner)}
+                    link = attrs.get("href", attrs.get("src"))
+                    of.append(k), ord_.append(at), parent.append(e.parent), name.append(markup.local(e.name)), href.append(link)
+                    text.append("".join(source[a:b] for a, b in e.texts).strip())
+                    target.append(resolve_href(base, link)), fragment.append(link.partition("#")[2] if link and "#" in link else None)
+                    above += lines[-1]
+                    keys += attrs
+                    values += attrs.values()
+                    above_ends.append(len(above)), attr_ends.append(len(keys))
+            if not of:
+                continue
+            strings = lambda x: pa.array(x, pa.string())
+            ints = lambda x: pa.array(x, pa.int32())
+            taken = pa.array(of, pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("book_id").take(taken), batch.column("path").take(taken), ints(ord_), ints(parent), pa.ListArray.from_arrays(ints(above_ends), ints(above)), strings(name),
+                 pa.MapArray.from_arrays(ints(attr_ends), strings(keys), strings(values)), strings(text), strings(href), strings(target), strings(fragment)],
+                [c.split()[0] for c in schema.split(", ")],
+            )
+
+    return files.select("book_id", "path", "text").mapInArrow(run, schema)
 
 
 def edits(rows: DataFrame, fix: str, action: str, name: Column | None = None, value: Column | None = None) -> DataFrame:

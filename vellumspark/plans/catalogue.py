@@ -567,6 +567,22 @@ flag("fix-cdata-terminator", ((2, "</style>", "/*]]></style>"),), "replace(html,
 flag("fix-double-colon-tags", ((2, "<p>", "<p><std::string &a> "),), "replace(html, '<std::string &a>', '&lt;std::string &amp;a&gt;')", occurrences("<std::string &a>"))
 flag("escape-unknown-entities", ((2, "<p>", "<p>&zork; &eacute; &amp; "),), "replace(html, '&zork;', '&amp;zork;')", occurrences("&zork;"))
 flag("unwrap-block-in-inline", ((2, "<h1>", '<span class="q"> <div>x</div></span><h1>'),), "replace(html, '<span class=\"q\"> <div>x</div></span>', '<div>x</div>')", occurrences('<span class="q"> <div>x</div></span>'))
+LOOSE = "<html lang=en><head><title>t</title></head><body><p>one<p>two <b>R&D <i>x</b> y</i><br><ul><li>a<li>b</ul><div>"
+STRICT = '<?xml version="1.0" encoding="utf-8"?>' + "\n<!DOCTYPE html>\n" + '<html xmlns="http://www.w3.org/1999/xhtml" lang="en"><head><title>t</title></head><body><p>one</p><p>two <b>R&amp;D <i>x</i></b><i> y</i><br/></p><ul><li>a</li><li>b</li></ul><div>'
+
+
+@query(
+    f"with d as (select doc_id, regexp_replace(coalesce(text, ''), '[^A-Za-z0-9 ]', '', 'g') t from documents) select doc_id, case when doc_id % 3 = 0 then '{LOOSE}' || t else '{STRICT}' || t || '</div></body></html>' end as html, (doc_id % 3 <> 0)::int::bigint as n "
+    f"from (select doc_id, t from d where doc_id % 3 <> 0 union all select doc_id, t || '</div></body></page>' from d where doc_id % 3 = 0)".replace("'" + LOOSE + "'", "replace('" + LOOSE + "', '<html ', '<page ')")
+)
+def reserialized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with elements that are never closed, or closed out of order; what has no <html> stays."""
+    kind = F.col("doc_id") % 3 == 0
+    plain = X.replaced(F.coalesce("text", F.lit("")), "[^A-Za-z0-9 ]", "")
+    page = F.when(kind, F.concat(F.lit(LOOSE.replace("<html ", "<page ")), plain, F.lit("</div></body></page>"))).otherwise(F.concat(F.lit(LOOSE), plain, F.lit("</div></body></html>")))
+    return repair.applied(table(spark, sf_dir, "documents").select("doc_id", page.alias("html")), repair.OPTIONAL["reserialize"]).select("doc_id", "html", "n")
+
+
 flag("fix-missing-title", ((2, "<title>", "<title></title><x>"), (3, "</title>", "</x>"), (3, "<title>", "<x>")), "case when html like '%<title></title>%' then replace(html, '<title></title>', '<title>Unknown</title>') when html not like '%</title>%' then regexp_replace(html, '<head>', '<head>' || chr(10) || '<title>Unknown</title>') else html end", "case when html like '%<title></title>%' or html not like '%</title>%' then 1 else 0 end")
 
 
