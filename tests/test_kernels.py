@@ -147,7 +147,8 @@ def test_repairs(spark, name, text, want, n):
         ("<html><head><title>t</title></head><body><p>one<p>two <b>x <i>y</b> z</i></body></html>", "<p>one</p><p>two <b>x <i>y</i></b><i> z</i></p>"),
         ("<html><body><ul><li>a<li>b</ul><table><tr><td>1<td>2<tr><td>3</table><br>1 < 2 &nbsp;&eacute;", "<ul><li>a</li><li>b</li></ul><table><tr><td>1</td><td>2</td></tr><tr><td>3</td></tr></table><br/>1 &lt; 2 \xa0é"),
         ("<html><p class=a class=b 1x=y hidden z:q='1'>text<div>block</p></div></span>", '<p class="a" hidden="hidden">text</p><div>block</div>'),
-        ("<html><body><dl><dt>a<dd>b</dl><!-- a -- b --><script>if (a < b && c) x()</script>", "<dl><dt>a</dt><dd>b</dd></dl><!-- a - - b --><script>if (a &lt; b &amp;&amp; c) x()</script>"),
+        ("<html><body><dl><dt>a<dd>b</dl><!-- a -- b --><script>if (a < b && c) x('&lt;')</script>", "<dl><dt>a</dt><dd>b</dd></dl><!-- a - - b --><script>if (a &lt; b &amp;&amp; c) x('&amp;lt;')</script>"),
+        ("<html><body><p>a <std::map>b<o:p>c</o:p>", "<p>a &lt;std::map&gt;bc</p>"),
         ("<html><body><svg><linearGradient id='g'></svg><a href='q?a=1&b=2'>z", '<svg><linearGradient id="g"></linearGradient></svg><a href="q?a=1&amp;b=2">z</a>'),
     ],
 )
@@ -166,7 +167,7 @@ def test_lenient_reading_is_refused():
 def test_lenient_reading_never_loses_text(parts):
     source = "<html>" + "".join(parts)
     new, n = lenient.reserialized(source)
-    assert lenient.letters(new) == lenient.letters(source) and (kernels.is_well_formed(new) or n == 0)
+    assert lenient.letters(new, n > 0) == lenient.letters(source) and (kernels.is_well_formed(new) or n == 0)
 
 
 def test_document_types(spark):

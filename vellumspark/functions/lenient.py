@@ -144,9 +144,14 @@ class Builder:
         self.out.append(escaped(text))
 
 
-def letters(source: str) -> str:
-    """All text of a document, without white space."""
-    parts = (html.unescape(source[t.start : t.end]) if t.kind == "text" or "&" in source[t.start : t.end] else source[t.start : t.end] for t in markup.tokens(source) if t.kind in ("text", "raw"))
+def pseudo(t: markup.Token) -> bool:
+    """Whether what looks like a tag is text, such as std::string in angle brackets."""
+    return t.kind in ("open", "empty", "close") and "::" in t.name
+
+
+def letters(source: str, written: bool = False) -> str:
+    """All text of a document, without white space; in one that is written as XML, scripts and styles are escaped as well."""
+    parts = (source[t.start : t.end] if pseudo(t) or (t.kind == "raw" and not written) else html.unescape(source[t.start : t.end]) for t in markup.tokens(source) if t.kind in ("text", "raw") or pseudo(t))
     return "".join(_ILLEGAL.sub("", "".join(parts)).split())
 
 
@@ -156,7 +161,9 @@ def reserialized(source: str) -> tuple[str, int]:
     build = Builder(source)
     for t in markup.tokens(source):
         piece = source[t.start : t.end]
-        if t.kind in ("open", "empty"):
+        if pseudo(t):
+            build.text(piece)
+        elif t.kind in ("open", "empty"):
             build.start(t)
         elif t.kind == "close":
             build.end(t)
@@ -169,4 +176,4 @@ def reserialized(source: str) -> tuple[str, int]:
     build.ready("")
     build.pop_to(0)
     new = f'<?xml version="1.0" encoding="utf-8"?>\n<!DOCTYPE html>\n{"".join(build.out)}'
-    return (new, 1) if letters(new) == letters(source) and is_well_formed(new) else (source, 0)
+    return (new, 1) if letters(new, True) == letters(source) and is_well_formed(new) else (source, 0)
