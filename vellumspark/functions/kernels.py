@@ -5,6 +5,7 @@ All of a document's kernels run in one crossing to Python.
 
 from __future__ import annotations
 
+import bisect
 import html
 import itertools
 import posixpath
@@ -322,8 +323,11 @@ def stamped(source: str, stamp: Stamp) -> tuple[list[tuple[int, int, str]], int]
     elements = markup.tree(source)
     pure = re.compile(rf"(?:{stamp.phrase}\s*)+", re.I)
 
+    starts = [x.start for x in elements]
+
     def inside(e: markup.Element) -> list[markup.Element]:
-        return [x for x in elements if e.inner <= x.start < e.close]
+        """Elements stand in document order, so those inside of one follow each other."""
+        return elements[bisect.bisect_left(starts, e.inner) : bisect.bisect_left(starts, e.close)]
 
     def words(e: markup.Element) -> str:
         texts = sorted(span for x in [e, *inside(e)] for span in x.texts if e.inner <= span[0] < e.close)

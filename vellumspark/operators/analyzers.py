@@ -96,9 +96,10 @@ def doc_ranks(docs: DataFrame, keys: list[str], slices: int = 64) -> DataFrame:
 def completeness(docs: DataFrame, missing: DataFrame | None = None) -> DataFrame:
     """spine_docs, prose_docs, blank_docs and excerpts of the first, middle and last prose document of each book."""
     shape = docs.groupBy("book_id").agg(F.count(F.lit(1)).alias("spine_docs"), F.count_if(F.length("text") >= PROSE_DOC).alias("prose_docs"), F.count_if(F.col("text") == "").alias("blank_docs"))
-    prose = doc_ranks(docs.where(F.length("text") >= PROSE_DOC).select("book_id", "pos", "text"), ["book_id"])
+    # Keys are ranked; three texts of each book are fetched.
+    prose = doc_ranks(docs.where(F.length("text") >= PROSE_DOC).select("book_id", "pos"), ["book_id"])
     spots = prose.where((F.col("rank") == 0) | (F.col("rank") == F.floor(F.col("total") / 2)) | (F.col("rank") == F.col("total") - 1))
-    cut = spots.select("book_id", "pos", F.length("text").cast("long").alias("chars"), F.substring("text", 1, SPOT).alias("opens"), F.right("text", F.lit(SPOT)).alias("ends"))
+    cut = docs.select("book_id", "pos", "text").join(spots.select("book_id", "pos"), ["book_id", "pos"]).select("book_id", "pos", F.length("text").cast("long").alias("chars"), F.substring("text", 1, SPOT).alias("opens"), F.right("text", F.lit(SPOT)).alias("ends"))
     out = cut.join(shape, "book_id", "right")
     if missing is not None:
         out = out.join(missing, "book_id", "left").withColumn("unreadable_frac", F.coalesce(F.col("missing"), F.lit(0)) / (F.col("spine_docs") + F.coalesce(F.col("missing"), F.lit(0))))

@@ -924,6 +924,29 @@ def audit_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("book_id", "status", F.to_json("verdicts").alias("verdicts"))
 
 
+BODY_SQL = sql_visible("case when regexp_matches(html, '(?is)<body[^>]*>.*</body>') then regexp_extract(html, '(?is)<body[^>]*>(.*)</body>', 1) else html end")
+FACTS_SQL = "select 'c' || c_custkey book_id, (c_custkey % 5 = 0)::int corrupt, 2 * (c_custkey % 7 = 0)::int enc, (c_custkey % 14 = 0)::int drm, c_custkey % 2 obf, 4 + c_custkey % 3 spine, c_custkey % 9 missing, (c_custkey % 4 = 0)::int delim from customer"
+
+
+@query(
+    f"with d as (select {HOST} book_id, {sql_visible('html')} t, {BODY_SQL} b, html from pages), s as (select book_id, b, count(*) n from d where length(b) between 12 and 600 group by all), m as (select book_id, max(n) n from s group by all), "
+    "e as (select book_id, sum(length(t)) c, count(*) k, max(length(t)) top, bool_or(regexp_matches(t, '(?i)bookshout|something went wrong loading|failed to load|(content|page|book)\\s+(is\\s+)?(not available|unavailable|could not be loaded)')) sig from d group by all), "
+    f"v as (select book_id, top, {EMPTY_CASE.format(c='c', m=2000, p='(sig or (coalesce(n, 0) >= 3 and coalesce(n, 0) / k >= 0.3))', t=20000)} st from e left join m using (book_id)), "
+    f"f as (select *, case when enc > 0 and (drm = 0 or corrupt > 0) then 'CORRUPT' when enc > 0 then 'ENCRYPTED' when corrupt > 0 then 'CORRUPT' when obf > 0 then 'OBFUSCATED' else 'OK' end st, case when greatest(missing - delim, 0) / (spine + missing) >= 0.5 then 'SHELL' when delim > 0 then 'ADVISORY' else 'OK' end sh from ({FACTS_SQL})) "
+    "select book_id, 'emptytext' as analyzer, st not in ('OK', 'THIN') as problem, st as status from v union all select book_id, 'monolithic', top >= 300000, case when top >= 300000 then 'FLAG' else 'OK' end from v "
+    "union all select book_id, 'archive', st in ('CORRUPT', 'ENCRYPTED'), st from f union all select book_id, 'shell', false, sh from f"
+)
+def audit_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts of one audit plan on web pages, and on what is known of the archives of another shelf."""
+    key, one = F.col("c_custkey"), lambda c: F.when(c, 1).otherwise(0)
+    facts = table(spark, sf_dir, "customer").select(
+        F.concat(F.lit("c"), key.cast("string")).alias("book_id"), one(key % 5 == 0).alias("corrupt"), (2 * one(key % 7 == 0)).alias("encrypted"), one(key % 14 == 0).alias("drm"), (key % 2).alias("obfuscated"),
+        (4 + key % 3).alias("spine"), (key % 9).alias("missing"), one(key % 4 == 0).alias("delim"),
+    )
+    found = audit.audit(page_docs(table(spark, sf_dir, "pages")), audit.Package(facts=facts), ("emptytext", "monolithic", "archive", "shell"))
+    return found.select("book_id", "analyzer", "problem", "status")
+
+
 # Packages, continued
 
 flag("downgrade-epub3-tags", ((2, "<article>", '<section id="a>b"><figure class="k"><figcaption>c</figcaption></figure></section><article>'),), "replace(html, '<section id=\"a>b\"><figure class=\"k\"><figcaption>c</figcaption></figure></section>', '<div id=\"a>b\" class=\"section\"><div class=\"k figure\"><p class=\"figcaption\">c</p></div></div>')", f"6 * ({occurrences('<section id=\"a>b\"><figure class=\"k\"><figcaption>c</figcaption></figure></section>')})")
