@@ -214,10 +214,12 @@ def test_long_texts_are_read_in_segments(monkeypatch):
 
 def test_what_travels_comes_back():
     rng = np.random.default_rng(2)
-    for keys in ([0], [5, 6, 1 << 35], [0, (1 << 36) - 1], np.unique(rng.integers(0, 1 << 36, 500)).tolist(), np.arange(1000).tolist()):
+    for keys in ([], [0], [5, 6, 1 << 35], [0, (1 << 36) - 1], [0, (1 << 64) - 1], np.unique(rng.integers(0, 1 << 36, 500)).tolist(), np.arange(1000).tolist()):
         assert language_model.unpacked_keys(language_model.packed_keys(np.array(keys, np.uint64))).tolist() == keys
     counts = rng.integers(0, 600, 300)
-    assert language_model.unpacked_counts(language_model.packed_counts(counts), 300).tolist() == counts.tolist()
+    counts[[0, 7, 8, 299]] = [0xFFFFFFFE, 0xFFFFFFFF, 1 << 32, 1 << 50]
+    for n in (0, 1, 9, 300):
+        assert language_model.unpacked_counts(language_model.packed_counts(counts[:n]), n).tolist() == counts[:n].tolist()
 
 
 def test_language_model_of_odd_rows(odd, none):

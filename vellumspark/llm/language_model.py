@@ -16,8 +16,9 @@ reach, which is exact:
 2. A block sends its distinct words, pairs and triples, hashed, with their training counts to the owners of their hash
    ranges. An n-gram of any frequency is one entry of a block, so a hot one is no hot group.
 3. Owners add up and answer with the totals in the order asked, so only counts travel back.
-Keys within a range have 36 bits, and the ranges grow in number with the corpus: a key meets another by chance with a
-probability of about one in 10**5, whatever the size.
+Words are known by all 64 bits of their hash: among a billion distinct ones, two meet by chance in one table of forty.
+Pairs and triples have keys of 36 bits within a range, and the ranges grow in number with the corpus: one
+of them meets another by chance with a probability of about one in 10**5, whatever the size. Counts have up to 64 bits.
 
 Defined results: a null or empty text is its end alone; a null doc_id is a training document; repeated rows each get
 their row, and count as often as they stand; without training documents all words are unknown; an empty table gives an
@@ -43,13 +44,14 @@ BLOCK_BYTES, BATCH = 4 << 20, 1_000
 HELD = 1_000_000
 #: Symbols of a text that are read in one go.
 SEGMENT = 512
-ASKED = "block int, part int, keys binary, counts binary"
+ASKED = "block int, part int, words binary, keys binary, counts binary"
 TOTALS = "block int, part int, counts binary"
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 _P, _Q, _R = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 _END = np.uint64(0xD6E8FEB86659FD93)
 _LOCAL = np.uint64(36)
 _MASK = np.uint64((1 << 36) - 1)
+_FOUR = 0xFFFFFFFF
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -71,13 +73,17 @@ def found_in(known: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 def packed_keys(keys: np.ndarray) -> bytes:
     """Ascending keys: the first, then the steps between them as planes of bytes, of which the upper ones are nearly all 0
-    and shrink when they are sent."""
+    and shrink when they are sent. Nothing for no keys."""
+    if not len(keys):
+        return b""
     steps = np.diff(keys)
     planes = (int(steps.max(initial=0)).bit_length() + 7) // 8
     return bytes([planes]) + keys[:1].tobytes() + steps.view(np.uint8).reshape(-1, 8)[:, :planes].T.tobytes()
 
 
 def unpacked_keys(data: bytes) -> np.ndarray:
+    if not data:
+        return np.zeros(0, np.uint64)
     planes = np.frombuffer(data, np.uint8, -1, 9).reshape(data[0], -1) if data[0] else np.zeros((1, 0), np.uint8)
     steps = np.zeros((planes.shape[1], 8), np.uint8)
     steps[:, : len(planes)] = planes.T
@@ -85,21 +91,31 @@ def unpacked_keys(data: bytes) -> np.ndarray:
 
 
 def packed_counts(counts: np.ndarray) -> bytes:
-    """A byte each; 255 stands for the next of the larger ones, which follow."""
-    return np.minimum(counts, 255).astype(np.uint8).tobytes() + np.minimum(counts[counts >= 255], 0xFFFFFFFF).astype(np.uint32).tobytes()
+    """A byte each; 255 stands for the next of the larger ones, of four bytes, and the largest of those for the next of eight."""
+    large = counts[counts >= 255]
+    huge = large[large >= _FOUR]
+    return np.minimum(counts, 255).astype(np.uint8).tobytes() + np.minimum(large, _FOUR).astype(np.uint32).tobytes() + huge.astype(np.int64).tobytes()
 
 
 def unpacked_counts(data: bytes, n: int) -> np.ndarray:
     out = np.frombuffer(data, np.uint8, n).astype(np.int64)
-    out[out == 255] = np.frombuffer(data[n:], np.uint32)
+    more = np.flatnonzero(out == 255)
+    large = np.frombuffer(data[n : n + 4 * len(more)], np.uint32).astype(np.int64)
+    large[large == _FOUR] = np.frombuffer(data[n + 4 * len(more) :], np.int64)
+    out[more] = large
     return out
 
 
-def ranges(keys: np.ndarray) -> Iterator[tuple[int, int, int]]:
-    """(part, start, end) of ascending keys whose upper bits are the part."""
-    part = (keys >> _LOCAL).astype(np.int64)
-    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(keys)] if len(keys) else []
-    return ((int(part[a]), a, b) for a, b in zip(cuts, cuts[1:]))
+def part_of(hashes: np.ndarray, parts: int) -> np.ndarray:
+    """The hash range of each, ascending with the hashes."""
+    return ((hashes >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+
+
+def by_part(*parts: np.ndarray) -> Iterator[tuple[int, list[slice]]]:
+    """Each part in ascending arrays of parts, with where it is in each of them."""
+    present = np.unique(np.concatenate(parts))
+    cuts = [(np.searchsorted(p, present, "left").tolist(), np.searchsorted(p, present, "right").tolist()) for p in parts]
+    return ((part, [slice(a[k], b[k]) for a, b in cuts]) for k, part in enumerate(present.tolist()))
 
 
 # Blocks of texts
@@ -126,16 +142,13 @@ class Tokens:
         self.third = np.flatnonzero(third)
         self.triples, self.triple_at = np.unique(self.pair_at[self.third - 1] * self.size + self.ids[self.third], return_inverse=True)
 
-    def keys(self, parts: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ascending keys of all n-grams, and which of them each has: words, the end, pairs, triples."""
+    def keys(self) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the words with the end, and of pairs and triples."""
         one = np.append(mixed(self.names + _R), _END)
         a, b = np.divmod(self.pairs, self.size)
         two = mixed(one[a] * _Q + mixed(one[b]))
         ab, c = np.divmod(self.triples, self.size)
-        three = mixed(two[ab] * _P + mixed(one[c] * _R))
-        every = np.concatenate([one, two, three])
-        part = ((every >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
-        return np.unique(part << _LOCAL | every & _MASK, return_inverse=True)
+        return one, np.concatenate([two, mixed(two[ab] * _P + mixed(one[c] * _R))])
 
     def counts(self, train: np.ndarray) -> np.ndarray:
         """How often the words, the end, pairs and triples stand in training texts."""
@@ -150,6 +163,33 @@ class Tokens:
         return counts[: self.size], counts[self.size : self.size + len(self.pairs)], counts[self.size + len(self.pairs) :]
 
 
+class Sent:
+    """What a block of texts asks for: ascending keys of its words and of its longer n-grams, by hash range."""
+
+    def __init__(self, tokens: Tokens, parts: int):
+        one, longer = tokens.keys()
+        self.words, self.word_at = np.unique(one, return_inverse=True)
+        self.grams, self.gram_at = np.unique(part_of(longer, parts) << _LOCAL | longer & _MASK, return_inverse=True)
+        self.pieces = list(by_part(part_of(self.words, parts), self.grams >> _LOCAL))
+
+    def asking(self, counts: np.ndarray) -> Iterator[tuple[int, bytes, bytes, bytes]]:
+        """part, words, keys and counts of each piece, from the counts of all n-grams."""
+        ends = len(self.word_at)
+        words = np.bincount(self.word_at, counts[:ends], len(self.words)).astype(np.int64)
+        grams = np.bincount(self.gram_at, counts[ends:], len(self.grams)).astype(np.int64)
+        for part, (w, g) in self.pieces:
+            yield part, packed_keys(self.words[w]), packed_keys(self.grams[g] & _MASK), packed_counts(np.concatenate([words[w], grams[g]]))
+
+    def told(self, answers: dict[int, bytes]) -> np.ndarray:
+        """The totals of all n-grams, from those of each piece."""
+        words, grams = np.zeros(len(self.words), np.int64), np.zeros(len(self.grams), np.int64)
+        for part, (w, g) in self.pieces:
+            n = w.stop - w.start
+            totals = unpacked_counts(answers[part], n + g.stop - g.start)
+            words[w], grams[g] = totals[:n], totals[n:]
+        return np.concatenate([words[self.word_at], grams[self.gram_at]])
+
+
 class Automaton:
     """States 0: root, 1 + s: after symbol s, then one for each pair seen in training.
 
@@ -223,8 +263,7 @@ def word_totals(training: DataFrame, parts: int) -> tuple[int, int]:
     """Words and distinct words of the texts: hash ranges of words meet, each of which counts its own."""
 
     def pieces(keys: np.ndarray, tokens: int) -> Iterator[pa.RecordBatch]:
-        keys = np.unique(((keys >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)) << _LOCAL | keys & _MASK)
-        rows = [(part, packed_keys(keys[a:b] & _MASK), 0 if a else tokens) for part, a, b in ranges(keys)]
+        rows = [(part, packed_keys(keys[at]), 0 if at.start else tokens) for part, (at,) in by_part(part_of(keys, parts))]
         if rows:
             yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.int64()), strict=True)], ["part", "keys", "tokens"])
 
@@ -258,11 +297,10 @@ def asked(dealt: DataFrame, parts: int) -> DataFrame:
 
     def send(block: pa.Table) -> pa.Table:
         tokens = Tokens(_texts(block))
-        keys, at = tokens.keys(parts)
-        counts = np.bincount(at, weights=tokens.counts(~block.column("held").to_numpy()), minlength=len(keys)).astype(np.int64)
         number = block.column("block")[0].as_py()
-        rows = [(number, part, packed_keys(keys[a:b] & _MASK), packed_counts(counts[a:b])) for part, a, b in ranges(keys)]
-        return pa.table([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["block", "part", "keys", "counts"])
+        rows = [(number, *piece) for piece in Sent(tokens, parts).asking(tokens.counts(~block.column("held").to_numpy()))]
+        types = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+        return pa.table([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["block", "part", "words", "keys", "counts"])
 
     return dealt.groupBy("block").applyInArrow(send, ASKED)
 
@@ -271,12 +309,15 @@ def answered(pieces: DataFrame) -> DataFrame:
     """The same pieces, each with the totals of its keys over all blocks."""
 
     def add_up(group: pa.Table) -> pa.Table:
-        keys = [unpacked_keys(x) for x in group.column("keys").to_pylist()]
-        counts = np.concatenate([unpacked_counts(x, len(k)) for x, k in zip(group.column("counts").to_pylist(), keys, strict=True)])
-        ends = np.cumsum([len(k) for k in keys])
-        _, at = np.unique(np.concatenate(keys), return_inverse=True)
-        totals = np.bincount(at, weights=counts).astype(np.int64)[at]
-        out = [packed_counts(totals[end - len(k) : end]) for k, end in zip(keys, ends, strict=True)]
+        asked_for = [[unpacked_keys(x) for x in group.column(c).to_pylist()] for c in ("words", "keys")]
+        sizes = [(len(w), len(g)) for w, g in zip(*asked_for, strict=True)]
+        counts = [unpacked_counts(x, w + g) for x, (w, g) in zip(group.column("counts").to_pylist(), sizes, strict=True)]
+        totals = []
+        for keys, own in zip(asked_for, ([c[:w] for c, (w, _) in zip(counts, sizes, strict=True)], [c[w:] for c, (w, _) in zip(counts, sizes, strict=True)]), strict=True):
+            _, at = np.unique(np.concatenate(keys), return_inverse=True)
+            sums = np.bincount(at, weights=np.concatenate(own)).astype(np.int64)[at]
+            totals.append(np.split(sums, np.cumsum([len(k) for k in keys])[:-1]))
+        out = [packed_counts(np.concatenate(both)) for both in zip(*totals, strict=True)]
         return pa.table([group.column("block"), group.column("part"), pa.array(out, pa.binary())], ["block", "part", "counts"])
 
     return pieces.groupBy("part").applyInArrow(add_up, TOTALS)
@@ -296,10 +337,8 @@ def score(docs: DataFrame, held: Column) -> DataFrame:
         texts = Tokens(_texts(block)) if block.num_rows else None
         if texts is None:
             return pa.table([pa.array([], t) for t in (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())], names)
-        keys, at = texts.keys(blocks)
         answers = dict(zip(totals.column("part").to_pylist(), totals.column("counts").to_pylist(), strict=True))
-        counts = np.concatenate([unpacked_counts(answers[part], b - a) for part, a, b in ranges(keys)])[at]
-        c1, c2, c3 = texts.split(counts)
+        c1, c2, c3 = texts.split(Sent(texts, blocks).told(answers))
         one = (c1 + ADD) / (tokens + ADD * (types + 1))
         base = np.add.reduceat(np.log10(one)[texts.ids], texts.starts)
         known = np.add.reduceat((c1 > 0).astype(np.int64)[texts.ids], texts.starts)
