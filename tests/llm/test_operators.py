@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 import zstandard
@@ -679,3 +680,11 @@ def test_decontamination_of_odd_rows(spark, odd, none):
     clean = decontamination.decontaminated(odd, items)
     assert clean.columns == odd.columns and sorted(r.doc_id for r in clean.collect()) == [3, 4, 5, 6, 7, 8]
     assert decontamination.decontaminated(odd, items.limit(0)).count() == 10 and decontamination.find_matches(none, items).count() == 0
+
+
+def test_a_fit_holds_a_bounded_number_of_features():
+    rows = [(0.1, 1, [1, 2]), (0.2, 0, []), (0.3, None, [3, 4, 5]), (0.4, 1, [6])]
+    batches = [pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows[a : a + 2]), (pa.float64(), pa.int32(), pa.list_(pa.int32())))], ["rank", "label", "slots"]) for a in (0, 2)]
+    taken = lambda most: [r[0] for r in sampling.first_rows(iter(batches), ("slots",), most)]
+    assert [taken(most) for most in (1, 2, 4, 5, 6)] == [[], [0.1, 0.2], [0.1, 0.2], [0.1, 0.2, 0.3], [0.1, 0.2, 0.3, 0.4]]
+    assert [r[2].tolist() for r in sampling.first_rows(iter(batches), ("slots",), 9)] == [r[2] for r in rows]

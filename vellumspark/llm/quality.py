@@ -9,7 +9,7 @@ that tells little weighs little, and all documents are scored.
 
 Bounds of the fit: LABELLED documents of each label and about UNLABELLED others, chosen by a hash of their id, one row
 for each id (that with the least hash of its text; rows without an id are left out) and none of more than SAMPLE_BYTES
-bytes; and MOST_NEW pseudo-labels of each kind and view in a round, the most confident ones. Everything else covers all
+bytes; of these, by the hash, the first that fill FIT_SLOTS features; and MOST_NEW pseudo-labels of each kind and view in a round, the most confident ones. Everything else covers all
 rows.
 
 Defined results: null text is the empty text, null metadata a value of its own; whole texts are read; repeated rows each
@@ -27,8 +27,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellumspark.llm.common import arrow_map, texts_of
-from vellumspark.llm.sampling import hash_unit, labelled_sample, one_row_each
+from vellumspark.llm.common import arrow_map, batches_of, texts_of
+from vellumspark.llm.sampling import FIT_ROWS, FIT_SLOTS, first_rows, hash_unit, labelled_sample, one_row_each
 from vellumspark.llm.toxicity import BITS, SAMPLE_BYTES, Ftrl
 
 LABELLED, UNLABELLED, ROUNDS, EPOCHS = 4_000, 6_000, 4, 2
@@ -162,13 +162,7 @@ def fit(docs: DataFrame, labels: DataFrame):
     ready = arrow_map(rows, hashed, "rank double, label int, content array<int>, meta array<int>")
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = []
-        for b in batches:
-            lists = []
-            for name in ("content", "meta"):
-                flat, ends = b.column(name).flatten().to_numpy(), b.column(name).offsets.to_numpy()
-                lists.append([flat[x - ends[0] : y - ends[0]].copy() for x, y in zip(ends, ends[1:])])
-            got += zip(b.column("rank").to_pylist(), b.column("label").to_pylist(), *lists, strict=True)
+        got = first_rows(batches, ("content", "meta"), FIT_SLOTS)
         got.sort(key=lambda r: (r[0], r[1] is None, r[1] or 0, len(r[2])))
         found = co_train([r[2] for r in got], [r[3] for r in got], [r[1] for r in got])
         if found is not None:
@@ -178,7 +172,8 @@ def fit(docs: DataFrame, labels: DataFrame):
                 yield pa.record_batch([pa.array([k + 2] * 3, pa.int32()), pa.array([0, 1, 2], pa.int64()), pa.array([view.intercept, *view.scale], pa.float64())], ["part", "slot", "weight"])
             yield pa.record_batch([pa.array([4] * 3, pa.int32()), pa.array([0, 1, 2], pa.int64()), pa.array(mixed, pa.float64())], ["part", "slot", "weight"])
 
-    learned = ready.repartition(1).mapInArrow(train, "part int, slot long, weight double").collect()
+    with batches_of(docs.sparkSession, FIT_ROWS):
+        learned = ready.repartition(1).sortWithinPartitions("rank", "label").mapInArrow(train, "part int, slot long, weight double").collect()
     if not learned:
         return None
     parts = {k: sorted((r[1], r[2]) for r in learned if r[0] == k) for k in range(5)}

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 _RANGE = float(1 << 63)
+#: So many features, of four bytes each, are held by the task that fits a classifier; it takes FIT_ROWS rows at once.
+FIT_SLOTS, FIT_ROWS = 1 << 26, 64
 
 
 def hash_unit(*columns):
@@ -43,3 +48,24 @@ def one_row_each(rows: DataFrame, most_bytes: int) -> DataFrame:
     short = rows.where(F.octet_length(F.coalesce("text", F.lit(""))) <= most_bytes)
     others = [c for c in rows.columns if c != "doc_id"]
     return short.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("__hash"), *others)).alias("__row")).select("doc_id", *[F.col(f"__row.{c}").alias(c) for c in others])
+
+
+def first_rows(batches: Iterator[pa.RecordBatch], lists: tuple[str, ...], most: int) -> list[tuple]:
+    """(rank, label and the named lists) of the rows that come first, as long as their lists hold at most so many values.
+
+    The others are read and left, so that memory is bounded by values, not by rows.
+    """
+    got, room = [], most
+    for batch in batches:
+        if room < 0:
+            continue
+        columns = []
+        for name in lists:
+            flat, ends = batch.column(name).flatten().to_numpy(), batch.column(name).offsets.to_numpy()
+            columns.append([flat[x - ends[0] : y - ends[0]].copy() for x, y in zip(ends, ends[1:])])
+        for row in zip(batch.column("rank").to_pylist(), batch.column("label").to_pylist(), *columns, strict=True):
+            room -= sum(map(len, row[2:]))
+            if room < 0:
+                break
+            got.append(row)
+    return got

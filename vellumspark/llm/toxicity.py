@@ -6,7 +6,8 @@ ASCII white space; punctuation at their ends goes. Training takes a bounded samp
 order, with per-coordinate rates and L1, so few weights stay; only those are broadcast.
 
 Bounds of the fit: SAMPLE documents of each label, one row for each id (that with the least hash of its text), and none
-of more than SAMPLE_BYTES bytes. All documents are scored.
+of more than SAMPLE_BYTES bytes; of these, in the order of training (a hash of the id), the first that fill FIT_SLOTS
+features. All documents are scored.
 
 Defined results: a null or empty text has no feature and gets the score of the intercept; whole texts are read;
 repeated rows each get their row; without training rows every score is 0, and with labels of one class only every score
@@ -24,8 +25,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellumspark.llm.common import arrow_map, small_batches, texts_of
-from vellumspark.llm.sampling import labelled_sample, one_row_each
+from vellumspark.llm.common import arrow_map, batches_of, small_batches, texts_of
+from vellumspark.llm.sampling import FIT_ROWS, FIT_SLOTS, first_rows, labelled_sample, one_row_each
 
 BITS, STEMS = 22, (4, 6)
 #: At most so many documents of each label are learned from, of so many bytes each.
@@ -89,23 +90,19 @@ def train(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> tuple[np.n
     rows = arrow_map(chosen.select("rank", "label", "text"), hashed, "rank double, label int, slots array<int>")
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranks, labels_, slots = [], [], []
-        for b in batches:
-            ranks += b.column("rank").to_pylist()
-            labels_ += b.column("label").to_pylist()
-            flat, ends = b.column("slots").flatten().to_numpy(), b.column("slots").offsets.to_numpy()
-            slots += [flat[x - ends[0] : y - ends[0]].copy() for x, y in zip(ends, ends[1:])]
-        if len(set(labels_)) < 2:
+        got = sorted(first_rows(batches, ("slots",), FIT_SLOTS), key=lambda r: (r[0], r[1], len(r[2])))
+        if len({label for _, label, _ in got}) < 2:
             return
-        model, order = Ftrl(), sorted(range(len(ranks)), key=lambda i: (ranks[i], labels_[i], len(slots[i])))
+        model = Ftrl()
         for _ in range(EPOCHS):
-            for i in order:
-                model.learn(slots[i], labels_[i])
+            for _, label, slots in got:
+                model.learn(slots, label)
         at = np.flatnonzero(np.abs(model.z[:-1]) > L1)
         at = np.append(at, model.slots)
         yield pa.record_batch([pa.array(at, pa.int64()), pa.array(model.weights(at), pa.float64())], ["slot", "weight"])
 
-    learned = rows.repartition(1).mapInArrow(fit, "slot long, weight double").collect()
+    with batches_of(docs.sparkSession, FIT_ROWS):
+        learned = rows.repartition(1).sortWithinPartitions("rank", "label").mapInArrow(fit, "slot long, weight double").collect()
     if not learned:
         return np.zeros(0, np.int64), np.zeros(0), 40.0 if set(shares) == {1} else -40.0
     pairs = {r[0]: r[1] for r in learned}
