@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tables import SF
-from vellumspark.llm import decontamination, fingerprints, language_id, language_model, line_dedup, mixing, near_dups, quality, sampling, token_counts, toxicity
+from vellumspark.llm import components, decontamination, fingerprints, language_id, language_model, line_dedup, mixing, near_dups, quality, sampling, token_counts, toxicity
 from vellumspark.llm.common import hash_words, held_out, searched
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -432,6 +432,100 @@ def test_large_groups_of_near_copies(spark, monkeypatch):
     assert {r.doc_id: r.class_id for r in near_dups.classes(docs).collect()} == brute_classes(texts, docs)
 
 
+def test_pairs_of_long_texts_come_in_bounded_batches(spark, monkeypatch, tmp_path):
+    """A leader's set is sent with each of its pairs: 10,000 pairs of long texts in one batch are more than a worker has."""
+    rng = np.random.default_rng(7)
+    words, seen, real = [f"w{k}" for k in range(9000)], str(tmp_path / "batches"), type(spark.range(0)).mapInArrow
+
+    def noted(self, function, schema):
+        def run(batches):
+            def each():
+                for batch in batches:
+                    with open(seen, "a") as f:
+                        f.write(f"{batch.num_rows} {batch.nbytes}\n")
+                    yield batch
+
+            yield from function(each())
+
+        return real(self, run, schema)
+
+    monkeypatch.setattr(type(spark.range(0)), "mapInArrow", noted)
+    base = rng.choice(words, 8000).tolist()
+    rows = []
+    for k in range(100):
+        w = list(base)
+        for at in rng.integers(0, len(w), 20):
+            w[at] = str(rng.choice(words))
+        rows.append((k, " ".join(w)))
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    got = near_dups.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == 100 and {(r.class_id, r.class_size, r.class_texts) for r in got} == {(0, 100, 100)}
+    batches = [tuple(map(int, line.split())) for line in open(seen)]
+    # One leader or more, each with 90 pairs or more of which either side has 12 bytes a shingle.
+    assert sum(n for n, _ in batches) >= 90 and max(size for _, size in batches) <= (8 << 20) + 100_000
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+
+
+def test_links_and_labels_are_few_files(spark, monkeypatch):
+    """Each file that a task creates can start a process, which counts as much memory as its executor while it starts."""
+    seen, real = collections.defaultdict(list), near_dups.written
+
+    def noted(df, name):
+        out = real(df, name)
+        seen[name].append(len(out.inputFiles()))
+        return out
+
+    for module in (near_dups, components):
+        monkeypatch.setattr(module, "written", noted)
+    rng = np.random.default_rng(13)
+    words, texts = [f"w{k}" for k in range(3000)], {}
+    for group in range(8):
+        base = rng.choice(words, 150).tolist()
+        for _ in range(10):
+            w = list(base)
+            for at in rng.integers(0, 150, rng.integers(2, 5)):
+                w[at] = str(rng.choice(words))
+            texts[len(texts)] = " ".join(w)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    settings = {"spark.sql.shuffle.partitions": "24", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        got = {r.doc_id: r.class_id for r in near_dups.classes(docs).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == brute_classes(texts, docs)
+    thin = {"partners", "labels", "pairs", "ends", "leaders", "verified", "links", "label-edges", "open", "block-links"}
+    assert thin <= seen.keys() and all(n <= 3 for name in thin for n in seen[name])
+
+
+def test_blocks_of_long_texts_are_bounded(spark, monkeypatch, tmp_path):
+    """Thirty texts of one group that were one chunk: all pairs are compared, in blocks of bounded bytes."""
+    monkeypatch.setattr(near_dups, "CHUNK_BYTES", 60_000, raising=False)
+    rng = np.random.default_rng(8)
+    seen, links, sets = str(tmp_path / "blocks"), near_dups.block_links, {}
+    for k in range(30):
+        own = rng.choice(1 << 40, 1000, replace=False)
+        if k >= 15:  # a copy of the text before it but for a few shingles
+            own = np.concatenate([np.frombuffer(sets[k - 15][0], np.uint64).astype(np.int64)[40:], own[:40]])
+        sets[k] = np.unique(own).astype(np.uint64).tobytes(), np.ones(len(np.unique(own)), np.float32).tobytes()
+
+    def noted(own, *rest):
+        with open(seen, "a") as f:
+            f.write(f"{sum(12 * len(h) for h, _ in own)}\n")
+        return links(own, *rest)
+
+    monkeypatch.setattr(near_dups, "block_links", noted)
+    names = {k: bytes([k]) * 16 for k in sets}
+    texts = spark.createDataFrame([(names[k], h, w, len(h) + len(w)) for k, (h, w) in sets.items()], "digest binary, hashes binary, weights binary, size long")
+    members = spark.createDataFrame([(1, names[k], names[k]) for k in sets], "key long, digest binary, label binary")
+    got = {frozenset((bytes(r.a), bytes(r.b))) for r in near_dups.blocks_compared(members, texts).collect()}
+    assert got == {frozenset((names[k], names[k + 15])) for k in range(15)}
+    assert max(int(x) for x in open(seen)) < 30 * 12_000 * 0.8
+
+
 def test_classes_do_not_depend_on_partitions_or_files(spark):
     """Edits near the threshold: df, and with it every link, is the table's alone."""
     rng = np.random.default_rng(11)

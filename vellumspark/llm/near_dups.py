@@ -16,7 +16,8 @@ Two texts are linked if their weighted Jaccard similarity is SIMILAR or more; cl
    text with the most common shingles) is compared with its members, and classes are joined. Groups that still are of
    several classes are compared in full, in pairs of chunks of CHUNK texts, each a product of matrices in one task, of
    which only links that join classes come out. So every candidate pair is either compared or already in one class.
-4. A comparison is the exact weighted Jaccard similarity of both shingle sets.
+4. A comparison is the exact weighted Jaccard similarity of both shingle sets. What a Python worker holds at once is
+   bounded by bytes: pairs come in batches of PAIR_BYTES at most (or one pair), chunks have about CHUNK_BYTES.
 
 Defined results: texts without words (null, empty, blank) are copies of each other; rows that repeat are copies; a class
 is named after its first row in the order of doc_id (null last), then of a hash of the text, so a null doc_id is never a
@@ -31,10 +32,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from vellumspark.llm.common import shuffle_partitions, texts_of, written
+from vellumspark.llm.common import batches_of, shuffle_partitions, texts_of, written
 from vellumspark.llm.components import relabelled
 
 SHINGLE, SIMILAR, DAMP = 5, 0.8, 0.5
@@ -44,6 +45,8 @@ BLOCK_BYTES = 8 << 20
 SPREAD = 256
 #: Texts on either side of a block of comparisons; so many digests at most are named to every task.
 CHUNK, SENT = 256, 1_000_000
+#: Bytes of shingle sets in a batch of pairs, and in a chunk; comparing two chunks takes about five times their bytes besides them.
+PAIR_BYTES, CHUNK_BYTES = 8 << 20, 12 << 20
 #: A-Z are lowered and ASCII punctuation is white space, so that a moved comma or a new sentence changes no word.
 _WORDS = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -219,16 +222,29 @@ def sampled_texts(docs: DataFrame) -> DataFrame:
     return dealt.drop("row").groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(sample, "doc_id long, text_hash long, digest binary, bands array<long>, hashes binary, weights binary, total double, centre double")
 
 
+def thin_files(spark: SparkSession) -> int:
+    """Files of a table of digests or links at most: an eighth of a shuffle's partitions, as its rows are short."""
+    return -(-shuffle_partitions(spark) // 8)
+
+
+def thin(df: DataFrame, name: str) -> DataFrame:
+    return written(df.coalesce(thin_files(df.sparkSession)), name)
+
+
 def named(rows: DataFrame, digests: DataFrame) -> DataFrame:
     """The rows whose digest is among `digests` (distinct); these are sent to each task if they are few enough."""
     return rows.join(F.broadcast(digests) if digests.count() <= SENT else digests, "digest", "left_semi")
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Those pairs (a, b) of digests that are similar; a leader of many pairs is spread over tasks by their number."""
-    ends = written(pairs.select(F.col("a").alias("digest")).union(pairs.select(F.col("b").alias("digest"))).distinct(), "ends")
+    """Those pairs (a, b) of digests that are similar, as a table; a leader of many pairs is spread over tasks by their number.
+
+    A leader's set comes again with each of its pairs, so a batch has as many pairs as PAIR_BYTES hold of the largest set.
+    """
+    most = texts.agg(F.max("size")).first()[0] or 1
+    ends = thin(pairs.select(F.col("a").alias("digest")).union(pairs.select(F.col("b").alias("digest"))).distinct(), "ends")
     texts = named(texts, ends)
-    hot = written(pairs.groupBy("a").count().select("a", F.ceil(F.col("count") / SPREAD).cast("int").alias("parts")), "leaders")
+    hot = thin(pairs.groupBy("a").count().select("a", F.ceil(F.col("count") / SPREAD).cast("int").alias("parts")), "leaders")
     salted = pairs.join(hot, "a").withColumn("salt", F.pmod(F.hash("b"), F.col("parts"))).drop("parts")
     left = texts.join(hot.withColumnRenamed("a", "digest"), "digest").select(F.col("digest").alias("a"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"), F.col("hashes").alias("ha"), F.col("weights").alias("wa"))
     right = texts.select(F.col("digest").alias("b"), F.col("hashes").alias("hb"), F.col("weights").alias("wb"))
@@ -240,7 +256,9 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
             like = [similarity((ha, wa), (hb, wb)) for ha, wa, hb, wb in zip(*columns, strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array([x >= SIMILAR - 1e-6 for x in like], pa.bool_()))
 
-    return both.mapInArrow(compare, "a binary, b binary")
+    with batches_of(pairs.sparkSession, max(1, PAIR_BYTES // (2 * most))):
+        # A shuffle gathers the few links, so that tasks that compare write no files.
+        return thin(both.mapInArrow(compare, "a binary, b binary").distinct(), "verified")
 
 
 def block_links(sets: list[tuple[np.ndarray, np.ndarray]], labels: list, rows: list[int], columns: list[int]) -> list[tuple[int, int]]:
@@ -303,13 +321,15 @@ def block_links(sets: list[tuple[np.ndarray, np.ndarray]], labels: list, rows: l
 def blocks_compared(members: DataFrame, texts: DataFrame) -> DataFrame:
     """Links (a, b) among the members (key, digest, label) of each key, all compared, in pairs of chunks of CHUNK texts.
 
-    A member goes once to each pair of its chunk; pairs of texts aren't rows, only new links come out.
+    A member goes once to each pair of its chunk; pairs of texts aren't rows, only new links come out. Long texts make
+    smaller chunks, by CHUNK_BYTES.
     """
-    chunks = members.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("chunks"))
+    n, size = F.count(F.lit(1)), F.sum("size")
+    chunks = members.join(texts.select("digest", "size"), "digest").groupBy("key").agg(F.least(n, F.ceil(F.greatest(n / CHUNK, size / CHUNK_BYTES))).cast("int").alias("chunks"))
     own = members.join(chunks, "key").withColumn("own", F.pmod(F.xxhash64("digest"), F.col("chunks")).cast("int"))
     dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "digest", "label")
-    filled = dealt.join(named(texts, written(members.select("digest").distinct(), "open")), "digest").select("key", "i", "j", "own", "digest", "label", "hashes", "weights")
+    filled = dealt.join(named(texts, thin(members.select("digest").distinct(), "open")), "digest").select("key", "i", "j", "own", "digest", "label", "hashes", "weights")
 
     def compare(group: pa.Table) -> pa.Table:
         digests, labels, own_ = (group.column(c).to_pylist() for c in ("digest", "label", "own"))
@@ -324,32 +344,34 @@ def blocks_compared(members: DataFrame, texts: DataFrame) -> DataFrame:
 
 def text_classes(members: DataFrame, texts: DataFrame) -> DataFrame:
     """node, label of the digests of members (key, digest, total, centre): connected components of the similar ones."""
-    labels = written(members.select(F.col("digest").alias("node"), F.col("digest").alias("label")).distinct(), "labels")
+    files = thin_files(members.sparkSession)
+    labels = thin(members.select(F.col("digest").alias("node"), F.col("digest").alias("label")).distinct(), "labels")
     lead = members.groupBy("key").agg(F.max(F.struct("centre", "digest", "total")).alias("lead")).select("key", F.col("lead.digest").alias("a"), F.col("lead.total").alias("total_a"))
     near = (F.col("digest") != F.col("a")) & (F.least("total", "total_a") >= F.greatest("total", "total_a") * (SIMILAR - 1e-6))
     pairs = members.join(lead, "key").where(near).select("a", F.col("digest").alias("b")).distinct()
-    labels = relabelled(labels, written(verified(written(pairs, "pairs"), texts), "verified"))
+    labels = relabelled(labels, verified(thin(pairs, "pairs"), texts), files)
     now = members.select("key", "digest").join(labels.withColumnRenamed("node", "digest"), "digest")
     unsettled = now.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count(F.lit(1)).alias("n")).where("x <> y and n > 2").select("key")
     rest = written(now.join(unsettled, "key", "left_semi"), "unsettled")
-    return labels if rest.isEmpty() else relabelled(labels, written(blocks_compared(rest, texts), "block-links"))
+    return labels if rest.isEmpty() else relabelled(labels, thin(blocks_compared(rest, texts).distinct(), "block-links"), files)
 
 
 def _class_rows(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """doc_id, digest of each row, and for each digest first (the first row of its class: doc_id, text_hash), class_size, class_texts."""
     rows = written(sampled_texts(docs), "sampled")
-    thin = rows.where(F.col("bands").isNotNull()).groupBy("digest").agg(*[F.first(c).alias(c) for c in ("bands", "total", "centre")])
-    keyed = written(thin.select("digest", "total", "centre", F.explode("bands").alias("key")), "bands")
+    sampled = rows.where(F.col("bands").isNotNull()).groupBy("digest").agg(*[F.first(c).alias(c) for c in ("bands", "total", "centre")])
+    keyed = written(sampled.select("digest", "total", "centre", F.explode("bands").alias("key")), "bands")
     shared = keyed.groupBy("key").agg(F.min("digest").alias("least"), F.max("digest").alias("most")).where("least <> most").select("key")
     members = written(keyed.join(shared, "key", "left_semi"), "members")
-    partners = written(members.select("digest").distinct(), "partners")
+    partners = thin(members.select("digest").distinct(), "partners")
     texts = named(rows.where(F.col("bands").isNotNull()).select("digest", "hashes", "weights"), partners).groupBy("digest").agg(F.first("hashes").alias("hashes"), F.first("weights").alias("weights"))
+    texts = texts.withColumn("size", (F.octet_length("hashes") + F.octet_length("weights")).cast("long"))
     labels = text_classes(members, written(texts, "texts"))
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
     each = rows.groupBy("digest").agg(F.min(place).alias("least"), F.count(F.lit(1)).alias("copies"))
     each = written(each.join(labels.withColumnRenamed("node", "digest"), "digest", "left").withColumn("label", F.coalesce("label", "digest")), "digests")
     whole = each.groupBy("label").agg(F.min("least").alias("first"), F.sum("copies").alias("class_size"), F.count(F.lit(1)).alias("class_texts"))
-    return rows.select("doc_id", "digest"), written(each.join(whole, "label").select("digest", "first", "class_size", "class_texts"), "classes")
+    return rows.select("doc_id", "digest"), each.join(whole, "label").select("digest", "first", "class_size", "class_texts")
 
 
 def classes(docs: DataFrame) -> DataFrame:
