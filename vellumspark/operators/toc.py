@@ -72,13 +72,16 @@ def drift(ncx: DataFrame, nav: DataFrame) -> DataFrame:
     return both.join(sides, "book_id", "left_semi").withColumn("kind", kind).where(F.col("kind").isNotNull())
 
 
-def repeated_titles(docs: DataFrame, own: DataFrame, repeat: int = 3) -> DataFrame:
-    """Head titles (book_id, pos, html) that don't belong to the book: marked ones, or those that `repeat` documents share."""
+def repeated_titles(docs: DataFrame, own: DataFrame, repeat: int = 3, furniture: bool = False) -> DataFrame:
+    """Head titles (book_id, pos, html) that don't belong to the book: marked ones, or those that `repeat` documents share.
+
+    Of the latter, only with furniture those that are made of FURNITURE's words alone or have fewer than four letters.
+    """
     title = X.visible_text(F.regexp_extract("html", "(?is)<title[^>]*>(.*?)</title>", 1))
     heads = docs.select("book_id", "pos", title.alias("title")).withColumn("norm", X.norm_key(F.col("title"))).where((F.col("norm") != "") & F.length("title").between(3, 100))
     counted = heads.groupBy("book_id", "norm").agg(F.count(F.lit(1)).alias("n"), F.min_by("title", "pos").alias("title"), F.min("pos").alias("first_pos")).join(own, "book_id")
-    furniture = F.size(F.array_except(F.split("norm", " "), F.array(*[F.lit(w) for w in FURNITURE.split()]))) == 0
-    worthy = ~furniture & (F.regexp_count("norm", F.lit("[a-z]")) >= 4)
+    plain = F.size(F.array_except(F.split("norm", " "), F.array(*[F.lit(w) for w in FURNITURE.split()]))) == 0
+    worthy = F.lit(True) if furniture else ~plain & (F.regexp_count("norm", F.lit("[a-z]")) >= 4)
     names = F.col("own")
     found = counted.where(X.marked_foreign_title(F.col("title"), names) | ((F.col("n") >= repeat) & worthy & X.is_foreign(F.col("title"), names)))
     return found.select("book_id", "norm", "title", "n", "first_pos")
