@@ -102,8 +102,9 @@ def contamination(docs: DataFrame, extra: DataFrame | None, rows: DataFrame, own
 def audit(docs: DataFrame, package: Package | None = None, only: tuple[str, ...] = ALL, furniture: bool = False) -> DataFrame:
     """verdicts (book_id, analyzer, problem, status, details) of docs (book_id, pos, html, and path and nav where known).
 
-    Only the analyzers named, and of those the ones whose tables are there, are planned; furniture: see contamination. A book whose archive owns its
-    body text has no emptytext or completeness verdict; one that couldn't be read has an error row and nothing else.
+    Only the analyzers named, and of those the ones whose tables are there, are planned; furniture: see contamination. A
+    book whose archive owns its body text has no emptytext or completeness verdict; one that couldn't be read has an error
+    row and nothing else.
     """
     package = package or Package()
     facts, have = package.facts, lambda *tables: all(t is not None for t in tables)
